@@ -1,8 +1,92 @@
-"""The corpus pipeline: five operators, one after the other, over documents."""
+"""The corpus pipeline: five operators, one after the other, over documents.
 
-STAGES: list = []
+Every stage works on all that the one before kept. All but the last return the columns of documents; what a stage
+decides takes effect there: rows go, or texts change. n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import bytebpe, decontam, langid, secrets, simhash
+from tickloom.llm.common import checkpointed, crc_mod, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (null texts, texts without a letter) go; `lang` stays as labelled,
+    a null one becomes the prediction."""
+    out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    found = langid.identify(docs, langid.train(docs.filter(~out)))
+    return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one.
+
+    Rows without a doc_id can't be told apart: one stays of those that share a group with no other, none elsewhere.
+    """
+    classes = simhash.near_duplicates(docs)
+    named = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+    # narrow rows decide: how many rows hold each id, and whether the id names its group
+    ids = checkpointed(classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("names"), F.count("*").alias("n")))
+    gone = ids.filter(~F.col("names") | (F.col("n") > 1)).select(named.alias("_id"))
+    repeated = ids.filter(F.col("names") & (F.col("n") > 1)).select(named.alias("_id"))
+    keyed = docs.withColumn("_id", named)
+    once = keyed.join(gone, "_id", "left_anti")
+    if repeated.isEmpty():
+        return once.drop("_id")
+    # rows that repeat an id: one text of each is taken, the least, by an aggregate that combines before it shuffles
+    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    ones = keyed.join(repeated, "_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    return once.drop("_id").unionByName(ones)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.screened(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask in the text; documents stay."""
+    found = secrets.scan(docs)
+    text = secrets.redacted(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and whether they decode to its bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bytebpe.decoded(bytebpe.encoded(docs, path), path)
+    return rows.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.coalesce(F.col("decoded") == F.col("text").cast("binary"), F.octet_length("decoded") == 0).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("byte_bpe", byte_bpe),
+]
+#: SQL can't express trained models, xxHash64 links and tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Between stages the rows are written to the shared checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = checkpointed(docs)
+    return docs
