@@ -1,0 +1,208 @@
+"""The trade simulator: an ordered fold over each date's scored bars.
+
+simulate() is one aggregate() over a sorted array of bars, inside the JVM; simulate_grouped() states the same rules as a
+plain loop over a date's frame, and tests hold the two against each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scope import day, session
+
+#: Price of a tick and the note on where a trade's direction comes from: fixed values of the records.
+TICK, DIRECTION_SOURCE = 5.0, "momentum_10bars_sign"
+TRADE = "entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, entry_price double, exit_price double, pnl double, reason string, prob float, mfe_ticks int, direction_source string"
+
+
+@dataclass(frozen=True)
+class Rules:
+    threshold: float = 0.82
+    hold: int = 720  # bars
+    stop: float = 100  # ticks
+    target: float = 250
+    min_rise: float = 0.0
+    min_momentum: float = 0.0
+    max_momentum: float = 0.0  # no bound at 0, like the two before
+    max_trades: int = 0  # a date and session; no limit at 0
+    max_prob: float = 1.0
+    even_ticks: float = 0  # profit that moves the stop to the entry
+    even_bars: int = 0
+    weak_bars: int = 0  # bar at which a trade without weak_ticks of profit is left
+    weak_ticks: float = 0.0
+    multiplier: float = 100
+    cost: float = 80
+    cooldown: int = 60
+
+
+def with_signals(bars: DataFrame, lookback: int = 20, rise_bars: int = 5) -> DataFrame:
+    """Scored bars with momentum (null at the session's start) and the rise of the score (0 there)."""
+    momentum = F.col("raw_close") - F.lag("raw_close", lookback).over(session())
+    rise = F.coalesce(F.col("prob") - F.lag("prob", rise_bars).over(session()), F.lit(0.0))
+    return bars.withColumns({"momentum": momentum, "prob_rise": rise.cast("double")})
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _exit(s: Column, r: Column, p: Rules) -> Column:
+    """What the bar does to an open position: struct of held, mfe, armed, reason (null: stays open), price, time."""
+    side, entry = s["side"], s["entry"]
+    level = F.when(s["armed"], entry).otherwise(entry - side * (p.stop * TICK))
+    goal = entry + side * (p.target * TICK)
+    stopped = F.when(side > 0, r["low"] <= level).otherwise(r["high"] >= level)
+    reached = ~stopped & F.when(side > 0, r["high"] >= goal).otherwise(r["low"] <= goal)
+    first = F.struct((s["held"] + 1).alias("held"), stopped.alias("stopped"), reached.alias("reached"), level.alias("level"), goal.alias("goal"), F.greatest(s["mfe"], F.when(side > 0, r["high"] - entry).otherwise(entry - r["low"])).alias("best"))
+
+    def second(a: Column) -> Column:
+        quiet = ~a["stopped"] & ~a["reached"]
+        mfe = F.when(quiet, a["best"]).otherwise(s["mfe"])
+        arms = quiet & F.lit(p.even_ticks > 0) & (a["held"] >= max(p.even_bars, 1)) & (a["best"] >= p.even_ticks * TICK)
+        weak = quiet & F.lit(p.weak_bars > 0 and p.weak_ticks > 0) & (a["held"] == p.weak_bars) & (a["best"] < p.weak_ticks * TICK)
+        changed = r["kind"] != s["kind"]
+        reason = F.when(a["stopped"], "SL").when(a["reached"], "TP").when(weak, "WEAK").when(changed, "SESSION").when((a["held"] >= p.hold) | r["last"], "TIME")
+        later = quiet & ~weak & ~r["last"]
+        return F.struct(
+            a["held"].alias("held"),
+            mfe.alias("mfe"),
+            (s["armed"] | arms).alias("armed"),
+            reason.alias("reason"),
+            F.when(a["stopped"], a["level"]).when(a["reached"], a["goal"]).when(later, r["next_open"]).otherwise(r["close"]).alias("price"),
+            F.when(later, r["next_ts"]).otherwise(r["ts"]).alias("time"),
+        )
+
+    return _let(first, second)
+
+
+def _state(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _flat(cooldown: Column, day_trades: Column, night_trades: Column, trades: Column) -> Column:
+    return _state(
+        side=F.lit(0), entry=F.lit(0.0), opened=F.lit(None).cast("timestamp_ntz"), prob=F.lit(None).cast("float"), kind=F.lit(None).cast("string"),
+        held=F.lit(0), armed=F.lit(False), mfe=F.lit(0.0), cooldown=cooldown, DAY=day_trades, NIGHT=night_trades, trades=trades,
+    )
+
+
+def _after_exit(s: Column, r: Column, p: Rules) -> Column:
+    wait = F.greatest(s["cooldown"] - 1, F.lit(0))
+    kept = [s[k].alias(k) for k in ("side", "entry", "opened", "prob", "kind")]
+
+    def settle(e: Column) -> Column:
+        trade = F.struct(
+            s["opened"].alias("entry_time"), e["time"].alias("exit_time"), F.when(s["side"] > 0, "LONG").otherwise("SHORT").alias("direction"), s["entry"].alias("entry_price"), e["price"].alias("exit_price"),
+            ((e["price"] - s["entry"]) * s["side"] * p.multiplier - p.cost).alias("pnl"), e["reason"].alias("reason"), s["prob"].alias("prob"), F.bround(e["mfe"] / TICK).cast("int").alias("mfe_ticks"), F.lit(DIRECTION_SOURCE).alias("direction_source"),
+        )
+        closed = _flat(F.lit(p.cooldown), s["DAY"], s["NIGHT"], F.concat(s["trades"], F.array(trade)))
+        going = F.struct(*kept, e["held"].alias("held"), e["armed"].alias("armed"), e["mfe"].alias("mfe"), wait.alias("cooldown"), s["DAY"].alias("DAY"), s["NIGHT"].alias("NIGHT"), s["trades"].alias("trades"))
+        return F.when(e["reason"].isNotNull(), closed).otherwise(going)
+
+    waiting = F.struct(*kept, *[s[k].alias(k) for k in ("held", "armed", "mfe")], wait.alias("cooldown"), *[s[k].alias(k) for k in ("DAY", "NIGHT", "trades")])
+    return F.when(s["side"] == 0, waiting).otherwise(_let(_exit(s, r, p), settle))
+
+
+def _after_entry(s: Column, r: Column, p: Rules) -> Column:
+    prob, size = r["prob"].cast("double"), F.abs(r["momentum"])
+    used = F.when(r["kind"] == "DAY", s["DAY"]).otherwise(s["NIGHT"])
+    wanted = prob.between(F.greatest(F.lit(p.threshold), F.coalesce(r["threshold"].cast("double"), F.lit(0.0))), F.lit(p.max_prob)) & r["momentum"].isNotNull()
+    if p.min_rise > 0:
+        wanted = wanted & F.coalesce(r["rise"] >= p.min_rise, F.lit(False))
+    if p.min_momentum > 0:
+        wanted = wanted & (size >= p.min_momentum)
+    if p.max_momentum > 0:
+        wanted = wanted & (size <= p.max_momentum)
+    if p.max_trades > 0:
+        wanted = wanted & (used < p.max_trades)
+    more = lambda k: s[k] + F.when(r["kind"] == k, 1).otherwise(0)
+    opened = _state(
+        side=F.when(r["momentum"] > 0, 1).when(r["momentum"] < 0, -1).otherwise(0), entry=r["next_open"], opened=r["next_ts"], prob=r["prob"], kind=r["next_kind"],
+        held=F.lit(0), armed=F.lit(False), mfe=F.lit(0.0), cooldown=s["cooldown"], DAY=more("DAY"), NIGHT=more("NIGHT"), trades=s["trades"],
+    )
+    return F.when((s["side"] == 0) & (s["cooldown"] == 0) & ~r["last"] & F.coalesce(wanted, F.lit(False)), opened).otherwise(s)
+
+
+def simulate(scored: DataFrame, rules: Rules = Rules(), key: str = "session_date_jst") -> DataFrame:
+    """Trades of scored bars (bar_start_jst, session_type, raw_*, prob, threshold, momentum, prob_rise), a fold a date.
+
+    Scores and thresholds are floats and compared as doubles, so a score of float 0.82 doesn't reach 0.82. Momentum 0
+    takes one of the session's trades without opening. A date without trades gives no row.
+    """
+    ahead = lambda x: F.lead(x).over(day())
+    row = F.struct(
+        F.col("bar_start_jst").alias("ts"), F.col("session_type").alias("kind"),
+        *[F.col(f"raw_{x}").alias(x) for x in ("open", "high", "low", "close")],
+        F.col("prob").cast("float").alias("prob"), F.col("threshold").cast("float").alias("threshold"), F.col("momentum"), F.col("prob_rise").alias("rise"),
+        "next_open", "next_ts", "next_kind", F.col("next_ts").isNull().alias("last"),
+    )
+    looked = scored.withColumns({"next_open": ahead("raw_open"), "next_ts": ahead("bar_start_jst"), "next_kind": ahead("session_type")})
+    days = looked.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("bars"))
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:{k}" for n, k in (x.split() for x in TRADE.split(", "))) + ">>")
+    start = _flat(F.lit(0), F.lit(0), F.lit(0), none)
+    fold = F.aggregate("bars", start, lambda s, r: _let(_after_exit(s, r, rules), lambda t: _after_entry(t, r, rules)), lambda s: s["trades"])
+    return days.select(key, F.explode(fold).alias("trade")).select(key, "trade.*")
+
+
+def trade_loop(bars: pd.DataFrame, p: Rules) -> list[dict]:
+    """The rules as a loop over one date's bars in order."""
+    out: list[dict] = []
+    position: dict | None = None
+    wait, used, rows = 0, {}, bars.to_dict("records")
+    for i, r in enumerate(rows):
+        wait = max(0, wait - 1)
+        after = rows[i + 1] if i + 1 < len(rows) else None
+        if position:
+            side, entry = position["side"], position["entry"]
+            position["held"] += 1
+            worst, best = (r["raw_low"], r["raw_high"]) if side > 0 else (r["raw_high"], r["raw_low"])
+            level, goal = entry if position["armed"] else entry - side * p.stop * TICK, entry + side * p.target * TICK
+            leave = None
+            if side * (worst - level) <= 0:
+                leave = ("SL", level, r["bar_start_jst"])
+            elif side * (best - goal) >= 0:
+                leave = ("TP", goal, r["bar_start_jst"])
+            else:
+                position["mfe"] = max(position["mfe"], side * (best - entry))
+                if p.even_ticks > 0 and position["held"] >= max(p.even_bars, 1) and position["mfe"] >= p.even_ticks * TICK:
+                    position["armed"] = True
+                late = (after["raw_open"], after["bar_start_jst"]) if after else (r["raw_close"], r["bar_start_jst"])
+                if p.weak_bars > 0 and p.weak_ticks > 0 and position["held"] == p.weak_bars and position["mfe"] < p.weak_ticks * TICK:
+                    leave = ("WEAK", r["raw_close"], r["bar_start_jst"])
+                elif r["session_type"] != position["kind"]:
+                    leave = ("SESSION", *late)
+                elif position["held"] >= p.hold or after is None:
+                    leave = ("TIME", *late)
+            if leave:
+                reason, price, time = leave
+                out.append({"entry_time": position["time"], "exit_time": time, "direction": "LONG" if side > 0 else "SHORT", "entry_price": entry, "exit_price": price, "pnl": (price - entry) * side * p.multiplier - p.cost, "reason": reason, "prob": position["prob"], "mfe_ticks": round(position["mfe"] / TICK), "direction_source": DIRECTION_SOURCE})
+                position, wait = None, p.cooldown
+        if position is None and wait == 0 and after is not None:
+            m, rise, prob = r["momentum"], r["prob_rise"], r["prob"]
+            if pd.isna(m) or pd.isna(prob) or not max(p.threshold, float(r["threshold"])) <= float(prob) <= p.max_prob:
+                continue
+            if (p.min_rise > 0 and (pd.isna(rise) or rise < p.min_rise)) or (p.min_momentum > 0 and abs(m) < p.min_momentum) or (p.max_momentum > 0 and abs(m) > p.max_momentum):
+                continue
+            if p.max_trades and used.get(r["session_type"], 0) >= p.max_trades:
+                continue
+            used[r["session_type"]] = used.get(r["session_type"], 0) + 1
+            if m:
+                position = {"side": 1 if m > 0 else -1, "entry": after["raw_open"], "time": after["bar_start_jst"], "prob": prob, "kind": after["session_type"], "held": 0, "armed": False, "mfe": 0.0}
+    return out
+
+
+def simulate_grouped(scored: DataFrame, rules: Rules = Rules(), key: str = "session_date_jst") -> DataFrame:
+    """simulate() by trade_loop() in grouped pandas frames."""
+    names = [x.split()[0] for x in TRADE.split(", ")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("bar_start_jst")
+        return pd.DataFrame(trade_loop(ordered, rules), columns=names).assign(**{key: frame[key].iloc[0]})[[key, *names]]
+
+    return scored.groupBy(key).applyInPandas(run, f"{key} {dict(scored.dtypes)[key]}, {TRADE}")
