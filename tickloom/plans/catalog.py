@@ -1,10 +1,464 @@
-"""All registered queries of the market engine."""
+"""All registered queries of the market engine, each with its DuckDB twin where SQL can state it.
 
-from pyspark.sql import DataFrame, SparkSession
+Both sides end in the same plain columns: times and dates as text, whole numbers as longs, other numbers rounded to six
+decimals.
+"""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clock
+from ..operators import bars, dataset, features, profile, report, score, simulate, ticks
+from . import adapters, sql
+from .adapters import external_bars, externals, load, quotes, trade_bars, vendor_ticks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Sums of prices with two decimals often end in exactly half a unit of the sixth; moved aside, both sides round them alike.
+NUDGE = 3e-8
+HOUR, FIVE, HALF = "3600 seconds", "300 seconds", "30 seconds"
+#: Label horizon and sequence length that fit 5-minute bars of a date.
+HORIZON, LENGTH = 12, 12
+SYMBOLS = {kind: p for kind, p in adapters.SYMBOL_OF.items() if p in ("usdjpy", "sp500", "nasdaq")}
+
+
+def _spark_column(name: str, kind: str) -> Column:
+    c = F.col(name)
+    return {
+        "t": F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
+        "d": F.date_format(c, "yyyy-MM-dd"),
+        "f": F.round(c.cast("double") + NUDGE, 6),
+        "c": F.round(c.cast("double"), 2),
+        "i": c.cast("long"),
+    }.get(kind, c).alias(name)
+
+
+def _sql_column(name: str, kind: str) -> str:
+    c = f'"{name}"'
+    made = {"t": f"strftime({c}, '%Y-%m-%d %H:%M:%S')", "d": f"strftime({c}, '%Y-%m-%d')", "f": f"round(CAST({c} AS DOUBLE) + {NUDGE}, 6) + 0.0", "c": f"round(CAST({c} AS DOUBLE), 2) + 0.0", "i": f"CAST({c} AS BIGINT)"}
+    return f"{made.get(kind, c)} AS {c}"
+
+
+def _kinds(columns: str) -> list[tuple[str, str]]:
+    return [(x.partition(":")[0], x.partition(":")[2] or "s") for x in columns.split()]
+
+
+def query(name: str, columns: str, body: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query: its result columns as name:kind, and the SQL, ending in a relation, that is its twin."""
+
+    def register(f: Query) -> Query:
+        kinds = _kinds(columns)
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir).select(*[_spark_column(*k) for k in kinds])
+        if body is not None:
+            head, _, relation = body.rpartition("\n")
+            ORACLES[name] = f"{head}\nSELECT {', '.join(_sql_column(*k) for k in kinds)} FROM ({relation})"
+        return f
+
+    return register
+
+
+def _with(ctes: str, relation: str) -> str:
+    return f"WITH {ctes}\n{relation}"
+
+
+KEY = "bar_start_jst:t session_date_jst:d session_type"
+BAR = f"{KEY} symbol contract_code open:f high:f low:f close:f volume:f tick_count:i buy_volume:f sell_volume:f signed_volume:f vwap_30s:f"
+
+
+def five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade_bars(spark, sf_dir, FIVE)
+
+
+# ticks
+
+
+@query("near_contract", "trade_date trade_ts:t sequence_no:i contract_month:i price_type price:f", _with(sql.TICKS, "SELECT * FROM near_all"))
+def near_contract(spark, d):
+    return ticks.near_contract(vendor_ticks(spark, d))
+
+
+@query("tick_rule", "trade_date sequence_no:i price:f price_diff:f direction:i buy_vol:i sell_vol:i", _with(sql.TICKS, "SELECT * FROM sided"))
+def tick_rule(spark, d):
+    return ticks.with_direction(ticks.regular(ticks.near_contract(vendor_ticks(spark, d))))
+
+
+@query("normalised_ticks", "session_date_jst:d session_type trade_ts:t contract_code sequence_no:i price:f trade_volume:i direction:i symbol", _with(sql.TICKS, f"SELECT *, {sql.clock('trade_ts')} AS session_type, CAST(contract_month AS VARCHAR) AS contract_code, 'nk225' AS symbol FROM sided"))
+def normalised_ticks(spark, d):
+    return ticks.normalised(vendor_ticks(spark, d), "nk225")
+
+
+@query("session_type", "event_id:i session_type", f"\nSELECT event_id, {sql.clock('ts')} AS session_type FROM events")
+def session_type(spark, d):
+    return load(spark, d, "events").withColumn("session_type", clock.session_type(F.col("ts")))
+
+
+@query("session_date", "event_id:i session_date_jst:d iso_weekday:i", "\nSELECT event_id, CASE WHEN date_part('hour', ts) >= 16 THEN CAST(ts AS DATE) + CASE isodow(ts) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END ELSE CAST(ts AS DATE) END AS session_date_jst, isodow(ts) AS iso_weekday FROM events")
+def session_date(spark, d):
+    return load(spark, d, "events").withColumns({"session_date_jst": clock.session_date(F.col("ts")), "iso_weekday": clock.iso_weekday(F.col("ts"))})
+
+
+@query("parse_vendor_ts", "event_id:i trade_ts:t trade_ms:i", "\nSELECT event_id, date_trunc('milliseconds', ts) AS trade_ts, (epoch_us(ts) // 1000) % 1000 AS trade_ms FROM events")
+def parse_vendor_ts(spark, d):
+    t = F.col("ts")
+    number = F.date_format(t, "HHmmssSSS").cast("long")  # leading zeros are lost, as in vendor files
+    read = load(spark, d, "events").withColumn("trade_ts", clock.vendor_timestamp(F.date_format(t, "yyyyMMdd"), number))
+    return read.withColumn("trade_ms", F.date_format("trade_ts", "SSS").cast("long"))
+
+
+@query("tz_convert", "event_id:i tokyo:t", "\nSELECT event_id, ts AT TIME ZONE 'EET' AT TIME ZONE 'Asia/Tokyo' AS tokyo FROM events")
+def tz_convert(spark, d):
+    return load(spark, d, "events").withColumn("tokyo", clock.tokyo_time(F.col("ts")))
+
+
+@query("week_partition", "event_type week_start:d n:i", "\nSELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS n FROM events GROUP BY 1, 2")
+def week_partition(spark, d):
+    return load(spark, d, "events").groupBy("event_type", clock.week_start(F.col("ts")).alias("week_start")).agg(F.count("*").alias("n"))
+
+
+@query("union_dates", "date:d", "\nSELECT DISTINCT CAST(ts AS DATE) AS date FROM events UNION SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders")
+def union_dates(spark, d):
+    one = load(spark, d, "events").select(F.to_date("ts").alias("date"))
+    return one.unionByName(load(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))).distinct()
+
+
+@query("json_record", "event_id:i k:i", "\nSELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
+def json_record(spark, d):
+    return load(spark, d, "events").withColumn("k", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0)))
+
+
+# bars
+
+
+@query("bars_30s", f"{BAR} bar_end_jst:t is_complete", _with(sql.bars(HALF), "SELECT *, true AS is_complete FROM bars"))
+def bars_30s(spark, d):
+    return trade_bars(spark, d, HALF)
+
+
+@query("bars_1h", BAR, _with(sql.bars(HOUR), "SELECT * FROM bars"))
+def bars_1h(spark, d):
+    return trade_bars(spark, d, HOUR)
+
+
+@query("mid_bars", f"{KEY} symbol open:f high:f low:f close:f spread_close:f tick_count:i", _with(sql.quote_bars(FIVE), "SELECT * FROM ext"))
+def mid_bars(spark, d):
+    return external_bars(spark, d, FIVE)
+
+
+@query("bar_imbalance", "trade_ts:t open:f high:f low:f close:f avg_trade_size:f max_trade_size:i buy_volume:i sell_volume:i volume:i tick_count:i size_imb_1bar:f", _with(sql.PROFILE, "SELECT *, CASE WHEN volume > 0 THEN (buy_volume - sell_volume) / CAST(volume AS DOUBLE) ELSE 0 END AS size_imb_1bar FROM sized"))
+def bar_imbalance(spark, d):
+    return bars.size_bars(ticks.normalised(vendor_ticks(spark, d), "nk225"), FIVE)
+
+
+@query("completeness", "session_date_jst:d n:i", _with(sql.quote_bars(FIVE) + ", " + sql.bars(FIVE), "SELECT session_date_jst, count(*) AS n FROM bars WHERE session_date_jst IN (SELECT session_date_jst FROM ext GROUP BY 1 HAVING count(DISTINCT symbol) >= 5) GROUP BY 1"))
+def completeness(spark, d):
+    return features.complete_days(five(spark, d), external_bars(spark, d, FIVE)).groupBy("session_date_jst").agg(F.count("*").alias("n"))
+
+
+# base features on 5-minute bars
+
+_BASE = _with(sql.bars(FIVE) + ",\n" + sql.base(), "SELECT * FROM b8")
+
+
+def _base(name: str, columns: str) -> None:
+    query(name, f"{KEY} {columns}", _BASE)(lambda spark, d: features.base_features(five(spark, d)))
+
+
+_base("bar_shape", "price_spread:f close_pos_in_bar:f body_ratio:f typical_price:f")
+_base("order_flow", "buy_ratio:f sell_ratio:f signed_volume_ratio:f trade_size_mean:f volume_pressure:f dist_vwap_30s:f dist_vwap_30s_pct:f log_vol:f log_buy_vol:f log_sell_vol:f range_per_volume:f tick_per_volume:f")
+_base("log_return", "close:f log_ret:f")
+_base("pct_returns", " ".join(f"{r}:f" for r in features.RETURNS))
+_base("slopes", " ".join(f"{s}:f" for s in features.SLOPES))
+_base("realized_vol", "realized_vol_5m:f realized_vol_10m:f realized_vol_30m:f garman_klass_vol:f")
+_base("rolling_sums", "signed_volume_sum_2m:f signed_volume_sum_5m:f signed_volume_sum_10m:f volume_sum_5m:f")
+_base("rolling_mean_speed", "tick_count_ma_5m:f tick_speed_ratio:f")
+_base("rolling_vwap", "dist_vwap_15m:f")
+_base("ratio_change", "signed_volume_ratio_change:f buy_share_change:f sell_share_change:f")
+_base("zscores", " ".join(f"{x}_z_{n}:f __{x}_mean_{n}:f __{x}_std_{n}:f" for x, n in features.ZSCORES))
+_base("session_vwap", "session_vwap:f dist_vwap_session:f dist_vwap_session_pct:f")
+
+# external symbols
+
+_JOINED = sql.bars(FIVE) + ",\n" + sql.quote_bars(FIVE) + ",\n" + sql.joined(SYMBOLS)
+_CARRIED = " ".join(f"{p}_{x}:f" for p in SYMBOLS.values() for x in sql.CARRIED)
+
+
+def _external(spark, d) -> dict[str, DataFrame]:
+    return externals(spark, d, FIVE, SYMBOLS.values())
+
+
+@query("external_join", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM joined"))
+def external_join(spark, d):
+    return features.join_externals(five(spark, d), _external(spark, d))
+
+
+@query("external_ffill", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM filled"))
+def external_ffill(spark, d):
+    return features.fill_externals(features.join_externals(five(spark, d), _external(spark, d)), SYMBOLS.values())
+
+
+_EXTERNAL = _JOINED + ",\n" + sql.base("filled") + ",\n" + sql.external(SYMBOLS, "b8")
+
+
+def _cross_input(spark, d) -> DataFrame:
+    return features.external_features(features.base_features(external_ffill(spark, d)), SYMBOLS.values())
+
+
+@query("external_features", f"{KEY} " + " ".join(f"{p}_{x}:f" for p in SYMBOLS.values() for x in ("price_spread", "close_pos_in_bar", "body_ratio", "log_ret", "ret_1m", "ret_5m", "ret_10m", "close_slope_5m", "close_slope_10m", "tick_count_slope_5m", "realized_vol_5m", "realized_vol_10m", "tick_count_ma_5m", "tick_speed_ratio", "tick_count_z_10", "spread_close_z_10", "price_spread_z_10", "ret_1m_z_10")), _with(_EXTERNAL, "SELECT * FROM e4"))
+def external_features(spark, d):
+    return _cross_input(spark, d)
+
+
+@query("rel_strength", f"{KEY} " + " ".join(f"rel_strength_vs_{p}_{r}:f" for p in SYMBOLS.values() for r in ("1m", "5m")), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_{r} - {p}_ret_{r} AS rel_strength_vs_{p}_{r}" for p in SYMBOLS.values() for r in ("1m", "5m")) + " FROM e4"))
+def rel_strength(spark, d):
+    return features.cross_asset(_cross_input(spark, d))
+
+
+@query("lead_lag", f"{KEY} " + " ".join(f"lead_lag_vs_{p}_1m_lag{k}:f" for p in SYMBOLS.values() for k in (1, 2)), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_1m - {sql.lag(p + '_ret_1m', k, sql.DAY)} AS lead_lag_vs_{p}_1m_lag{k}" for p in SYMBOLS.values() for k in (1, 2)) + " FROM e4"))
+def lead_lag(spark, d):
+    return features.cross_asset(_cross_input(spark, d))
+
+
+_RISK = {"view": "sp500", "purchase": "nasdaq", "signup": "dow"}
+_R1 = [f"{p}_ret_1m" for p in _RISK.values()]
+_MEAN = f"(({' + '.join(_R1)}) / 3)"
+
+
+@query("risk_on", f"{KEY} us_risk_on_ret_1m:f us_risk_on_ret_5m:f us_index_dispersion_1m:f us_sign_agreement_1m:f", _with(sql.bars(FIVE) + ",\n" + sql.quote_bars(FIVE) + ",\n" + sql.joined(_RISK) + ",\n" + sql.external(_RISK, "filled"), f"SELECT *, 0.4 * sp500_ret_1m + 0.4 * nasdaq_ret_1m + 0.2 * dow_ret_1m AS us_risk_on_ret_1m, 0.4 * sp500_ret_5m + 0.4 * nasdaq_ret_5m + 0.2 * dow_ret_5m AS us_risk_on_ret_5m, sqrt(({' + '.join(f'({x} - {_MEAN}) ** 2' for x in _R1)}) / 2) AS us_index_dispersion_1m, {' + '.join(f'sign({x})' for x in _R1)} AS us_sign_agreement_1m FROM e4"))
+def risk_on(spark, d):
+    every = external_bars(spark, d, FIVE)
+    joined = features.join_externals(five(spark, d), {p: every.filter(F.col("symbol") == kind) for kind, p in _RISK.items()})
+    return features.cross_asset(features.external_features(features.fill_externals(joined, _RISK.values()), _RISK.values()))
+
+
+@query("calendar", f"{KEY} " + " ".join(f"{k}:{'f' if k[-3:] in ('sin', 'cos') else 'i'}" for k in sql.CALENDAR), _with(sql.bars(FIVE) + ",\n" + sql.layer("dated", "bars", sql.CALENDAR), "SELECT * FROM dated"))
+def calendar(spark, d):
+    return features.calendar(five(spark, d))
+
+
+@query("efficiency_label", f"{KEY} close:f label_efficiency_{HORIZON}:f", _with(sql.bars(FIVE) + ",\n" + sql.label("bars", HORIZON), "SELECT * FROM labelled"))
+def efficiency_label(spark, d):
+    return features.efficiency_label(five(spark, d), HORIZON)
+
+
+_PRICES = ("open", "high", "low", "close", "vwap_30s", "typical_price", "session_vwap")
+_DIFFS = ", ".join(f"{x} - {sql.lag(x)} AS {x}" for x in _PRICES)
+
+
+@query("stationary", f"{KEY} " + " ".join(f"{x}:f" for x in _PRICES), _with(sql.bars(FIVE) + ",\n" + sql.base() + f",\ndiffed AS (SELECT * EXCLUDE ({', '.join(_PRICES)}), {_DIFFS} FROM b8)", "SELECT * FROM diffed WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in _PRICES)))
+def stationary(spark, d):
+    return features.stationary(features.base_features(five(spark, d)))
+
+
+_ALL_PRICES = [*_PRICES, *(f"{p}_{x}" for p in SYMBOLS.values() for x in ("open", "high", "low", "close"))]
+_LABEL = f"label_efficiency_{HORIZON}"
+_FRAME = [
+    *("volume", "tick_count", "buy_volume", "sell_volume", "signed_volume", *_ALL_PRICES, *sql.shape(), *(x for x in sql.FLOW if x != "typical_price"), "log_ret", *sql.RETURNS, *sql.SLOPES, *sql.ROLLED, "garman_klass_vol", "dist_vwap_15m"),
+    *("tick_speed_ratio", "signed_volume_ratio_change", "volume_z_10", "volume_z_60", "dist_vwap_session", "tod_sin", "dow_cos"),
+    *(f"{p}_{x}" for p in SYMBOLS.values() for x in ("spread_close", "ret_1m", "ret_10m", "realized_vol_5m", "tick_speed_ratio", "ret_1m_z_10")),
+    *(f"raw_{x}_abs" for x in ("open", "high", "low", "close")),
+]
+_FINAL = (
+    _EXTERNAL + ",\n" + sql.layer("dated", "e4", sql.CALENDAR) + ",\n" + sql.label("dated", HORIZON)
+    + f",\ndiffed AS (SELECT * EXCLUDE ({', '.join(_ALL_PRICES)}), open AS raw_open_abs, high AS raw_high_abs, low AS raw_low_abs, close AS raw_close_abs, " + ", ".join(f"{x} - {sql.lag(x)} AS {x}" for x in _ALL_PRICES) + " FROM labelled)"
+    + ",\nkept AS (SELECT * FROM diffed WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in _ALL_PRICES) + ")"
+    + ",\nfinal AS (SELECT bar_start_jst, session_date_jst, session_type, " + _LABEL + ", " + ", ".join(f"coalesce({x}, 0) AS {x}" for x in _FRAME) + " FROM kept)"
+)
+
+
+@query("finalize", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _FRAME), _with(_FINAL, "SELECT * FROM final"))
+def finalize(spark, d):
+    return features.feature_frame(five(spark, d), _external(spark, d), HORIZON)
+
+
+# profiles
+
+
+@query("volume_profile", "date:d price_bin:i volume:i", _with(sql.PROFILE, "SELECT * FROM profile"))
+def volume_profile(spark, d):
+    return profile.volume_profile(bar_imbalance(spark, d))
+
+
+@query("poc_rolling", "date:d prev_poc_1d:f prev_poc_1w:f prev_poc_4w:f", _with(sql.poc(), "SELECT * FROM poc"))
+def poc_rolling(spark, d):
+    return profile.rolling_poc(volume_profile(spark, d))
+
+
+@query("bars_with_poc", "trade_ts:t close:f volume:i prev_poc_1d:f prev_poc_1w:f prev_poc_4w:f", _with(sql.poc(), "SELECT s.trade_ts, s.close, s.volume, poc.* FROM sized s LEFT JOIN poc ON CAST(s.trade_ts AS DATE) = poc.date"))
+def bars_with_poc(spark, d):
+    return profile.with_poc(bar_imbalance(spark, d))
+
+
+# training sets
+
+_SET = ("ret_1m", "ret_5m", "realized_vol_5m", "signed_volume_ratio", "log_vol")
+_SET_SQL = sql.bars(FIVE) + ",\n" + sql.base() + ",\n" + sql.label("b8", HORIZON)
+
+
+def _set(spark, d) -> DataFrame:
+    return features.efficiency_label(features.base_features(five(spark, d)), HORIZON)
+
+
+@query("corpus_stats", "feature mean:f std:f", _with(_SET_SQL, " UNION ALL ".join(f"SELECT '{x}' AS feature, avg({x}) AS mean, CASE WHEN stddev_samp({x}) > 0 THEN stddev_samp({x}) ELSE 1 END AS std FROM labelled" for x in _SET)))
+def corpus_stats(spark, d):
+    return dataset.feature_stats(_set(spark, d), list(_SET))
+
+
+_QUANTILE = f"(SELECT x FROM (SELECT {_LABEL} AS x, row_number() OVER (ORDER BY {_LABEL}) - 1 AS r, count(*) OVER () AS n FROM labelled WHERE {_LABEL} IS NOT NULL) WHERE r = round_even((n - 1) * 0.8, 0))"
+
+
+@query("label_quantile", "threshold:f", _with(_SET_SQL, f"SELECT {_QUANTILE} AS threshold"))
+def label_quantile(spark, d):
+    return dataset.nearest_quantile(_set(spark, d), _LABEL, 0.8)
+
+
+@query("scaled", f"{KEY} " + " ".join(f"{x}:f" for x in _SET), _with(_SET_SQL, "SELECT bar_start_jst, session_date_jst, session_type, " + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}" for x in _SET) + " FROM labelled"))
+def scaled(spark, d):
+    rows = _set(spark, d)
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in dataset.feature_stats(rows, list(_SET)).collect()}  # a row a feature
+    return dataset.scaled(rows, stats)
+
+
+@query("binarised", f"{KEY} {_LABEL}:f", _with(_SET_SQL, f"SELECT bar_start_jst, session_date_jst, session_type, CASE WHEN {_LABEL} >= {_QUANTILE} THEN 1 WHEN {_LABEL} IS NOT NULL THEN 0 END AS {_LABEL} FROM labelled"))
+def binarised(spark, d):
+    rows = _set(spark, d)
+    return dataset.binarised(rows, _LABEL, dataset.nearest_quantile(rows, _LABEL, 0.8).first()[0])
+
+
+_SEQ = f"list([{', '.join(f'CAST({x} AS DOUBLE)' for x in _SET)}]) {sql.over(sql.DAY, sql.rows(LENGTH))}"
+_NULLS = f"sum(CASE WHEN {' OR '.join(f'{x} IS NULL' for x in (*_SET, _LABEL))} THEN 1 ELSE 0 END) {sql.over(sql.DAY, sql.rows(LENGTH))}"
+
+
+@query("sequences", f"{KEY} steps:i first_ret:f last_vol:f total:f", _with(_SET_SQL + f",\nseq AS (SELECT *, {_SEQ} AS s, {_NULLS} AS spoilt FROM labelled)", "SELECT *, len(s) AS steps, s[1][2] AS first_ret, s[-1][5] AS last_vol, list_sum(list_transform(s, lambda r: r[3])) AS total FROM seq WHERE len(s) = 12 AND spoilt = 0 AND session_type = 'DAY'"))
+def sequences(spark, d):
+    s = dataset.sequences(_set(spark, d), list(_SET), _LABEL, LENGTH, "DAY")
+    at = F.col("sequence")
+    return s.withColumns({"steps": F.size(at), "first_ret": at[0][1], "last_vol": at[LENGTH - 1][4], "total": F.aggregate(at, F.lit(0.0), lambda a, r: a + r[2])})
+
+
+@query("walk_forward", "window:d part date:d", "WITH d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)), w AS (SELECT i AS k FROM d WHERE i + 18 <= n)\nSELECT (SELECT date FROM d f WHERE f.i = w.k + 15) AS \"window\", CASE WHEN d.i - w.k < 10 THEN 'train' WHEN d.i - w.k < 15 THEN 'valid' ELSE 'test' END AS part, d.date AS date FROM w JOIN d ON d.i BETWEEN w.k AND w.k + 17")
+def walk_forward(spark, d):
+    return dataset.walk_forward(load(spark, d, "events").select(F.to_date("ts").alias("session_date_jst")), 10, 5, 3)
+
+
+@query("long_enough", "session_date_jst:d n:i", _with(sql.bars(FIVE), "SELECT session_date_jst, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) > 100"))
+def long_enough(spark, d):
+    return dataset.long_enough(five(spark, d), 100).groupBy("session_date_jst").agg(F.count("*").alias("n"))
+
+
+# scores
+
+_SCORED = "WITH scored AS (SELECT round(n_chars / 20000.0, 3) AS prob, quality AS label FROM documents JOIN labels USING (doc_id))"
+
+
+def _quality(spark, d) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", F.round(F.col("n_chars") / 20000.0, 3).alias("prob")).join(load(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query("percentile_threshold", "threshold:f", f"{_SCORED}\nSELECT CASE WHEN count(prob) >= 5 THEN quantile_cont(prob, 0.8) ELSE 0.5 END AS threshold FROM scored")
+def percentile_threshold(spark, d):
+    return score.percentile_threshold(_quality(spark, d))
+
+
+@query("roc_auc", "auc:f", f"{_SCORED}, r AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS r FROM scored)\nSELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r")
+def roc_auc(spark, d):
+    return score.roc_auc(_quality(spark, d))
+
+
+@query("lift", "threshold:f edge:f", f"{_SCORED}, t AS (SELECT quantile_cont(prob, 0.8) AS threshold FROM scored)\nSELECT max(threshold) AS threshold, (avg(label) FILTER (prob >= threshold) - avg(label)) * 100 AS edge FROM scored, t")
+def lift(spark, d):
+    return score.precision_lift(_quality(spark, d))
+
+
+_WEIGHTS = {"ret_1m": 0.8, "signed_volume_ratio": 1.2, "log_vol": 0.3}
+_LOGIT = " + ".join(f"{w} * {x}" for x, w in _WEIGHTS.items())
+
+
+@query("linear_scores", f"{KEY} prob:f", _with(_SET_SQL, f"SELECT *, CAST(1 / (1 + exp(-({_LOGIT} - 0.5))) AS FLOAT) AS prob FROM labelled"))
+def linear_scores(spark, d):
+    return score.linear_scores(_set(spark, d), _WEIGHTS, -0.5)
+
+
+@query("score_by_session", f"{KEY} prob:f", _with(_SET_SQL, "SELECT *, CAST(CASE session_type WHEN 'DAY' THEN 1 / (1 + exp(-(0.2 + 0.5 * log_vol))) ELSE 1 / (1 + exp(-(-0.1 + 0.9 * signed_volume_ratio))) END AS FLOAT) AS prob FROM labelled"))
+def score_by_session(spark, d):
+    return score.score_by_session(_set(spark, d), {"DAY": {"bias": 0.2, "log_vol": 0.5}, "NIGHT": {"bias": -0.1, "signed_volume_ratio": 0.9}})
+
+
+# the simulator and its reports
+
+_SIM = """raw AS (SELECT bar_start_jst, session_date_jst, session_type, open AS raw_open, high AS raw_high, low AS raw_low, close AS raw_close, CAST((tick_count * 37 + CAST(volume AS BIGINT) * 11) % 100 / 100.0 AS FLOAT) AS prob FROM bars),
+signals AS (SELECT *, raw_close - lag(raw_close, 4) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst) AS momentum, coalesce(CAST(prob AS FLOAT) - lag(prob, 2) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst), 0) AS prob_rise FROM raw)"""
+RULES = simulate.Rules(threshold=0.6, hold=24, stop=12, target=25, even_ticks=8, even_bars=2, weak_bars=6, weak_ticks=2, cooldown=6, max_trades=6, max_momentum=400.0)
+
+
+def _signals(spark, d) -> DataFrame:
+    prob = ((F.col("tick_count") * 37 + F.col("volume").cast("long") * 11) % 100 / 100.0).cast("float")
+    raw = five(spark, d).select("bar_start_jst", "session_date_jst", "session_type", *[F.col(x).alias(f"raw_{x}") for x in ("open", "high", "low", "close")], prob.alias("prob"), F.lit(0.0).cast("float").alias("threshold"))
+    return simulate.with_signals(raw, 4, 2)
+
+
+@query("momentum", f"{KEY} momentum:f", _with(sql.bars(FIVE) + ",\n" + _SIM, "SELECT * FROM signals"))
+def momentum(spark, d):
+    return _signals(spark, d)
+
+
+@query("prob_rise", f"{KEY} prob:f prob_rise:f", _with(sql.bars(FIVE) + ",\n" + _SIM, "SELECT * FROM signals"))
+def prob_rise(spark, d):
+    return _signals(spark, d)
+
+
+@query("simulate", "session_date_jst:d entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason prob:f mfe_ticks:i direction_source")
+def simulate_trades(spark, d):
+    return simulate.simulate(_signals(spark, d), RULES)
+
+
+@query("simulate_grouped", "session_date_jst:d entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason prob:f mfe_ticks:i direction_source")
+def simulate_grouped(spark, d):
+    return simulate.simulate_grouped(_signals(spark, d), RULES)
+
+
+#: Orders as trades, so that reports have an SQL twin that doesn't need the fold.
+_TRADES = "WITH trades AS (SELECT o_orderkey, o_orderdate AS exit_time, round(o_totalprice - 150000, 2) AS pnl, CASE o_orderkey % 5 WHEN 0 THEN 'TP' WHEN 1 THEN 'SL' WHEN 2 THEN 'SESSION' WHEN 3 THEN 'TIME' ELSE 'WEAK' END AS reason, o_custkey % 7 AS mfe_ticks FROM orders)"
+
+
+def _trades(spark, d) -> DataFrame:
+    reason = F.element_at(F.array(*[F.lit(x) for x in ("TP", "SL", "SESSION", "TIME", "WEAK")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("exit_time"), F.round(F.col("o_totalprice") - 150000, 2).alias("pnl"), reason.alias("reason"), (F.col("o_custkey") % 7).alias("mfe_ticks"))
+
+
+@query("trade_totals", "n_trades:i n_wins:i n_losses:i gross_profit:f gross_loss:f net:f win_rate:f profit_factor:f", f"{_TRADES}, s AS (SELECT count(*) AS n_trades, count(*) FILTER (pnl > 0) AS n_wins, count(*) FILTER (pnl <= 0) AS n_losses, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, coalesce(abs(sum(pnl) FILTER (pnl <= 0)), 0) AS gross_loss, coalesce(sum(pnl), 0) AS net FROM trades)\nSELECT *, n_wins * 100.0 / n_trades AS win_rate, CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss ELSE CAST('inf' AS DOUBLE) END AS profit_factor FROM s")
+def trade_totals(spark, d):
+    return report.totals(_trades(spark, d))
+
+
+_CURVE = f"{_TRADES}, curve AS (SELECT *, sum(pnl) OVER (ORDER BY exit_time, o_orderkey ROWS UNBOUNDED PRECEDING) AS equity FROM trades), high AS (SELECT *, max(equity) OVER (ORDER BY exit_time, o_orderkey ROWS UNBOUNDED PRECEDING) AS high FROM curve)"
+
+
+@query("drawdown", "max_drawdown:f", f"{_CURVE}\nSELECT max(high - equity) AS max_drawdown FROM high")
+def drawdown(spark, d):
+    return report.max_drawdown(_trades(spark, d), ("exit_time", "o_orderkey"))
+
+
+@query("equity_curve", "o_orderkey:i equity:c", f"{_CURVE}\nSELECT * FROM curve")
+def equity_curve(spark, d):
+    return report.equity_curve(_trades(spark, d), ("exit_time", "o_orderkey"))
+
+
+@query("by_reason", "reason n:i win_rate:f net:f place:i", f"{_TRADES}\nSELECT reason, count(*) AS n, count(*) FILTER (pnl > 0) * 100.0 / count(*) AS win_rate, sum(pnl) AS net, list_position(['TP', 'SESSION', 'SL', 'TIME', 'WEAK'], reason) AS place FROM trades GROUP BY 1")
+def by_reason(spark, d):
+    return report.by_reason(_trades(spark, d))
+
+
+@query("mfe", "mean_mfe:f n_with_mfe:i", f"{_TRADES}\nSELECT avg(mfe_ticks) AS mean_mfe, count(*) FILTER (mfe_ticks >= 1) AS n_with_mfe FROM trades")
+def mfe(spark, d):
+    return report.excursions(_trades(spark, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Events to ticks to hourly bars to session features."""
+    return features.base_features(trade_bars(spark, sf_dir, HOUR)).select("bar_start_jst", "session_date_jst", "session_type", "open", "high", "low", "close", "volume", "tick_count", "vwap_30s", "signed_volume", "log_ret", "ret_1m", "realized_vol_5m", "session_vwap")
