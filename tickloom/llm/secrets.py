@@ -9,6 +9,7 @@ corpus these p-values are cut by the Benjamini-Hochberg rule, which bounds the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,10 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda at: at["spans"])
 
 
+def _at_least(n: int, measured: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda s: F.length(measured(s)) >= n
+
+
 def base_spans(text: Column) -> Column:
     """The fixed kinds' spans in a text, by start and then by kind."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -64,8 +69,8 @@ def base_spans(text: Column) -> Column:
     for k, (kind, (pattern, least)) in enumerate(BASE.items()):
         # runs of the hex alphabet are maximal, so asking for the length in the pattern finds the same runs
         spans = _found(text, pattern.replace("]+", f"]{{{least},}}") if kind == "hex" else pattern, k)
-        long_enough = (lambda s: F.length(F.regexp_extract(s["body"], BASE["assign"][0], 2)) >= 8) if kind == "assign" else (lambda s, n=least: F.length(s["body"]) >= n)
-        found.append(F.when(text.rlike(MAY_HOLD[kind]), F.filter(spans, long_enough)).otherwise(none))
+        measured = (lambda s: F.regexp_extract(s["body"], BASE["assign"][0], 2)) if kind == "assign" else (lambda s: s["body"])
+        found.append(F.when(text.rlike(MAY_HOLD[kind]), F.filter(spans, _at_least(least, measured))).otherwise(none))
     return F.array_sort(F.concat(*found))
 
 
