@@ -116,10 +116,14 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     form, paragraphs, no = F.col("form"), F.col("paragraphs"), F.array().cast("array<string>")
     bodies = only(docs, id_col, text_col).select(F.col(id_col), canonical(F.col(text_col)).alias("form"))
     split = bodies.select(id_col, "form", _paragraphs(form).alias("paragraphs"))
-    windows = [F.when(F.size(paragraphs) >= k, F.transform(F.sequence(F.lit(1), F.size(paragraphs) - k + 1), lambda i, k=k: F.array_join(F.slice(paragraphs, i, k), " "))).otherwise(no) for k in runs]
+
+    def run_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(paragraphs) - k + 1)
+        return F.when(F.size(paragraphs) >= k, F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i, k), " "))).otherwise(no)
+
     fits = lambda u: F.length(u).isin(lengths)
     lines = F.transform(F.split(form, r"\n"), lambda x: F.trim(x))
-    units = F.array_distinct(F.filter(F.concat(lines, paragraphs, *windows), fits))
+    units = F.array_distinct(F.filter(F.concat(lines, paragraphs, *[run_of(k) for k in runs]), fits))
     whole = _whole(form)
     found = (
         split.select(id_col, F.when(fits(whole), F.md5(whole.cast("binary"))).alias("_whole"), F.explode(F.array_union(units, F.filter(F.array(whole), fits))).alias("unit"))
