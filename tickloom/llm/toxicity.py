@@ -38,6 +38,8 @@ PATTERNS = {
     "masked": re.compile(r"\b[a-zA-Z]{1,3}[*@#$%]{2,}[a-zA-Z]+\b"),
     "addressed": re.compile(r"\byou(?:'re| are) (?:a|an|such|so)\b", re.I),
 }
+#: Correlations within a class below this are taken for chance.
+LEAST_CORRELATION = 0.1
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ class Settings:
     features: int = 400  # words and beginnings that the classifier knows
     voters: int = 48  # of these, how many vote themselves
     least_seen: int = 4  # toxic documents with a feature
+    least_lift: float = 2.0  # logarithm of how much likelier a feature is in toxic documents
     rounds: int = 40  # of expectation and maximisation
     ridge: float = 1.0
 
@@ -68,23 +71,26 @@ def patterns(text: str | None, words: dict[str, int]) -> list[int]:
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Posterior that each row is toxic, from 0/1 votes and 0/1 labels, which are a voter too.
+    """Posterior that each row is toxic, from votes (1, or 0 for abstaining) and 0/1 labels, which are a voter too.
 
-    Voters are taken as independent within a class but for repetition: a voter that goes along with others inside a
-    class, by their correlations there, has its log-likelihood ratio divided by the number it stands for.
+    Abstaining says nothing by itself; that all voters do is one more vote. Voters are taken as independent within a
+    class but for repetition: a voter that goes along with others inside a class, by their correlations there, has its
+    log-likelihood ratio divided by the number it stands for.
     """
-    x = np.column_stack([votes, labels]).astype(float)
+    x = np.column_stack([votes, votes.max(axis=1, initial=0) == 0]).astype(float)
     p = np.where(labels > 0, 0.9, 0.05)  # labels are believed at first, not for good
     for _ in range(rounds):
         weights = np.stack([1 - p, p])
-        rate = (weights @ x + [[0.1], [0.1]] * np.ones((2, x.shape[1])) * 0.5 + 0.05) / (weights.sum(axis=1)[:, None] + 0.2)
+        rate = (weights @ x + 0.05) / (weights.sum(axis=1)[:, None] + 0.1)
         centred = x - (p[:, None] * rate[1] + (1 - p)[:, None] * rate[0])
         spread = np.sqrt(np.maximum(1e-9, (centred**2).mean(axis=0)))
-        correlation = np.abs(centred.T @ centred / len(x) / np.outer(spread, spread))
-        stands_for = correlation.clip(0, 1).sum(axis=0)  # itself counts 1
-        ratio = x @ ((np.log(rate[1]) - np.log(rate[0])) / stands_for) + (1 - x) @ ((np.log1p(-rate[1].clip(0, 1 - 1e-9)) - np.log1p(-rate[0].clip(0, 1 - 1e-9))) / stands_for)
+        correlation = np.abs(centred.T @ centred / len(x) / np.outer(spread, spread)).clip(0, 1)
+        stands_for = np.where(correlation > LEAST_CORRELATION, correlation, 0).sum(axis=0).clip(1)  # itself counts 1
+        given = ((weights @ (labels > 0)) + 0.05) / (weights.sum(axis=1) + 0.1)
+        label = np.where(labels > 0, np.log(given[1] / given[0]), np.log((1 - given[1]) / (1 - given[0])))
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        new = 1 / (1 + np.exp(-np.clip(ratio + np.log(prior / (1 - prior)), -30, 30)))
+        total = x @ (np.log(rate[1] / rate[0]) / stands_for) + label + np.log(prior / (1 - prior))
+        new = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         if np.abs(new - p).max() < 1e-6:
             return new
         p = new
@@ -156,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     counted = rows.mapInArrow(count, "feature string, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     lift = F.log((F.col("toxic") + 0.5) / F.lit(float(base))) - F.log((F.col("other") + 0.5) / F.lit(float(1 - base)))
     # a lift counts by how sure it is: the more toxic documents have the feature, the better
-    best = counted.filter((F.col("toxic") >= settings.least_seen) & (lift > 1.0)).select("feature", (lift * F.sqrt(F.col("toxic").cast("double"))).alias("worth")).orderBy(F.desc("worth"), "feature").limit(settings.features)
+    best = counted.filter((F.col("toxic") >= settings.least_seen) & (lift > settings.least_lift)).select("feature", (lift * F.sqrt(F.col("toxic").cast("double"))).alias("worth")).orderBy(F.desc("worth"), "feature").limit(settings.features)
     names = [r[0] for r in best.collect()]
     model = Model({f: k for k, f in enumerate(names)}, flat.weights)
 
@@ -171,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
         return flat
     x, y = model.dense(made), np.array(sample.column(3).to_pylist())
     own = min(settings.voters, len(names))
-    votes = np.column_stack([x[:, :own], x[:, len(names) : -1], x[:, : len(names)].max(axis=1, initial=0)])
+    votes = np.column_stack([x[:, :own], x[:, len(names) : -1]])
     model.weights = logistic(x, label_model(votes, y, settings.rounds), settings.ridge)
     return model
 
