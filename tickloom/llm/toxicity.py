@@ -40,6 +40,8 @@ PATTERNS = {
 }
 #: Correlations within a class below this are taken for chance.
 LEAST_CORRELATION = 0.1
+#: What a voter's silence counts, against its speaking.
+ABSTENTION = 0.5
 
 
 @dataclass(frozen=True)
@@ -73,23 +75,27 @@ def patterns(text: str | None, words: dict[str, int]) -> list[int]:
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Posterior that each row is toxic, from votes (1, or 0 for abstaining) and 0/1 labels, which are a voter too.
 
-    Abstaining says nothing by itself; that all voters do is one more vote. Voters are taken as independent within a
-    class but for repetition: a voter that goes along with others inside a class, by their correlations there, has its
-    log-likelihood ratio divided by the number it stands for.
+    Voters are taken as independent within a class but for repetition: a voter that goes along with others inside a
+    class, by their correlations there, has its log-likelihood ratio divided by the number it stands for. Abstaining
+    counts ABSTENTION of what it would if every voter knew every language.
     """
-    x = np.column_stack([votes, votes.max(axis=1, initial=0) == 0]).astype(float)
-    p = np.where(labels > 0, 0.9, 0.05)  # labels are believed at first, not for good
+    x, given = votes.astype(float), labels > 0
+    p = np.where(given, 0.9, 0.05)  # labels are believed at first, not for good
     for _ in range(rounds):
         weights = np.stack([1 - p, p])
-        rate = (weights @ x + 0.05) / (weights.sum(axis=1)[:, None] + 0.1)
-        centred = x - (p[:, None] * rate[1] + (1 - p)[:, None] * rate[0])
-        spread = np.sqrt(np.maximum(1e-9, (centred**2).mean(axis=0)))
-        correlation = np.abs(centred.T @ centred / len(x) / np.outer(spread, spread)).clip(0, 1)
-        stands_for = np.where(correlation > LEAST_CORRELATION, correlation, 0).sum(axis=0).clip(1)  # itself counts 1
-        given = ((weights @ (labels > 0)) + 0.05) / (weights.sum(axis=1) + 0.1)
-        label = np.where(labels > 0, np.log(given[1] / given[0]), np.log((1 - given[1]) / (1 - given[0])))
+        size = weights.sum(axis=1)
+        rate, given_rate = (weights @ x + 0.05) / (size[:, None] + 0.1), (weights @ given + 0.05) / (size + 0.1)
+        together = np.zeros((x.shape[1], x.shape[1]))
+        for c in range(2):
+            centred = x - rate[c]
+            covariance = (centred.T * weights[c]) @ centred / size[c]
+            spread = np.sqrt(np.maximum(1e-9, np.diag(covariance)))
+            together += size[c] / len(x) * (covariance / np.outer(spread, spread)).clip(0, 1)
+        stands_for = np.where(together > LEAST_CORRELATION, together, 0).sum(axis=0).clip(1)  # itself counts 1
+        spoke, silent = np.log(rate[1] / rate[0]) / stands_for, np.log((1 - rate[1]) / (1 - rate[0])) / stands_for
+        label = np.where(given, np.log(given_rate[1] / given_rate[0]), np.log((1 - given_rate[1]) / (1 - given_rate[0])))
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        total = x @ (np.log(rate[1] / rate[0]) / stands_for) + label + np.log(prior / (1 - prior))
+        total = x @ spoke + ABSTENTION * ((1 - x) @ silent) + label + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         if np.abs(new - p).max() < 1e-6:
             return new
