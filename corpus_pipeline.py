@@ -18,7 +18,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null texts, texts without a letter) go; `lang` stays as labelled,
     a null one becomes the prediction."""
     out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    found = langid.identify(docs, langid.train(docs.filter(~out)))
+    model = langid.train(docs.filter(~out))
+    if not model.languages:  # nothing to learn from: whatever has a letter stays
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model)
     return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
