@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import bars, dataset, features, profile, report, score, simulate, ticks
+from ..operators import bars, dataset, features, profile, registry, report, score, simulate, ticks
+from ..streaming import jobs
 from . import adapters, sql
 from .adapters import external_bars, externals, load, quotes, trade_bars, vendor_ticks
 
@@ -459,6 +460,23 @@ def mfe(spark, d):
     return report.excursions(_trades(spark, d))
 
 
+@query("model_lookup", "window:d session edge:f threshold:f", "WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS \"window\" FROM orders WHERE o_custkey % 2 = 0), m AS (SELECT CAST(o_orderdate AS DATE) AS \"window\", o_orderpriority AS session, round(avg(o_totalprice) / 1000 - 240, 2) AS edge, round(min(o_totalprice) / 500000, 4) AS t FROM orders GROUP BY 1, 2)\nSELECT w.\"window\", session, edge, CASE WHEN t > 0 THEN t ELSE 0.82 END AS threshold FROM w JOIN m USING (\"window\") WHERE edge > 10")
+def model_lookup(spark, d):
+    records = load(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("session")).agg(F.round(F.avg("o_totalprice") / 1000 - 240, 2).alias("edge"), F.round(F.min("o_totalprice") / 500000, 4).alias("prob_threshold"))
+    return registry.runnable(load(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0).select(F.to_date("o_orderdate").alias("window")), records, 0.82, 10)
+
+
+@query("date_range", "session_date_jst:d n:i", _with(sql.bars(FIVE), "SELECT session_date_jst, count(*) AS n FROM bars WHERE session_date_jst BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' GROUP BY 1"))
+def date_range(spark, d):
+    return registry.in_dates(five(spark, d), "2024-01-08", "2024-01-12").groupBy("session_date_jst").agg(F.count("*").alias("n"))
+
+
+@query("streaming_bars", "bar_start:t symbol open:f high:f low:f close:f volume:i tick_count:i", _with(sql.TICKS, "SELECT time_bucket(INTERVAL '3600 seconds', t.trade_ts) AS bar_start, CAST(contract_month AS VARCHAR) AS symbol, arg_min(price, (t.trade_ts, sequence_no)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t.trade_ts, sequence_no)) AS close, sum(trade_volume) AS volume, count(*) AS tick_count FROM ticks t GROUP BY 1, 2"))
+def streaming_bars(spark, d):
+    rows = vendor_ticks(spark, d).select(F.col("trade_ts").cast("timestamp").alias("trade_ts"), F.col("contract_month").cast("string").alias("symbol"), "sequence_no", "price", "trade_volume")
+    return jobs.streaming_bars(rows, HOUR)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to ticks to hourly bars to session features."""
     return features.base_features(trade_bars(spark, sf_dir, HOUR)).select("bar_start_jst", "session_date_jst", "session_type", "open", "high", "low", "close", "volume", "tick_count", "vwap_30s", "signed_volume", "log_ret", "ret_1m", "realized_vol_5m", "session_vwap")
