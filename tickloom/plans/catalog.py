@@ -460,9 +460,9 @@ def mfe(spark, d):
     return report.excursions(_trades(spark, d))
 
 
-@query("model_lookup", "window:d session edge:f threshold:f", "WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS \"window\" FROM orders WHERE o_custkey % 2 = 0), m AS (SELECT CAST(o_orderdate AS DATE) AS \"window\", o_orderpriority AS session, round(avg(o_totalprice) / 1000 - 240, 2) AS edge, round(min(o_totalprice) / 500000, 4) AS t FROM orders GROUP BY 1, 2)\nSELECT w.\"window\", session, edge, CASE WHEN t > 0 THEN t ELSE 0.82 END AS threshold FROM w JOIN m USING (\"window\") WHERE edge > 10")
+@query("model_lookup", "window:d session edge:f threshold:f", "WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS \"window\" FROM orders WHERE o_custkey % 2 = 0), m AS (SELECT CAST(o_orderdate AS DATE) AS \"window\", o_orderpriority AS session, avg(o_totalprice) / 1000 - 240 AS edge, round(min(o_totalprice) / 500000, 4) AS t FROM orders GROUP BY 1, 2)\nSELECT w.\"window\", session, edge, CASE WHEN t > 0 THEN t ELSE 0.82 END AS threshold FROM w JOIN m USING (\"window\") WHERE edge > 10")
 def model_lookup(spark, d):
-    records = load(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("session")).agg(F.round(F.avg("o_totalprice") / 1000 - 240, 2).alias("edge"), F.round(F.min("o_totalprice") / 500000, 4).alias("prob_threshold"))
+    records = load(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("session")).agg((F.avg("o_totalprice") / 1000 - 240).alias("edge"), F.round(F.min("o_totalprice") / 500000, 4).alias("prob_threshold"))
     return registry.runnable(load(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0).select(F.to_date("o_orderdate").alias("window")), records, 0.82, 10)
 
 
