@@ -92,7 +92,9 @@ def test_edits_follow_the_next_document(spark, sf_dir, real):
     assert sorted(by_print.values()) == sorted(by_form.values())
 
 
-def test_next_document_crosses_blocks(docs_of):
+@pytest.mark.parametrize("cuts", [512, 3])
+def test_next_document_crosses_blocks(docs_of, monkeypatch, cuts):
+    monkeypatch.setattr(fingerprints, "MOST_CUTS", cuts)
     rows = [(i * i, f"text {i}") for i in range(300)]
     got = {r[0]: r[2] for r in fingerprints.with_next(docs_of(rows), chars_per_block=40).collect()}
     assert got == {i * i: f"text {(i + 1) % 300}" for i in range(300)}

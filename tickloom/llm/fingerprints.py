@@ -17,6 +17,10 @@ from .common import only, table
 
 #: Code points whose rows one task holds at once when it looks at the next document.
 CHARS_PER_BLOCK = 2_000_000
+#: Blocks at most, so that their first rows are few enough to broadcast; beyond, blocks grow and spill.
+MOST_BLOCKS = 1 << 16
+#: Quantiles at most that cut the ids; between two, ids are cut evenly.
+MOST_CUTS = 512
 
 
 def _composition() -> dict[str, tuple[str, str]]:
@@ -83,25 +87,34 @@ def collisions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_block: int = CHARS_PER_BLOCK) -> DataFrame:
     """id, text and next_text, the text of the next row by ascending (id, text); after the last row comes the first.
 
-    Null ids come first. Ids are cut at quantiles into blocks of about chars_per_block; each block also gets the first
-    row of the block after it, so the next row is found inside a block and no task sees the whole order.
+    Null ids come first. Ids are cut into blocks of about chars_per_block, at quantiles and evenly between them; each
+    block also gets the first row of the block after it, so the next row is found inside a block and no task sees the
+    whole order. A block is a window that spills; its rows alone are sorted.
     """
     rows = only(docs, id_col, text_col).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     n, chars = rows.select(F.count("*"), F.sum(F.length("_text"))).first()
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(n or 1, max(partitions, -(-(chars or 0) // chars_per_block)))
-    cuts = rows.select(F.percentile_approx(id_col, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-
-    def block_of(lo: int, hi: int) -> Column:
-        """The number of cuts below the id, by halving."""
+    blocks = min(n or 1, MOST_BLOCKS, max(partitions, -(-(chars or 0) // chars_per_block)))
+    ranges = min(blocks, MOST_CUTS)
+    low, high, quantiles = rows.select(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()
+    cuts = sorted(set(quantiles or [])) if ranges > 1 else []
+    parts = -(-blocks // ranges)
+
+    def range_of(lo: int, hi: int) -> Column:
+        """The number of cuts below the id, by halving; a null id is in the first range."""
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(id_col) > F.lit(cuts[mid]), block_of(mid + 1, hi)).otherwise(block_of(lo, mid))
-
+        return F.when(F.col(id_col) > F.lit(cuts[mid]), range_of(mid + 1, hi)).otherwise(range_of(lo, mid))
+
+    block = range_of(0, len(cuts)).cast("long")
+    if parts > 1:
+        edges = F.array(*[F.lit(float(x)) for x in [low, *cuts, high]])
+        begin, end = edges[block.cast("int")], edges[block.cast("int") + 1]
+        within = F.floor((F.col(id_col).cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)) * parts)
+        block = block * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.coalesce(within, F.lit(0)))).cast("long")
     order = F.struct(F.col(id_col), F.col("_text"))
-    placed = rows.withColumn("_block", block_of(0, len(cuts)))
+    placed = rows.withColumn("_block", block)
     # the first row of each block, by its narrow key, moves to the block before; the very first to the last block
     firsts = placed.groupBy("_block").agg(F.min(F.struct(F.coalesce(F.col(id_col).isNotNull(), F.lit(False)).alias("known"), F.col(id_col).alias("id"))).alias("first"))
     ring = W.orderBy("_block")
