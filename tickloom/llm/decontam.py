@@ -34,7 +34,7 @@ class Settings:
     shingle: int = 5  # words
     overlap: float = 0.8  # share of an item's shingles that makes a leak
     segment: int = 64  # words of a segment; passages are two as long and begin every segment's length
-    block: int = 16  # segments of a block
+    block: int = 8  # segments of a block
     k1: float = 1.2
     b: float = 0.75
     index_mb: int = 16  # of item texts in one index; more items make more passes
@@ -92,6 +92,7 @@ class Index:
         self.block = key[starts] % max(1, self.n_blocks)
         self.block_most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.block_at = np.searchsorted(self.term[starts], np.arange(len(df) + 1))
+        self.block_from, self.block_n = starts, np.diff(starts, append=len(key))
 
     def retrieve(self, docs: list[list[str]]) -> list[tuple[int, int, float]]:
         """(document, item, best score against the threshold, 1 or more) of every passage and segment above it."""
@@ -114,17 +115,25 @@ class Index:
         own = np.repeat(np.arange(len(docs)), halves)
         both = most.copy()
         both[:-1][own[:-1] == own[1:]] += most[1:][own[:-1] == own[1:]]
+        likely = both >= 1 - 1e-9
+        # the terms of the passages that have a likely block, each once, and their postings in these blocks alone
+        asked = likely.any(axis=1)
+        second = np.concatenate([[False], asked[:-1] & (own[:-1] == own[1:])])
+        a, b = asked[half], second[half]
+        pairs = np.unique(np.concatenate([half[a] * v + tid[a], (half[b] - 1) * v + tid[b]]))
+        passage, tid = pairs // v, pairs % v
+        n = self.block_at[tid + 1] - self.block_at[tid]
+        at, passage = _ragged(self.block_at[tid], n), np.repeat(passage, n)
+        kept = likely[passage, self.block[at]]
+        at, passage = at[kept], passage[kept]
+        n = self.block_n[at]
+        at, passage = _ragged(self.block_from[at], n), np.repeat(passage, n)
+        keys, place = np.unique(passage * len(self.item_of) + self.segment[at], return_inverse=True)
+        scores = np.bincount(place, self.weight[at], len(keys))
         best: dict[tuple[int, int], float] = {}
-        for w, b in zip(*np.nonzero(both >= 1 - 1e-9), strict=True):
-            a, e = np.searchsorted(half, (w, w + 2 if w + 1 < len(own) and own[w + 1] == own[w] else w + 1))
-            terms = np.unique(tid[a:e])
-            n = self.at[terms + 1] - self.at[terms]
-            at = _ragged(self.at[terms], n)
-            at = at[self.segment[at] // self.settings.block == b]
-            score = np.bincount(self.segment[at] - b * self.settings.block, self.weight[at])
-            for s in np.flatnonzero(score >= 1 - 1e-9):
-                key = (int(own[w]), int(self.item_of[b * self.settings.block + s]))
-                best[key] = max(best.get(key, 0.0), float(score[s]))
+        for key, score in zip(keys[scores >= 1 - 1e-9].tolist(), scores[scores >= 1 - 1e-9].tolist(), strict=True):
+            found = (int(own[key // len(self.item_of)]), int(self.item_of[key % len(self.item_of)]))
+            best[found] = max(best.get(found, 0.0), score)
         return [(d, i, s) for (d, i), s in sorted(best.items())]
 
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
