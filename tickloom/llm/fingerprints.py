@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, passing_shuffles, table
 
 #: Code points whose rows one task holds at once when it looks at the next document.
 CHARS_PER_BLOCK = 2_000_000
@@ -149,8 +149,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _told_apart(marked: DataFrame, docs: DataFrame, text_col: str, found: DataFrame | None = None) -> DataFrame:
     """Adds a rank to the fingerprints of the rows in buckets that hold different bytes, if there are such buckets."""
     found = collisions(docs, text_col) if found is None else found
-    if found.isEmpty():
-        return marked
+    with passing_shuffles(docs.sparkSession):
+        if found.isEmpty():
+            return marked
     ranks = found.select(F.col("digest").alias("fingerprint"), "form", "rank")
     return marked.join(ranks, ["fingerprint", "form"], "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "rank")).drop("rank")
 
