@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     known = only(labels, id_col, label_col).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     n, toxic = known.select(F.count("*"), F.sum("_y")).first()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, settings.sample / max(1, n)))
-    rows = only(docs, id_col, text_col).filter(draw).join(known.filter(draw), id_col).select(F.col(text_col).alias("body"), "_y")
+    # the drawn labels are about settings.sample narrow rows, so they go to the texts, and no text is shuffled
+    rows = only(docs, id_col, text_col).filter(draw).join(F.broadcast(known.filter(draw)), id_col).select(F.col(text_col).alias("body"), "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
