@@ -156,11 +156,6 @@ def _told_apart(marked: DataFrame, docs: DataFrame, text_col: str, found: DataFr
     return marked.join(ranks, ["fingerprint", "form"], "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "rank")).drop("rank")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two exact digests: 1 if they are equal, else 0."""
-    return (a == b).cast("double")
-
-
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is the start of the next document.
 
