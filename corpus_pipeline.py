@@ -62,7 +62,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they decode to its bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bytebpe.decoded(bytebpe.encoded(docs, path), path)
+    rows = bytebpe.coded(docs, path)
     return rows.select(
         "doc_id",
         "lang",

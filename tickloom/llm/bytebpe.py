@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, slices, table
 
 #: Characters of a leaf.
 LEAF = 2048
@@ -99,19 +99,25 @@ def decode_ids(ids: list[int], decode, size: int = LEAF) -> bytes:
     return decode_ids(ids[:mid], decode, size) + decode_ids(ids[mid:], decode, size)
 
 
-def _mapped(rows: DataFrame, column: str, made: str, kind: str, each) -> DataFrame:
-    """rows with one more column, made from another in Arrow batches that are handed on a few rows at a time."""
+def _mapped(rows: DataFrame, column: str, made: list[str], each) -> DataFrame:
+    """rows with more binary columns, made from one in Arrow batches that are handed on in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                out = pa.array([each(v.as_py()) for v in part.column(at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*batch.schema.names, made])
+        for part in slices(batches, column):
+            out = list(zip(*(each(v.as_py()) for v in part.column(column)), strict=True))
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.binary()) for x in out)], names=[*part.schema.names, *made])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{made}` {kind}"])
-    return rows.mapInArrow(run, schema)
+    held = rows.drop(*made)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields), *(f"`{m}` binary" for m in made)])
+    return held.mapInArrow(run, schema)
+
+
+def _ids(text: str | None, path: str, pattern: str) -> bytes:
+    return np.array(encode_text(text or "", tokenizer(path, pattern).encode_ordinary), "<u4").tobytes()
+
+
+def _bytes(ids: bytes | None, path: str, pattern: str) -> bytes:
+    return decode_ids(np.frombuffer(ids or b"", "<u4").tolist(), tokenizer(path, pattern).decode_bytes)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -120,26 +126,27 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     Null and empty texts have no ids. A text is encoded where it lies, without a shuffle; the size of a text bounds what
     a task holds. The rank file must be at the same path on every machine. An input column called ids_col is replaced.
     """
-
-    def each(text: str | None) -> bytes:
-        return np.array(encode_text(text or "", tokenizer(path, pattern).encode_ordinary), "<u4").tobytes()
-
-    return _mapped(docs.drop(ids_col), text_col, ids_col, "binary", each)
+    return _mapped(docs, text_col, [ids_col], lambda text: (_ids(text, path, pattern),))
 
 
 def decoded(rows: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """rows with bytes_col: the bytes of the ids; null ids count as none. An input column of that name is replaced."""
+    return _mapped(rows, ids_col, [bytes_col], lambda ids: (_bytes(ids, path, pattern),))
+
+
+def coded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """decoded(encoded(docs)) in one pass, by one Python worker a task."""
 
-    def each(ids: bytes | None) -> bytes:
-        return decode_ids(np.frombuffer(ids or b"", "<u4").tolist(), tokenizer(path, pattern).decode_bytes)
+    def each(text: str | None) -> tuple[bytes, bytes]:
+        ids = _ids(text, path, pattern)
+        return ids, _bytes(ids, path, pattern)
 
-    return _mapped(rows.drop(bytes_col), ids_col, bytes_col, "binary", each)
+    return _mapped(docs, text_col, [ids_col, bytes_col], each)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encoded(only(table(spark, sf_dir, "documents"), "doc_id", "text"), path).drop("text")
-    return decoded(ids, path).select(
+    return coded(only(table(spark, sf_dir, "documents"), "doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

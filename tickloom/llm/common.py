@@ -6,6 +6,9 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,21 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Bytes of text that a Python worker takes up at once.
+BYTES_AT_ONCE = 1 << 19
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts have about so many bytes, so that a worker's memory doesn't follow the batch.
+
+    A longer text is a part of its own.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)

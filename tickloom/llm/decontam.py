@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, slices, table
 
 WORD = re.compile(r"\w+")
 #: Where an item's last sentence, taken for its answer, may begin.
@@ -179,14 +179,11 @@ def screened(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
         held = spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in mine.collect()), settings))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, to = batch.schema.get_field_index(text_col), batch.schema.get_field_index("leaks")
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
-                    found = [[*old, *new] for old, new in zip(part.column(to).to_pylist(), held.value.leaks(part.column(at).to_pylist()), strict=True)]
-                    columns = [*part.columns]
-                    columns[to] = pa.array(found, kind)
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in slices(batches, text_col):
+                found = [[*old, *new] for old, new in zip(part.column("leaks").to_pylist(), held.value.leaks(part.column(text_col).to_pylist()), strict=True)]
+                columns = [*part.columns]
+                columns[part.schema.get_field_index("leaks")] = pa.array(found, kind)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, table
+from .common import crc_mod, only, slices, table
 
 SIZES = (3, 4, 5)  # letters of an n-gram, a word's edge counting as one
 SLOTS_LOG2 = 21  # slots of the filter: 2**21 longs for up to 64 languages, 16 MB whatever the corpus
 PROBES = 2
+GRAM_BYTES = 1 << 18  # of texts whose n-grams a worker holds at once: about 300 bytes of arrays for each
 #: Documents of a language that training reads at most, about: the bound of the training sample, a parameter.
 SAMPLE_A_LANGUAGE = 4000
 #: An n-gram belongs to a language if it is at least so frequent there, against where it is most frequent ...
@@ -123,7 +124,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     kept = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("lang")).filter(draw < F.col("share")).select("k", F.col(text_col).alias("body")) if lang_col != "lang" else rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("k", F.col(text_col).alias("body"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, GRAM_BYTES):  # the aggregate that follows combines the parts before it shuffles
             ks = np.array(batch.column(0).to_pylist())
             texts = batch.column(1).to_pylist()
             for k in np.unique(ks):
@@ -148,12 +149,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 yield pa.RecordBatch.from_arrays([pa.array((k // 64).astype(np.int32)), pa.array(where), pa.array(bit)], names=["slice", "slot", "bits"])
 
     filled = held.mapInArrow(place, "slice int, slot bigint, bits bigint").groupBy("slice", "slot").agg(F.bit_or("bits").alias("bits"))
-    slices = [np.zeros(1 << SLOTS_LOG2, np.uint64) for _ in range(-(-len(languages) // 64))]
+    held_bits = [np.zeros(1 << SLOTS_LOG2, np.uint64) for _ in range(-(-len(languages) // 64))]
     got = filled.toArrow()
-    for s in range(len(slices)):
+    for s in range(len(held_bits)):
         mine = np.asarray(got.column("slice")) == s
-        slices[s][np.asarray(got.column("slot"))[mine]] = np.asarray(got.column("bits"))[mine].view(np.uint64)
-    return Model(languages, slices)
+        held_bits[s][np.asarray(got.column("slot"))[mine]] = np.asarray(got.column("bits"))[mine].view(np.uint64)
+    return Model(languages, held_bits)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -166,12 +167,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                names, scores = held.value.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for part in slices(batches, text_col, GRAM_BYTES):
+            names, scores = held.value.predict(part.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     rows = docs.drop("lang_pred", "score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "lang_pred string, score double"])

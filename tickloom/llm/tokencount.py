@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, slices, table
 
 #: What the model writes for a space.
 SPACE = "▁"
@@ -164,14 +164,11 @@ def counted(docs: DataFrame, path: str, limit: int = 4096, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, model = compiled(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                counts = [count_tokens(model.normalize(t), machine, chunk) if t else 0 for t in part.column(at).to_pylist()]
-                if len(machine.states) > MOST_STATES:
-                    machine.forget()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
+        for part in slices(batches, text_col):
+            counts = [count_tokens(model.normalize(t), machine, chunk) if t else 0 for t in part.column(text_col).to_pylist()]
+            if len(machine.states) > MOST_STATES:
+                machine.forget()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, "n_tokens"])
 
     rows = docs.drop("n_bytes", "n_tokens", "over_limit")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "n_tokens bigint"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, table
+from .common import crc_mod, only, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -154,13 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     rows = only(docs, id_col, text_col).filter(draw).join(F.broadcast(known.filter(draw)), id_col).select(F.col(text_col).alias("body"), "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part, seen = batch.slice(a, 512), defaultdict(lambda: [0, 0])
-                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for f in features(text):
-                        seen[f][y] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["feature", "other", "toxic"])
+        for part in slices(batches, 0, 1 << 21):
+            seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for f in features(text):
+                    seen[f][y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["feature", "other", "toxic"])
 
     base = np.clip((toxic or 0) / max(1, n), 1e-4, 1 - 1e-4)
     flat = Model({}, np.array([0.0] * (len(LEXICONS) + len(PATTERNS) + 1) + [float(np.log(base / (1 - base)))]))
@@ -174,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     model = Model({f: k for k, f in enumerate(names)}, flat.weights)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             made = [model.row(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(f) for f, _ in made], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.int32())), batch.column(1)], names=["at", "n", "votes", "y"])
 
@@ -198,11 +197,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(part.column(at).to_pylist()), pa.float64())], names=[*batch.schema.names, "score"])
+        for part in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(part.column(text_col).to_pylist()), pa.float64())], names=[*part.schema.names, "score"])
 
     rows = docs.drop("score", "predicted")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "score double"])
