@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bytebpe, decontam, langid, secrets, simhash
+from tickloom.llm import bytebpe, decontam, langid, minhash, secrets
 from tickloom.llm.common import checkpointed, crc_mod, table
 
 
@@ -26,11 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one.
+    """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one. Texts are linked
+    by a Jaccard similarity of 0.8 or more of their five-word shingles, and groups are chains of links.
 
     Rows without a doc_id can't be told apart: one stays of those that share a group with no other, none elsewhere.
     """
-    classes = simhash.near_duplicates(docs)
+    made, parts = minhash.groups(minhash.hashed(docs))
+    named_parts = parts.groupBy("label").agg(F.min("row.doc_id").alias("component_id"))
+    classes = made.join(parts.select("code", "label").join(named_parts, "label"), "code").select("doc_id", "component_id")
     named = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     # narrow rows decide: how many rows hold each id, and whether the id names its group
     ids = checkpointed(classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("names"), F.count("*").alias("n")))

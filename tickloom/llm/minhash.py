@@ -1,0 +1,177 @@
+"""Near-duplicates by the likeness of word shingles: MinHash finds candidates, the shingles themselves decide.
+
+A text is the set of its five-word shingles. Texts of equal sets have one code. Of 64 minima per set, 16 bands of 4
+select candidates: sets of Jaccard 0.8 share no band once in 4,800 pairs. In a band's bucket codes are joined by their
+signatures (9 of 16 minima equal, far below 0.8), which deals the texts into small parts; inside a part every pair not
+yet joined is compared by its real shingles, and only pairs of Jaccard 0.8 or more are links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, only
+from .simhash import components
+
+SHINGLE = 5  # words
+#: Least Jaccard similarity of near duplicates, as a fraction.
+LIKE = (4, 5)
+BANDS, ROWS = 16, 4
+#: Equal minima, of BANDS * ROWS, that keep two codes of a bucket together: 0.8 gives fewer once in 100,000 pairs.
+LIKELY = 36
+
+_RND = np.random.default_rng(42)
+_XOR, _ODD = (_RND.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles; of fewer words, of the whole sequence."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+    k = min(SHINGLE, len(words))
+    starts = [0, *(e + 1 for e in ends[: len(words) - k])]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=True)), np.uint64))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The minima of a set under BANDS * ROWS hash functions."""
+    out = np.full(BANDS * ROWS, ~np.uint64(0))
+    for a in range(0, len(hashes), 1 << 11):
+        x = (hashes[a : a + (1 << 11), None] ^ _XOR) * _ODD
+        x ^= x >> np.uint64(32)
+        np.minimum(out, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=out)
+    return out
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with _h0 and _h1, 128 bits of all that a row holds. Null hashes as nothing, so which are null is hashed too."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in names])
+    return docs.withColumns({f"_h{i}": F.xxhash64(F.lit(i), nulls, *names) for i in range(2)})
+
+
+def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_h0, _h1 and id of every row of hashed docs, its code, its bands' keys and the last bytes of its signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            codes, bands, sigs = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), []
+            for i, text in enumerate(batch.column(3)):
+                hashes = shingle_hashes(text.as_py())
+                sig = signature(hashes)
+                codes[i] = xxhash.xxh64_intdigest(hashes.tobytes())
+                bands[i] = [xxhash.xxh64_intdigest(sig[m * ROWS : (m + 1) * ROWS].tobytes(), m) for m in range(BANDS)]
+                sigs.append(sig.astype(np.uint8).tobytes())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes.view(np.int64)), lists, pa.array(sigs, pa.binary())], names=["_h0", "_h1", id_col, "code", "bands", "sig"])
+
+    rows = only(docs, "_h0", "_h1", id_col, text_col)
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"_h0 bigint, _h1 bigint, `{id_col}` {kind}, code bigint, bands array<bigint>, sig binary")
+
+
+def spanned(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first member of the part of each of 0..n-1, where near(i, others) tells which of the others are linked to i.
+
+    Links inside a part are not asked for again, so a part of like members costs about one comparison each.
+    """
+    root, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, left = left[0], left[1:]
+        todo = [first]
+        while todo and len(left):
+            hit = near(todo.pop(), left)
+            root[left[hit]] = first
+            todo += left[hit].tolist()
+            left = left[~hit]
+    return root
+
+
+def _in_groups(rows: DataFrame, join: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows of (key, code, value) dealt by key -> links (a, b) of each key of two codes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = part.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            for g in np.flatnonzero(np.diff(edges) > 1).tolist():
+                a, b = join(part.slice(edges[g], edges[g + 1] - edges[g]))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if held and (last or held[-1].column(0)[-1].as_py() != key[-1]):
+                first = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), "right"))
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, first)]))
+                yield from done(pa.Table.from_batches([batch.slice(first, max(0, last - first))]))
+                held = [batch.slice(last)]
+            else:
+                yield from done(pa.Table.from_batches([batch.slice(0, last)]))
+                held.append(batch.slice(last))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return rows.repartition("key").sortWithinPartitions("key", "code").mapInArrow(run, "a bigint, b bigint")
+
+
+def _moved(codes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    moved = root != np.arange(len(root))
+    return codes[moved], codes[root[moved]]
+
+
+def _by_signature(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sigs = np.frombuffer(b"".join(bucket.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return _moved(bucket.column(1).to_numpy(), spanned(len(sigs), lambda i, others: (sigs[others] == sigs[i]).sum(axis=1) >= LIKELY))
+
+
+def _by_shingles(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, new = np.unique(part.column(1).to_numpy(), return_index=True)  # a row that is repeated comes repeatedly
+    sets = [shingle_hashes(part.column(2)[i].as_py()) for i in new.tolist()]
+    sizes = np.array([len(s) for s in sets])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        hit = LIKE[1] * np.minimum(sizes[others], sizes[i]) >= LIKE[0] * np.maximum(sizes[others], sizes[i])
+        for o in np.flatnonzero(hit).tolist():
+            mine, theirs = sets[i], sets[others[o]]
+            at = np.searchsorted(mine, theirs)
+            common = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum()) if len(mine) else 0
+            hit[o] = LIKE[1] * common >= LIKE[0] * (len(mine) + len(theirs) - common)
+        return hit
+
+    return _moved(codes, spanned(len(codes), near))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of hashed docs, (_h0, _h1, id, code) of every row and (code, label, row) of every code.
+
+    Codes of one label are joined by chains of near duplicates; row is the least of the code's rows, as (id is null, id,
+    _h0, _h1). Null, empty and wordless texts are equal to each other; an empty table gives empty ones. Texts travel only
+    where a code has a candidate.
+    """
+    made = checkpointed(prints(docs, id_col, text_col))
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col), "_h0", "_h1")
+    firsts = checkpointed(made.groupBy("code").agg(F.min(row).alias("row"), F.min("bands").alias("bands"), F.min("sig").alias("sig")))
+    likely = components(_in_groups(firsts.select(F.explode("bands").alias("key"), "code", "sig"), _by_signature))
+    asked = firsts.join(likely, firsts["code"] == likely["node"]).select(F.col("label").alias("key"), "code", "row._h0", "row._h1")
+    texts = only(docs, "_h0", "_h1", text_col).join(asked, ["_h0", "_h1"]).select("key", "code", text_col)
+    joined = components(_in_groups(texts, _by_shingles)).withColumnRenamed("node", "code")
+    parts = firsts.select("code", "row").join(joined, "code", "left").select("code", F.coalesce("label", "code").alias("label"), "row")
+    return made.select("_h0", "_h1", id_col, "code"), checkpointed(parts)
