@@ -29,24 +29,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one. Texts are linked
     by a Jaccard similarity of 0.8 or more of their five-word shingles, and groups are chains of links.
 
-    Rows without a doc_id can't be told apart: one stays of those that share a group with no other, none elsewhere.
+    Rows are judged one by one, whether or not they have a doc_id or share it: a row goes if its group has a row with a
+    lesser doc_id (none being the greatest, then by a hash of the row) or if it is the same row again.
     """
-    made, parts = minhash.groups(minhash.hashed(docs))
-    named_parts = parts.groupBy("label").agg(F.min("row.doc_id").alias("component_id"))
-    classes = made.join(parts.select("code", "label").join(named_parts, "label"), "code").select("doc_id", "component_id")
-    named = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    # narrow rows decide: how many rows hold each id, and whether the id names its group
-    ids = checkpointed(classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("names"), F.count("*").alias("n")))
-    gone = ids.filter(~F.col("names") | (F.col("n") > 1)).select(named.alias("_id"))
-    repeated = ids.filter(F.col("names") & (F.col("n") > 1)).select(named.alias("_id"))
-    keyed = docs.withColumn("_id", named)
-    once = keyed.join(gone, "_id", "left_anti")
+    keyed = minhash.hashed(docs)
+    made, parts = minhash.groups(keyed)
+    # narrow rows decide: which row each group keeps, and how many rows are the same
+    keeps = parts.groupBy("label").agg(F.min("row").alias("row")).select("row._h0", "row._h1", F.lit(True).alias("kept"))
+    rows = made.groupBy("_h0", "_h1").agg(F.count("*").alias("n")).join(keeps, ["_h0", "_h1"], "left").filter("kept is null or n > 1")
+    rows = checkpointed(rows.select("_h0", "_h1", F.col("kept").isNotNull().alias("kept")))
+    once = keyed.join(rows, ["_h0", "_h1"], "left_anti").select(*docs.columns)
+    repeated = rows.filter("kept")
     if repeated.isEmpty():
-        return once.drop("_id")
-    # rows that repeat an id: one text of each is taken, the least, by an aggregate that combines before it shuffles
-    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    ones = keyed.join(repeated, "_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return once.drop("_id").unionByName(ones)
+        return once
+    # rows that are the same: one is taken by an aggregate that combines before it shuffles
+    return once.unionByName(keyed.join(repeated, ["_h0", "_h1"], "left_semi").dropDuplicates(["_h0", "_h1"]).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,10 @@ def test_bands_find_pairs_at_the_least_likeness():
         same = a == b
         found += bool(same.reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any() and same.sum() >= minhash.LIKELY)
     assert found >= n - 5
+
+
+def test_rows_are_judged_by_their_group_not_by_their_id(spark, docs_of, sf_dir):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (3, e), (None, e)]
+    got = corpus_pipeline.near_duplicates(spark, docs_of(rows), sf_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e)])

@@ -160,7 +160,7 @@ def _by_shingles(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of hashed docs, (_h0, _h1, id, code) of every row and (code, label, row) of every code.
+    """Of hashed docs, (_h0, _h1) of every row and (code, label, row) of every code.
 
     Codes of one label are joined by chains of near duplicates; row is the least of the code's rows, as (id is null, id,
     _h0, _h1). Null, empty and wordless texts are equal to each other; an empty table gives empty ones. Texts travel only
@@ -174,4 +174,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     texts = only(docs, "_h0", "_h1", text_col).join(asked, ["_h0", "_h1"]).select("key", "code", text_col)
     joined = components(_in_groups(texts, _by_shingles)).withColumnRenamed("node", "code")
     parts = firsts.select("code", "row").join(joined, "code", "left").select("code", F.coalesce("label", "code").alias("label"), "row")
-    return made.select("_h0", "_h1", id_col, "code"), checkpointed(parts)
+    return made.select("_h0", "_h1"), checkpointed(parts)
