@@ -278,6 +278,21 @@ def test_edited_and_wrapped_passages(spark, docs_of, settings):
     assert got == want and len(want) > 40
 
 
+@pytest.mark.parametrize("parts", [2, 3])
+def test_items_interrupted_by_long_text(spark, docs_of, parts):
+    say = lambda name, n: [f"{name}{i}" for i in range(n)]
+    items = {i: say(f"item{i}x", n) for i, n in enumerate([60, 64, 100, 300])} | {4: ["so", "it", "goes"] * 20 + say("end", 40)}
+    docs = {}
+    for i, ws in items.items():
+        cuts = [ws[p * len(ws) // parts : (p + 1) * len(ws) // parts] for p in range(parts)]
+        docs[i] = " ".join(w for p, cut in enumerate(cuts) for w in [*say(f"other{p}x", 130), *cut])
+        docs[100 + i] = " ".join([*ws[: len(ws) // 2], *say("other", 300)])  # half of it is no leak
+    items = {i: " ".join(ws) for i, ws in items.items()}
+    rows = decontam.screened(docs_of(list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r["doc_id"], x["item_id"]) for r in rows.collect() for x in r["leaks"]}
+    assert got == brute_leaks(docs, items) >= {(i, i) for i in range(5)}
+
+
 def test_passes_over_a_large_benchmark(spark, docs_of, monkeypatch):
     items = {i: f"item number {i} asks what {i * 7} is in words. it is {i}" for i in range(40)}
     docs = docs_of([(i, f"before {items[i]} after") for i in range(40)])

@@ -1,12 +1,13 @@
 """Benchmark decontamination by a BM25 index of test items and block-max WAND.
 
-Items are cut into segments of a few dozen words, weighted by BM25 and inverted: word -> segments, and word -> blocks
-of segments with the largest weight in each. Every passage of every document is a query. Upper bounds from the blocks
-skip whole blocks of segments; what remains is scored exactly, and all segments above their threshold are retrieved.
-Then the words themselves are compared: how many of the item's word shingles, question and answer, the document has.
-
-Thresholds are lossless: a segment's is its score against itself less the largest weights of so many of its words as
-may be missing from a passage that still has the wanted share of its shingles.
+Items are cut into segments of a few dozen words and weighted by BM25; an item's weight of a word is the sum over its
+segments. Inverted: word -> items, and word -> blocks of items with the largest weight in each. Every whole document is
+a query, as a leak may be scattered over it. Upper bounds from the blocks skip whole blocks of items; what remains is
+scored exactly, and all items above their threshold are retrieved. Hashes of shingles leave out those that share words
+only. Then the words themselves are compared: how many of the item's word shingles, question and answer, the document has.
+
+Thresholds are lossless: an item's is its score against itself less the largest weights of so many of its words as may be
+missing from a document that still has the wanted share of its shingles, wherever they stand.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 class Settings:
     shingle: int = 5  # words
     overlap: float = 0.8  # share of an item's shingles that makes a leak
-    segment: int = 64  # words of a segment; passages are two as long and begin every segment's length
-    block: int = 8  # segments of a block
+    segment: int = 64  # words of a segment, at most
+    block: int = 8  # items of a block
     k1: float = 1.2
     b: float = 0.75
     index_mb: int = 16  # of item texts in one index; more items make more passes
@@ -59,7 +60,7 @@ class Index:
     """The inverted index of some items: (item_id, text) pairs. Its size is bounded by Settings.index_mb."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings = Settings()):
-        self.settings, self.items, segments = settings, [], []
+        self.settings, self.items, segments, lengths = settings, [], [], []
         for item_id, text in items:
             if not (ws := words(text)):
                 continue
@@ -68,73 +69,94 @@ class Index:
             every, k = shingles(ws, settings.shingle), settings.shingle
             answer = shingles(ws[len(ws) - n_answer :], k) & every if 0 < n_answer < len(ws) else set()
             self.items.append((item_id, every - answer, answer))
+            lengths.append(len(ws))
             n = -(-len(ws) // settings.segment)
             segments += [(len(self.items) - 1, ws[i * len(ws) // n : (i + 1) * len(ws) // n]) for i in range(n)]
-        self.item_of = np.array([i for i, _ in segments], np.int64)
-        self.n_blocks = -(-len(segments) // settings.block)
+        self.n_blocks = -(-len(self.items) // settings.block)
         counts = [Counter(ws) for _, ws in segments]
         df = Counter(w for c in counts for w in c)
         self.vocabulary = {w: t for t, w in enumerate(df)}
         mean = sum(len(ws) for _, ws in segments) / max(1, len(segments))
-        rows: list[tuple[int, int, float]] = []
-        for s, ((_, ws), c) in enumerate(zip(segments, counts, strict=True)):
+        weights: list[dict[str, float]] = [{} for _ in self.items]
+        for (i, ws), c in zip(segments, counts, strict=True):
             norm = settings.k1 * (1 - settings.b + settings.b * len(ws) / mean)
-            weight = {w: np.log1p((len(segments) - df[w] + 0.5) / (df[w] + 0.5)) * n * (settings.k1 + 1) / (n + norm) for w, n in c.items()}
-            may_miss = int((1 - settings.overlap) * len(ws) + 1e-9)
-            threshold = max(1e-9, sum(sorted(weight.values())[: max(1, len(weight) - may_miss)]))
-            rows += [(self.vocabulary[w], s, x / threshold) for w, x in weight.items()]
+            for w, n in c.items():
+                x = np.log1p((len(segments) - df[w] + 0.5) / (df[w] + 0.5)) * n * (settings.k1 + 1) / (n + norm)
+                weights[i][w] = weights[i].get(w, 0.0) + x
+        rows: list[tuple[int, int, float]] = []
+        for i, weight in enumerate(weights):
+            rows += [(self.vocabulary[w], i, x / self._threshold(i, lengths[i], weight)) for w, x in weight.items()]
         rows.sort()
-        self.term, self.segment = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        self.term, self.item = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[2] for r in rows])
         self.at = np.searchsorted(self.term, np.arange(len(df) + 1))
-        key = self.term * max(1, self.n_blocks) + self.segment // settings.block
+        key = self.term * max(1, self.n_blocks) + self.item // settings.block
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         self.block = key[starts] % max(1, self.n_blocks)
         self.block_most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.block_at = np.searchsorted(self.term[starts], np.arange(len(df) + 1))
         self.block_from, self.block_n = starts, np.diff(starts, append=len(key))
+        hashes = [self._hashes(np.array([[self.vocabulary[w] for w in s] for s in q | a if len(s) == settings.shingle], np.int64).reshape(-1, settings.shingle)) for _, q, a in self.items]
+        self.hash, self.hash_n = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array([len(h) for h in hashes], np.int64)
+        self.hash_from = np.cumsum(self.hash_n) - self.hash_n
+
+    def _threshold(self, i: int, n_words: int, weight: dict[str, float]) -> float:
+        """The least score of a document that holds item i.
+
+        Of n - k + 1 shingles, all different, m missing words leave out m at least. Where shingles repeat, each missing
+        word that begins a shingle leaves out one of its own; only words of the last k - 1 places may begin none.
+        """
+        _, question, answer = self.items[i]
+        n, k = len(question) + len(answer), self.settings.shingle
+        may_miss = int(n * (1 - self.settings.overlap) + 1e-9)
+        if may_miss and n < n_words - k + 1:
+            may_miss += k - 1
+        return max(1e-9, sum(sorted(weight.values())[: max(1, len(weight) - may_miss)]))
+
+    @staticmethod
+    def _hashes(ids: np.ndarray) -> np.ndarray:
+        """A hash of each row of word ids."""
+        out = np.zeros(len(ids), np.uint64)
+        for column in ids.T:
+            out = (out + column.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
     def retrieve(self, docs: list[list[str]]) -> list[tuple[int, int, float]]:
-        """(document, item, best score against the threshold, 1 or more) of every passage and segment above it."""
+        """(document, item, score against the threshold, 1 or more) of every document and item above it."""
         if not self.items:
             return []
-        size, get = self.settings.segment, self.vocabulary.get
+        v, k, get = len(self.vocabulary), self.settings.shingle, self.vocabulary.get
         ids = [np.array(list(map(get, ws, repeat(-1))), np.int64) for ws in docs]
-        halves = np.array([max(1, -(-len(ws) // size)) for ws in docs])
-        first = np.concatenate([[0], np.cumsum(halves)])
-        half = np.concatenate([f + np.arange(len(x)) // size for f, x in zip(first, ids, strict=False)]) if ids else np.zeros(0, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        known = flat >= 0
-        v = len(self.vocabulary)
-        pairs = np.unique(half[known] * v + flat[known])
-        half, tid = pairs // v, pairs % v
-        # upper bounds of each half passage in each block; a passage's are the sums of its two halves
-        n = self.block_at[tid + 1] - self.block_at[tid]
-        at = _ragged(self.block_at[tid], n)
-        most = np.bincount(np.repeat(half, n) * self.n_blocks + self.block[at], self.block_most[at], first[-1] * self.n_blocks).reshape(-1, self.n_blocks)
-        own = np.repeat(np.arange(len(docs)), halves)
-        both = most.copy()
-        both[:-1][own[:-1] == own[1:]] += most[1:][own[:-1] == own[1:]]
-        likely = both >= 1 - 1e-9
-        # the terms of the passages that have a likely block, each once, and their postings in these blocks alone
-        asked = likely.any(axis=1)
-        second = np.concatenate([[False], asked[:-1] & (own[:-1] == own[1:])])
-        a, b = asked[half], second[half]
-        pairs = np.unique(np.concatenate([half[a] * v + tid[a], (half[b] - 1) * v + tid[b]]))
-        passage, tid = pairs // v, pairs % v
+        flat, owner = np.concatenate([*ids, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), [len(x) for x in ids])
+        pairs = np.unique(owner[flat >= 0] * v + flat[flat >= 0])
+        doc, tid = pairs // v, pairs % v
+        # upper bounds of each document in each block
         n = self.block_at[tid + 1] - self.block_at[tid]
-        at, passage = _ragged(self.block_at[tid], n), np.repeat(passage, n)
-        kept = likely[passage, self.block[at]]
-        at, passage = at[kept], passage[kept]
+        at, doc = _ragged(self.block_at[tid], n), np.repeat(doc, n)
+        most = np.bincount(doc * self.n_blocks + self.block[at], self.block_most[at], len(docs) * self.n_blocks).reshape(-1, self.n_blocks)
+        # postings in likely blocks alone
+        kept = (most >= 1 - 1e-9)[doc, self.block[at]]
+        at, doc = at[kept], doc[kept]
         n = self.block_n[at]
-        at, passage = _ragged(self.block_from[at], n), np.repeat(passage, n)
-        keys, place = np.unique(passage * len(self.item_of) + self.segment[at], return_inverse=True)
+        at, doc = _ragged(self.block_from[at], n), np.repeat(doc, n)
+        keys, place = np.unique(doc * len(self.items) + self.item[at], return_inverse=True)
         scores = np.bincount(place, self.weight[at], len(keys))
-        best: dict[tuple[int, int], float] = {}
-        for key, score in zip(keys[scores >= 1 - 1e-9].tolist(), scores[scores >= 1 - 1e-9].tolist(), strict=True):
-            found = (int(own[key // len(self.item_of)]), int(self.item_of[key % len(self.item_of)]))
-            best[found] = max(best.get(found, 0.0), score)
-        return [(d, i, s) for (d, i), s in sorted(best.items())]
+        keys, scores = keys[scores >= 1 - 1e-9], scores[scores >= 1 - 1e-9]
+        doc, item = keys // len(self.items), keys % len(self.items)
+        # as many of an item's shingles, by hash, as a leak has; items of fewer words than a shingle have none and stay
+        found: list[tuple[int, int, float]] = []
+        for d in np.unique(doc).tolist():
+            mine = slice(*np.searchsorted(doc, [d, d + 1]).tolist())
+            rows = np.lib.stride_tricks.sliding_window_view(ids[d], k) if len(ids[d]) >= k else np.zeros((0, k), np.int64)
+            held = np.unique(self._hashes(rows[(rows >= 0).all(axis=1)]))
+            n = self.hash_n[item[mine]]
+            asked = self.hash[_ragged(self.hash_from[item[mine]], n)]
+            here = np.isin(asked, held)
+            common = np.bincount(np.repeat(np.arange(len(n)), n), here, len(n))
+            enough = common >= self.settings.overlap * n - 1e-9
+            found += [(d, i, s) for i, s in zip(item[mine][enough].tolist(), scores[mine][enough].tolist(), strict=True)]
+        return found
 
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
         """Of each text, the items that it holds by the wanted share of their shingles."""
