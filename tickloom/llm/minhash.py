@@ -1,7 +1,7 @@
 """Near-duplicates by the likeness of word shingles: MinHash finds candidates, the shingles themselves decide.
 
 A text is the set of its five-word shingles. Texts of equal sets have one code. Of 64 minima per set, 16 bands of 4
-select candidates: sets of Jaccard 0.8 share no band once in 4,800 pairs. In a band's bucket codes are joined by their
+select candidates: sets of Jaccard 0.8 share no band once in 4,600 pairs. In a band's bucket codes are joined by their
 signatures (9 of 16 minima equal, far below 0.8), which deals the texts into small parts; inside a part every pair not
 yet joined is compared by its real shingles, and only pairs of Jaccard 0.8 or more are links.
 """
