@@ -3,8 +3,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
-from tickloom.llm import minhash
+from tickloom.llm import nearcopies
 
 
 def brute_groups(texts):
@@ -50,14 +52,24 @@ def test_stage_of_all_documents(spark, real, sf_dir):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == want
 
 
-def test_bands_find_pairs_at_the_least_likeness():
-    rnd, found, n = random.Random(5), 0, 2000
+def test_masks_bring_pairs_at_the_least_likeness_together():
+    rnd, n = random.Random(5), 1500
+    masks = [np.array(m, np.int64).view(np.uint64) for m in nearcopies.drawn_masks(9, 1)]
+    found = 0
     for _ in range(n):
         common, left, right = rnd.sample(range(1 << 62), 80), rnd.sample(range(1 << 62), 10), rnd.sample(range(1 << 62), 10)
-        a, b = (minhash.signature(minhash.np.array(sorted(common + x), minhash.np.uint64)) for x in (left, right))
-        same = a == b
-        found += bool(same.reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any() and same.sum() >= minhash.LIKELY)
-    assert found >= n - 5
+        a, b = (nearcopies.fingerprint(np.array(common + x, np.uint64)) for x in (left, right))
+        found += np.bitwise_count(a ^ b).sum() <= nearcopies.RADIUS and any(not ((a ^ b) & m).any() for m in masks)
+    assert found >= (nearcopies.RECALL - 0.03) * n
+
+
+def test_large_families_are_dealt_to_tasks_and_lose_no_link(spark, docs_of, sf_dir, monkeypatch):
+    for name, value in (("FAMILY", 4), ("LEADERS", 2), ("NODE_LIMIT", 6)):
+        monkeypatch.setattr(nearcopies, name, value)
+    texts = edited(11, 4, 40)
+    want = brute_groups(texts)
+    got = corpus_pipeline.near_duplicates(spark, docs_of(list(enumerate(texts))), sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(want))
 
 
 def test_rows_are_judged_by_their_group_not_by_their_id(spark, docs_of, sf_dir):

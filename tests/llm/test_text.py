@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import bytebpe, decontam, langid, simhash, tokencount, toxicity
+from tickloom.llm import bytebpe, common, decontam, langid, simhash, tokencount, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -176,7 +176,7 @@ def test_links_lose_no_pair(spark, node_limit):
 
 def test_tree_search_equals_all_pairs():
     codes = np.sort(np.array(planted_codes(3000, 8), np.uint64))
-    got = {(int(i), int(j)) for a, b in simhash._near(codes, 4) for i, j in zip(a, b, strict=True)}
+    got = {(int(i), int(j)) for a, b in simhash._near(codes.reshape(-1, 1), 4) for i, j in zip(a, b, strict=True)}
     want = {(i, int(j) + i + 1) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= 4)}
     assert got == want
 
@@ -187,7 +187,29 @@ def test_masks_share_a_choice_of_blocks(blocks):
     chosen = simhash.masks(blocks, 4, list(range(64)))
     for _ in range(300):
         difference = sum(1 << b for b in rnd.sample(range(64), 4))
-        assert any(not difference & m & ((1 << 64) - 1) for m in chosen)
+        assert any(not difference & m & ((1 << 64) - 1) for (m,) in chosen)
+
+
+def test_hot_labels_and_hubs_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rnd = random.Random(4)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(70)]
+    parent = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: parent[n] for e in edges if e[0] != e[1] for n in e}
+
+
+def test_one_large_group_of_near_copies(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 300, 3)] + [f"other text number {k}" for k in range(40)]
+    want = brute_parts({i: brute_code(t) for i, t in enumerate(texts)})
+    got = simhash.near_duplicates(docs_of(list(enumerate(texts))), node_limit=10).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
 def test_long_chain_ends(spark):

@@ -1,11 +1,13 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Every text gets a 64-bit fingerprint from the hashes of its word shingles. Fingerprints with at most `radius` differing
-bits are linked, exactly: of `radius + f` blocks of bits, f are equal in two linked fingerprints, so both meet in the
-upper node of some choice of f blocks. A node's fingerprints are sorted by Gray rank, runs of them are factored into a
-tree whose nodes keep the bits that all below share (mask and pattern), and pairs of nodes whose shared bits already
-differ too much are pruned whole. Only distinct fingerprints take part, and a node hands on a spanning forest of its
-links, so thousands of near copies don't become millions of pairs.
+Every text gets a fingerprint of one or more 64-bit words from the hashes of its word shingles. In the index, upper
+nodes are shared masked bit patterns: codes meet in the node of every mask under which their bits agree. A node's codes
+are sorted by Gray rank, runs of them are factored into a tree whose nodes keep the bits that all below share (mask and
+pattern), and pairs of nodes whose shared bits already differ too much are pruned whole. A node hands on a spanning
+forest of its links, so thousands of near copies don't become millions of pairs.
+
+For a small radius the masks are exact: of `radius + f` blocks of bits, f are equal in two linked codes, so both meet in
+the upper node of some choice of f blocks.
 """
 
 from __future__ import annotations
@@ -19,31 +21,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, table
+from .common import checkpointed, hot_keys, joined, only, table
 
 #: Children of a node of the tree.
 FANOUT = 16
 #: Pairs that one step of the search expands at once.
-PAIRS_AT_ONCE = 1 << 20
-#: Fingerprints of an upper node beyond which it is divided again by its other bits.
+PAIRS_AT_ONCE = 1 << 18
+#: Codes of an upper node beyond which it is divided again by other masks.
 NODE_LIMIT = 20_000
+#: Oversized nodes at most: the limit grows with the rows, so that their keys are few enough to broadcast.
+MOST_LARGE = 100_000
+#: One mask for each word of a code.
+Mask = tuple[int, ...]
 
 
-def simhash(text: str | None, words_a_shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text, unsigned; 0 for a text without words."""
+def shingle_hashes(text: str | None, words_a_shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle in order, repeats included; of fewer words, of the whole sequence; none of no words."""
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z and ASCII white space alone
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     k = min(words_a_shingle, len(words))
     starts = [0, *(e + 1 for e in ends[: len(words) - k])]
-    ones, n = np.zeros(64, np.int64), len(starts)
-    for a in range(0, n, 1 << 15):
-        part = zip(starts[a : a + (1 << 15)], ends[k - 1 + a : k - 1 + a + (1 << 15)], strict=False)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[s:e], seed) for s, e in part), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((xxhash.xxh64_intdigest(whole[s:e], seed) for s, e in zip(starts, ends[k - 1 :], strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of rows of hashes, one or more words wide: bits that are set in over half of them."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for a in range(0, len(hashes), 255):  # so many add up inside a byte
+        ones += np.unpackbits(hashes[a : a + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def simhash(text: str | None, words_a_shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint of one text, unsigned; 0 for a text without words."""
+    return int(majority(shingle_hashes(text, words_a_shingle, seed).reshape(-1, 1))[0])
 
 
 def fingerprints(docs: DataFrame, words_a_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,14 +80,14 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masks(blocks: int, radius: int, bits: list[int]) -> list[int]:
+def masks(blocks: int, radius: int, bits: list[int]) -> list[Mask]:
     """Bit masks of every choice of blocks - radius of the blocks into which the given bits are cut."""
     cuts = [bits[i * len(bits) // blocks : (i + 1) * len(bits) // blocks] for i in range(blocks)]
-    return [_signed(sum(1 << b for cut in chosen for b in cut)) for chosen in combinations(cuts, blocks - radius)]
+    return [(signed(sum(1 << b for cut in chosen for b in cut)),) for chosen in combinations(cuts, blocks - radius)]
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -84,9 +98,15 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
+def exact_levels(n: int, radius: int) -> list[list[Mask]]:
+    """Masks of the upper nodes, and those that divide oversized nodes again and again. Each level loses no link."""
+    spread = [b * 37 % 64 for b in range(64)]  # other neighbours than in order
+    return [masks(blocks_for(n, radius), radius, list(range(64))), masks(2 * radius, radius, spread), masks(2 * radius, radius, sorted(range(64), key=lambda b: (b % 8, b)))]
+
+
 def _tree(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels of (shared-bit masks, patterns), from the codes up; FANOUT nodes of a level share a node above."""
-    levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
+    levels = [(np.full(codes.shape, ~np.uint64(0)), codes)]
     while len(levels[-1][0]) > FANOUT:
         mask, pattern = levels[-1]
         at = np.arange(0, len(mask), FANOUT)
@@ -97,7 +117,7 @@ def _tree(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _near(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of codes, in Gray order, within the radius; a bounded number at once."""
+    """Index pairs of codes (rows of words), in Gray order, within the radius; a bounded number at once."""
     levels = _tree(codes)
     top = len(levels) - 1
     i, j = np.triu_indices(len(levels[top][0]))
@@ -105,7 +125,14 @@ def _near(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
     while stack:
         level, i, j = stack.pop()
         mask, pattern = levels[level]
-        near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= radius
+        apart = np.zeros(len(i), np.int64)  # differences accumulate word by word
+        for w in range(codes.shape[1]):
+            p, m = pattern[:, w], mask[:, w]
+            apart += np.bitwise_count(p[i] ^ p[j] if level == 0 else (p[i] ^ p[j]) & m[i] & m[j])
+            if w + 1 < codes.shape[1]:
+                near = apart <= radius
+                i, j, apart = i[near], j[near], apart[near]
+        near = apart <= radius
         i, j = i[near], j[near]
         if level == 0:
             yield i[i < j], j[i < j]
@@ -118,10 +145,16 @@ def _near(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
             stack.append((level - 1, x[ok], y[ok]))
 
 
-def _forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between distinct codes, as (code, least code of its part), for codes that aren't the least."""
+def _forest(names: np.ndarray, codes: np.ndarray, radius: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of codes as (name, another name of its part): a tree for each part, no row with many links.
+
+    Where classes are given, only pairs of different classes are linked.
+    """
     root = np.arange(len(codes))
     for i, j in _near(codes, radius):
+        if classes is not None:
+            apart = classes[i] != classes[j]
+            i, j = i[apart], j[apart]
         while len(i):
             i, j = root[i], root[j]
             apart = i != j
@@ -130,96 +163,106 @@ def _forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 np.minimum.at(root, j, i)
                 while (root[root] != root).any():
                     root = root[root]
-    least = codes[root]
-    moved = root != np.arange(len(codes))
-    return codes[moved], least[moved]
+    order = np.argsort(root, kind="stable")
+    first = np.concatenate([[True], root[order][1:] != root[order][:-1]])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    # the k-th of a part hangs on its (k - 1) // 2-th, as in a heap
+    child = np.flatnonzero(place > 0)
+    parent = child - place[child] + (place[child] - 1) // 2
+    return names[order[child]], names[order[parent]]
 
 
-def _links_in_nodes(routed: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Rows dealt by their node and sorted by Gray rank there -> links (a, b)."""
+def _links_in_nodes(routed: DataFrame, words: list[str], radius: int, class_col: str | None = None) -> DataFrame:
+    """Rows dealt by their node (key) and sorted by Gray rank there -> links (a, b)."""
+    wide = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        at: tuple | None = None
+        at: int | None = None
 
         def done() -> pa.RecordBatch | None:
-            codes = np.concatenate(held).view(np.uint64)
-            if len(codes) < 2:
+            rows = np.concatenate(held)
+            if len(rows) < 2:
                 return None
-            a, b = _forest(codes, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
+            a, b = _forest(rows[:, 0], np.ascontiguousarray(rows[:, 1 : wide + 1]).view(np.uint64), radius, rows[:, wide + 1] if class_col else None)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(keys))]
-            codes = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.zeros(len(codes), bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            edges = [0, *np.flatnonzero(new).tolist(), len(codes)]
+            key = batch.column(0).to_numpy()
+            rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for s, e in zip(edges, edges[1:], strict=False):
-                node = tuple(c[s] for c in cols)
-                if at is not None and node != at:
+                if at is not None and key[s] != at:
                     if (out := done()) is not None:
                         yield out
                     held = []
-                at = node
-                held.append(codes[s:e])
+                at = key[s]
+                held.append(rows[s:e])
         if held and (out := done()) is not None:
             yield out
 
-    # a node of one fingerprint has no links; the others' nodes are dealt by their key and come sorted
-    dealt = routed.repartition(*keys).sortWithinPartitions(*keys, gray_rank(F.col("code")))
-    return dealt.select(*keys, "code").mapInArrow(run, "a bigint, b bigint")
+    dealt = routed.repartition("key").sortWithinPartitions("key", *[gray_rank(F.col(w)) for w in words])
+    return dealt.select("key", "code", *words, *([class_col] if class_col else [])).mapInArrow(run, "a bigint, b bigint")
 
 
-def links(codes: DataFrame, radius: int = 4, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """Links (a, b) that join the distinct `code`s as all pairs within the radius would: every link is one, none between
-    parts is lost.
+def node_links(codes: DataFrame, levels: list[list[Mask]], words: list[str], radius: int, node_limit: int = NODE_LIMIT, class_col: str | None = None) -> DataFrame:
+    """Links (a, b) between the distinct `code`s whose words differ in at most radius bits, as far as masks bring them
+    together: of each node a spanning forest, which joins as all pairs would. With class_col, links across classes alone.
 
-    Nodes of more than node_limit codes, where many codes share the chosen blocks, are divided again by a choice of
-    blocks of the other bits, which is exact for the same reason.
+    Nodes of more than node_limit codes are divided by the next level's masks, as long as there are levels; keys are
+    hashes, and two nodes of one hash are searched as one.
     """
-    n = codes.count()
-    upper = masks(blocks_for(n, radius), radius, list(range(64)))
-    node = F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in upper])).alias("m", "key")
-    routed = codes.select("code", node)
-    large = routed.groupBy("m", "key").count().filter(F.col("count") > node_limit).select("m", "key").withColumn("large", F.lit(True))
-    if large.isEmpty():
-        return _links_in_nodes(routed, ["m", "key"], radius)
-    marked = routed.join(large, ["m", "key"], "left")
-    found = _links_in_nodes(marked.filter("large is null").select("m", "key", "code"), ["m", "key"], radius)
-    again = F.lit(None).cast("array<bigint>")
-    for m, mask in enumerate(upper):
-        rest = [b for b in range(64) if not (mask >> b) & 1]
-        again = F.when(F.col("m") == m, F.array(*[F.col("code").bitwiseAND(F.lit(x)) for x in masks(2 * radius, radius, rest)])).otherwise(again)
-    divided = marked.filter("large").select("m", "key", "code", F.posexplode(again).alias("m2", "key2"))
-    return found.unionByName(_links_in_nodes(divided, ["m", "key", "m2", "key2"], radius))
+    patterns = lambda chosen, *more: F.explode(F.array(*[F.xxhash64(*more, F.lit(i), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask, strict=True)]) for i, mask in enumerate(chosen)])).alias("key")
+    held = ["code", *words, *([class_col] if class_col else [])]
+    routed, found = codes.select(*held, patterns(levels[0])), None
+    for chosen in [*levels[1:], None]:
+        large = None
+        if chosen is not None:
+            sizes = checkpointed(routed.groupBy("key").count().filter(F.col("count") > node_limit))
+            limit = max(node_limit, (sizes.agg(F.sum("count")).first()[0] or 0) // MOST_LARGE)
+            large = sizes.filter(F.col("count") > limit).select("key")
+            if large.isEmpty():
+                large = None
+        fit = routed if large is None else routed.join(F.broadcast(large), "key", "left_anti")  # MOST_LARGE keys at most
+        links = _links_in_nodes(fit, words, radius, class_col)
+        found = links if found is None else found.unionByName(links)
+        if large is None:
+            return found
+        routed = checkpointed(routed.join(F.broadcast(large), "key", "left_semi").withColumnRenamed("key", "_up").select(*held, patterns(chosen, F.col("_up"))))
+    return found
+
+
+def links(codes: DataFrame, radius: int = 4, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """Links (a, b) that join the distinct 64-bit `code`s as all pairs within the radius would: every link is one, none
+    between parts is lost."""
+    return node_links(codes.select("code", F.col("code").alias("word")), exact_levels(codes.count(), radius), ["word"], radius, node_limit)
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node and label, the least node that it is joined to, for every node of the edges (a, b).
 
-    Labels spread to neighbours and then jump to their label's label, so a chain's length halves each round; every
-    round is a checkpoint, and one count of changes reaches the driver.
+    Labels jump to their label's label and then spread to neighbours, so a chain's length halves each round; every
+    round is a checkpoint, and one look for changes reaches the driver. A node with very many edges and a label with
+    very many nodes are joined apart from the others, so that neither makes a hot task.
     """
-    both = checkpointed(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels = checkpointed(labels)
+    ways = edges.filter("a <> b").select("a", "b")
+    both = checkpointed(ways.unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(both, "b")
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        stepped = spread.join(jumps, "label").select("node", "old", F.least("label", "further").alias("label"))
-        stepped = checkpointed(stepped)
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = joined(labels, further, "label").select("node", F.col("label").alias("old"), F.least("label", "further").alias("label"))
+        heard = joined(both, jumped.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        stepped = checkpointed(jumped.join(heard, "node").select("node", "old", F.least("label", "heard").alias("label")))
         labels = stepped.select("node", "label")
         if stepped.filter("old <> label").isEmpty():
             return labels
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words_a_shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words_a_shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", node_limit: int = NODE_LIMIT) -> DataFrame:
     """A row per input row: id, code (the fingerprint as a signed long), component_id (the least id reachable by links).
 
     Null, empty and wordless texts have fingerprint 0 and are linked like any other; texts with equal fingerprints are
@@ -228,11 +271,11 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 4, radius: int = 4,
     """
     prints = checkpointed(fingerprints(docs, words_a_shingle, id_col, text_col))
     firsts = checkpointed(prints.groupBy("code").agg(F.min(id_col).alias("first_id")))
-    joined = components(links(firsts.select("code"), radius))
-    parts = firsts.join(joined.withColumnRenamed("node", "code"), "code", "left").select("code", "first_id", F.coalesce("label", "code").alias("label"))
+    linked = components(links(firsts.select("code"), radius, node_limit))
+    parts = checkpointed(firsts.join(linked.withColumnRenamed("node", "code"), "code", "left").select("code", "first_id", F.coalesce("label", "code").alias("label")))
     named = parts.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = parts.join(named, "label").select("code", "component_id")
-    return prints.join(classes, "code").select(id_col, "code", "component_id")
+    classes = joined(parts, named, "label").select("code", "component_id")
+    return joined(prints, classes, "code").select(id_col, "code", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
