@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bytebpe, decontam, langid, minhash, secrets
+from tickloom.llm import bytebpe, decontam, langid, nearcopies, secrets
 from tickloom.llm.common import checkpointed, crc_mod, table
 
 
@@ -26,14 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one. Texts are linked
-    by a Jaccard similarity of 0.8 or more of their five-word shingles, and groups are chains of links.
+    """Of each group of near duplicates the row with the least doc_id stays; of rows that repeat it, one. The SimHash index
+    finds candidates; texts are linked by a Jaccard similarity of 0.8 or more of their five-word shingles, and groups are
+    chains of links.
 
     Rows are judged one by one, whether or not they have a doc_id or share it: a row goes if its group has a row with a
     lesser doc_id (none being the greatest, then by a hash of the row) or if it is the same row again.
     """
-    keyed = minhash.hashed(docs)
-    made, parts = minhash.groups(keyed)
+    keyed = nearcopies.hashed(docs)
+    made, parts = nearcopies.groups(keyed)
     # narrow rows decide: which row each group keeps, and how many rows are the same
     keeps = parts.groupBy("label").agg(F.min("row").alias("row")).select("row._h0", "row._h1", F.lit(True).alias("kept"))
     rows = made.groupBy("_h0", "_h1").agg(F.count("*").alias("n")).join(keeps, ["_h0", "_h1"], "left").filter("kept is null or n > 1")
