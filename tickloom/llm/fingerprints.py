@@ -1,19 +1,18 @@
 """Document fingerprints: a canonical exact digest.
 
-Texts are brought to one form (composed characters, compatibility variants folded, lower case, runs of white space as
-one space, trimmed) and hashed by two chained xxHash64 to 128 bits. Texts whose form is equal have equal fingerprints;
-inside a bucket of equal digests the bytes are compared, and a bucket that holds different bytes is told apart by rank.
+Texts are brought to one form (NFKC with full case folding, runs of white space as one space, trimmed) and hashed by two
+chained xxHash64 to 128 bits. Texts whose form is equal have equal fingerprints; inside a bucket of equal digests the
+bytes are compared, and a bucket that holds different bytes is told apart by rank.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import only, passing_shuffles, table
+from .unicodeform import normal
 
 #: Code points whose rows one task holds at once when it looks at the next document.
 CHARS_PER_BLOCK = 2_000_000
@@ -23,47 +22,10 @@ MOST_BLOCKS = 1 << 16
 MOST_CUTS = 512
 
 
-def _composition() -> dict[str, tuple[str, str]]:
-    """Combining mark of U+0300 to U+0345 -> (bases, composed characters), for every pair that Unicode composes."""
-    pairs: dict[str, list[tuple[str, str]]] = {}
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and parts[0][0] != "<":
-            base, mark = (chr(int(x, 16)) for x in parts)
-            if "\u0300" <= mark <= "\u0345" and unicodedata.normalize("NFC", base + mark) == chr(code):
-                pairs.setdefault(mark, []).append((base, chr(code)))
-    return {mark: ("".join(b for b, _ in found), "".join(c for _, c in found)) for mark, found in pairs.items()}
-
-
-def _variants() -> tuple[str, str]:
-    """Characters of the basic plane with a one-character compatibility form, and those forms."""
-    found = [(chr(c), n) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c) and not 0xF900 <= c < 0xFB00]
-    return "".join(a for a, _ in found), "".join(b for _, b in found)
-
-
-def _composed(text: Column) -> Column:
-    """Bases with one or two combining marks as one character."""
-    table_of = _composition()
-
-    def pair(cluster: Column) -> Column:
-        base, mark, rest = F.substring(cluster, 1, 1), F.substring(cluster, 2, 1), F.substring(cluster, 3, 1 << 30)
-        out = F.when(~cluster.rlike(r"^.\p{Mn}"), cluster)
-        for m, (bases, composed) in table_of.items():
-            made = F.translate(base, bases, composed)
-            out = out.when((mark == m) & (made != base), F.concat(made, rest))
-        return out.otherwise(cluster)
-
-    clusters = F.split(text, r"(?<=\p{Mn})(?!\p{Mn})|(?<=[^\p{Mn}])(?=[^\p{Mn}]\p{Mn})", -1)
-    return F.array_join(F.transform(F.transform(clusters, pair), pair), "")
-
-
 def canonical(text: Column) -> Column:
     """The form under which texts count as equal; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    variants, plain = _variants()
-    folded = F.when(text.rlike(r"\p{Mn}"), _composed(text)).otherwise(text)
-    folded = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(folded, variants, plain))
-    return F.trim(F.regexp_replace(F.lower(folded), r"[\s\x{85}\x{200B}\x{FEFF}\p{Z}]+", " "))
+    form = normal(F.coalesce(text, F.lit("")))
+    return F.trim(F.regexp_replace(form, r"[\s\x{85}\x{200B}\x{FEFF}\p{Z}]+", " "))
 
 
 def digest(form: Column) -> Column:
@@ -159,7 +121,8 @@ def _told_apart(marked: DataFrame, docs: DataFrame, text_col: str, found: DataFr
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is the start of the next document.
 
-    A table of one row is its own next document. Digests that agree are confirmed on the forms' bytes, which stand in
+    Null texts count as empty; null ids come first; a table of one row is its own next document; repeated rows follow each
+    other; other columns are left out, so they can't clash; an empty table gives an empty one. Digests that agree are confirmed on the forms' bytes, which stand in
     the same row; across rows, collisions() compares them.
     """
     text, other = F.col(text_col), F.col("next_text")
