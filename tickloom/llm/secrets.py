@@ -1,10 +1,17 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every long token.
 
-A token's encoding (hex, base32, base64) is inferred from its characters. Three tests ask whether its symbols look like
-draws from that alphabet: chi-squared uniformity, runs above and below the middle, and lag-1 serial correlation. Words
-fail them, the more clearly the longer they are: under the null hypothesis that a token is language, its chi-squared
-statistic grows with its length, so the p-value of "as even as this by chance" is length-aware. Over all tokens of the
-corpus these p-values are cut by the Benjamini-Hochberg rule, which bounds the share of words among the finds.
+A token's encoding (hex, base32, base64) is inferred from its characters. Three statistics say how far its symbols are
+from random draws of that alphabet: chi-squared uniformity, runs above and below the middle, and lag-1 serial correlation.
+A find must be unlike two kinds of tokens, so its p-value is the larger of two:
+
+* language, whose letters repeat: chi-squared grows with the token's length there, so "as even as this by chance" is
+  the less likely the longer the token;
+* structured tokens, whose order repeats or climbs: their runs and their serial correlation are off by a share at
+  least (Battery.structure), which stands out the more the longer the token. The two p-values of "as near to random as
+  this" are combined by Fisher's method.
+
+Over all tokens of the corpus that overlap no fixed pattern, the p-values are cut by the Benjamini-Hochberg rule, which
+bounds the share of words and structured tokens among the finds.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ class Battery:
 
     least: int = 20  # characters that a token needs to be tested
     alpha: float = 0.01  # false-discovery rate
-    pass_p: float = 0.001  # runs and serial correlation must not reject randomness at this level
+    structure: float = 0.7  # share of runs, and serial correlation, by which structured tokens are off at least
     repeat: float = 0.065  # chance that two letters of a language's text agree
     bins_a_decade: int = 8  # p-values are ranked in bins of log10
 
@@ -101,11 +108,11 @@ HEX_EXCESS = 1.7
 
 
 def tested(spans: Column, battery: Battery = Battery()) -> Column:
-    """Array of (span, encoding, chi2, p_runs, p_serial, p_language), one for each token in an array of spans.
+    """Array of (span, encoding, chi2, z_runs, z_serial, p_language, p_order, p), one for each token in an array of spans.
 
-    A token of one repeated symbol has neither runs nor correlation to test and isn't random: p_runs and p_serial are 0.
+    z_runs and z_serial are standard normal for random tokens. A token of one repeated symbol has neither runs nor
+    correlation to test and isn't random: they are null, p_order and p are 1.
     """
-    both = lambda z: F.lit(2.0) * (F.lit(1.0) - _normal_cdf(F.abs(z)))
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
     named = lambda s, *names: [s[n].alias(n) for n in names]
 
@@ -165,34 +172,44 @@ def tested(spans: Column, battery: Battery = Battery()) -> Column:
         ),
     )
     spread = lambda s: (s["runs"] - 1) * (s["runs"] - 2) / (s["n"] - 1)
-    return F.transform(
+    rows = F.transform(
         rows,
         lambda s: F.struct(
             *named(s, "span", "encoding", "chi2"),
-            F.when(spread(s) > 0, both((s["turns"] + 1 - s["runs"]) / F.sqrt(spread(s)))).otherwise(0.0).alias("p_runs"),
-            F.when(s["var"] > 0, both((s["cov"] / s["var"] + F.lit(1.0) / s["n"]) * F.sqrt(s["n"]))).otherwise(0.0).alias("p_serial"),
+            F.when(spread(s) > 0, (s["turns"] + 1 - s["runs"]) / F.sqrt(spread(s))).alias("z_runs"),
+            F.when(s["var"] > 0, (s["cov"] / s["var"] + F.lit(1.0) / s["n"]) * F.sqrt(s["n"])).alias("z_serial"),
             _normal_cdf((s["chi2"] - s["freedom"] - s["excess"]) / F.sqrt(F.lit(2.0) * (s["freedom"] + F.lit(2.0) * s["excess"]))).alias("p_language"),
+            # how likely a structured token is to come so near to random
+            F.when(spread(s) > 0, _normal_cdf(F.abs(s["turns"] + 1 - s["runs"]) / F.sqrt(spread(s)) - s["runs"] * battery.structure / F.sqrt(spread(s)))).otherwise(1.0).alias("p_runs"),
+            F.when(s["var"] > 0, _normal_cdf((F.abs(s["cov"] / s["var"] + F.lit(1.0) / s["n"]) - battery.structure) * F.sqrt(s["n"]))).otherwise(1.0).alias("p_serial"),
         ),
     )
+    both = lambda s: F.greatest(s["p_runs"], F.lit(1e-30)) * F.greatest(s["p_serial"], F.lit(1e-30))
+    rows = F.transform(rows, lambda s: F.struct(*named(s, "span", "encoding", "chi2", "z_runs", "z_serial", "p_language"), (both(s) * (F.lit(1.0) - F.ln(both(s)))).alias("p_order")))
+    return F.transform(rows, lambda s: F.struct(*named(s, "span", "encoding", "chi2", "z_runs", "z_serial", "p_language", "p_order"), F.greatest(s["p_language"], s["p_order"]).alias("p")))
 
 
 def _bin(test: Column, battery: Battery) -> Column:
-    """Of a token's p-value, the higher the lower p is: few bins, so that the corpus' histogram stays small.
+    """Of a token's p-value, the higher the lower p is: few bins, so that the corpus' histogram stays small."""
+    return F.floor(F.least(F.lit(30.0), -F.log10(F.greatest(F.least(test["p"], F.lit(1.0)), F.lit(1e-30)))) * battery.bins_a_decade).cast("int")
 
-    A token that fails the runs or the serial test is no candidate: bin 0.
-    """
-    passed = (test["p_runs"] >= battery.pass_p) & (test["p_serial"] >= battery.pass_p)
-    return F.when(passed, F.floor(F.least(F.lit(30.0), -F.log10(F.greatest(test["p_language"], F.lit(1e-30)))) * battery.bins_a_decade).cast("int")).otherwise(0)
+
+def candidates(text: Column, base: Column, battery: Battery = Battery()) -> Column:
+    """The tests of a text's tokens that overlap none of the base spans."""
+    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return tested(F.filter(tokens(text, battery), apart), battery)
 
 
 def discovery_cut(docs: DataFrame, text_col: str = "text", battery: Battery = Battery()) -> int | None:
-    """The lowest bin that Benjamini and Hochberg's rule accepts at battery.alpha over all tokens of docs; or None.
+    """The lowest bin that Benjamini and Hochberg's rule accepts at battery.alpha over all candidates of docs; or None.
 
-    The histogram has at most 30 * bins_a_decade + 1 rows, so its running sum is a small window and one number
-    reaches the driver.
+    A bin's p-value is its largest. The histogram has at most 30 * bins_a_decade + 1 rows, so its running sum is a small
+    window and one number reaches the driver.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bins = only(docs, text_col).select(F.explode(tested(tokens(text, battery), battery)).alias("t")).groupBy(_bin(F.col("t"), battery).alias("bin")).agg(F.count("*").alias("n"))
+    long = only(docs, text_col).filter(text.rlike(f"[A-Za-z0-9+/_=-]{{{battery.least}}}"))
+    tests = long.select(F.explode(candidates(text, base_spans(text), battery)).alias("t"))
+    bins = tests.groupBy(_bin(F.col("t"), battery).alias("bin")).agg(F.count("*").alias("n"))
     down = W.orderBy(F.desc("bin"))
     ranked = bins.select("bin", F.sum("n").over(down).alias("rank"), F.sum("n").over(W.partitionBy()).alias("tokens"))
     most = F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(battery.bins_a_decade)))
@@ -211,9 +228,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batter
     out = docs.withColumn("base", base_spans(text))
     if cut is None:
         return out.withColumn("spans", F.col("base"))
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    candidates = tested(F.filter(tokens(text, battery), apart), battery)
-    kept = F.transform(F.filter(candidates, lambda t: _bin(t, battery) >= cut), lambda t: t["span"])
+    kept = F.transform(F.filter(candidates(text, F.col("base"), battery), lambda t: _bin(t, battery) >= cut), lambda t: t["span"])
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), kept)))
 
 
