@@ -6,10 +6,10 @@ The form has lower-case words alone: punctuation is dropped, copyright lines go,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import checkpointed, only, table
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -65,15 +65,35 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
+#: Columns of a digest table.
+DIGEST = "license string, digest string, n int, paragraphs int, first_n int, last_n int"
+#: Entire licence texts by the MD5 of their form, its length, how many paragraphs it has and the lengths of the first
+#: and the last. digests() makes such rows of a table of texts.
+KNOWN_DIGESTS: list[tuple[str, str, int, int, int, int]] = [
+    ("Apache-2.0", "a4f874aaeee4dfe824fb3cc3dcca2009", 9920, 33, 68, 298),
+    ("Artistic-1.0-Perl", "01297679267ad921516667ccd889865e", 5833, 29, 20, 7),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23", 6691, 13, 27, 1075),
+    ("GFDL-1.2", "fc8fd4dca9351a1b1ba045c2a7d3d70f", 19579, 57, 56, 230),
+    ("GFDL-1.3", "4a40aa345b578ab1bf118ce352f84043", 22014, 67, 58, 230),
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea", 11765, 50, 50, 25),
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c", 17117, 59, 46, 325),
+    ("GPL-3.0", "5eaa767cc0a56c87c3852144458a3bf1", 33409, 122, 49, 395),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a", 24130, 83, 54, 25),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4", 25217, 85, 59, 25),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d", 7104, 37, 56, 277),
+    ("MPL-1.1", "252dfbcf46f9012c7c356a9252f1c30c", 22448, 73, 34, 251),
+    ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec", 14341, 83, 34, 108),
+    ("Unlicense", "0ddb544fc94f1ac376b1b27618cf995a", 1170, 5, 70, 55),
+]
 #: Spellings that count as one, as (pattern, form).
 SPELLINGS = [
     (r"\blicenc", "licens"),
     (r"\bsublicenc", "sublicens"),
     (r"\borganisation", "organization"),
     (r"\backnowledgement", "acknowledgment"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r"\bshare alike\b", "sharealike"),
-    (r"\bnon infringement\b", "noninfringement"),
+    (r"\bnon[ \n]+commercial\b", "noncommercial"),
+    (r"\bshare[ \n]+alike\b", "sharealike"),
+    (r"\bnon[ \n]+infringement\b", "noninfringement"),
 ]
 #: A line that only says who holds the rights since when.
 RIGHTS_LINE = r"(?m)^ ?(?:(?:c )?copyright (?:c )?(?:by )?[0-9]{4}|copyright c |c [0-9]{4}).*$|^ ?all rights reserved ?$"
@@ -96,39 +116,56 @@ def _paragraphs(form: Column) -> Column:
     return F.filter(F.transform(F.split(form, r"\n\n+"), lambda p: F.trim(F.regexp_replace(p, r"\n", " "))), lambda p: p != "")
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(texts: DataFrame, name_col: str = "license", text_col: str = "text") -> DataFrame:
+    """A digest table (DIGEST) of licence texts, such as a folder of them read whole: rows for scan()'s `known`."""
+    form = texts.select(F.col(f"`{name_col}`").alias("license"), canonical(F.col(f"`{text_col}`")).alias("form"))
+    parts = form.select("license", _whole(F.col("form")).alias("whole"), _paragraphs(F.col("form")).alias("p")).filter("size(p) > 0")
+    return parts.select("license", F.md5(F.col("whole").cast("binary")).alias("digest"), F.length("whole").alias("n"), F.size("p").alias("paragraphs"), F.length(F.col("p")[0]).alias("first_n"), F.length(F.element_at("p", -1)).alias("last_n")).distinct()
+
+
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """The digest table of KNOWN and KNOWN_DIGESTS."""
+    listed = digests(spark.createDataFrame(KNOWN, "license string, text string"))
+    return listed.unionByName(spark.createDataFrame(KNOWN_DIGESTS, DIGEST)).distinct()
+
+
+#: Digests that are broadcast at most; a longer table is joined by a shuffle of its digests.
+MOST_BROADCAST = 100_000
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, licenses, n_licenses, whole.
 
     licenses lists, sorted and joined by commas, the known licences whose entire text is the document, a line of it, a
     paragraph, or a run of as many paragraphs as that licence has; whole tells whether one is the entire document. Null
     and empty texts have none. Rows that repeat an id get the union of that id's licences, a null id those of all null
-    ids; an empty table gives an empty one; other columns are left out.
+    ids; an empty table gives an empty one; other columns are left out. Whole texts of any length are scanned.
 
-    Only units whose length some known text has are hashed and leave the document; texts aren't shuffled. The known
-    table is the caller's list, so its size is bounded and it is broadcast.
+    Only units whose length some known text has are hashed and leave the document; texts aren't shuffled. `known` is a
+    digest table, of which the distinct lengths reach the driver and the digests are broadcast if they are few.
     """
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(known or KNOWN, "license string, body string").select("license", canonical(F.col("body")).alias("form"))
-    facts = listed.select("license", F.md5(_whole(F.col("form")).cast("binary")).alias("digest"), F.length(_whole(F.col("form"))).alias("n"), F.size(_paragraphs(F.col("form"))).alias("paragraphs")).distinct()
-    rows = facts.collect()  # as many as the list has
-    lengths = sorted({r["n"] for r in rows})
-    runs = sorted({r["paragraphs"] for r in rows if r["paragraphs"] > 1})
+    facts = checkpointed(known if known is not None else known_licenses(docs.sparkSession))
+    lengths = sorted(r[0] for r in facts.select("n").distinct().collect())
+    runs = {r[0]: (r[1], r[2]) for r in facts.filter("paragraphs > 1").groupBy("paragraphs").agg(F.sort_array(F.collect_set("first_n")), F.sort_array(F.collect_set("last_n"))).collect()}
     form, paragraphs, no = F.col("form"), F.col("paragraphs"), F.array().cast("array<string>")
     bodies = only(docs, id_col, text_col).select(F.col(id_col), canonical(F.col(text_col)).alias("form"))
     split = bodies.select(id_col, "form", _paragraphs(form).alias("paragraphs"))
 
     def run_of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(paragraphs) - k + 1)
+        """Runs of k paragraphs that begin and end with paragraphs as long as a known text's."""
+        firsts, lasts = runs[k]
+        starts = F.filter(F.sequence(F.lit(1), F.size(paragraphs) - k + 1), lambda i: F.length(F.element_at(paragraphs, i)).isin(firsts) & F.length(F.element_at(paragraphs, i + k - 1)).isin(lasts))
         return F.when(F.size(paragraphs) >= k, F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i, k), " "))).otherwise(no)
 
     fits = lambda u: F.length(u).isin(lengths)
     lines = F.transform(F.split(form, r"\n"), lambda x: F.trim(x))
-    units = F.array_distinct(F.filter(F.concat(lines, paragraphs, *[run_of(k) for k in runs]), fits))
+    units = F.array_distinct(F.filter(F.concat(lines, paragraphs, *[run_of(k) for k in sorted(runs)]), fits))
     whole = _whole(form)
+    asked = facts.select("license", "digest")
     found = (
         split.select(id_col, F.when(fits(whole), F.md5(whole.cast("binary"))).alias("_whole"), F.explode(F.array_union(units, F.filter(F.array(whole), fits))).alias("unit"))
         .select(id_col, "_whole", F.md5(F.col("unit").cast("binary")).alias("digest"))
-        .join(F.broadcast(facts.select("license", "digest")), "digest")
+        .join(F.broadcast(asked) if facts.count() <= MOST_BROADCAST else asked, "digest")
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_set("license")).alias("found"), F.max(F.coalesce(F.col("_whole") == F.col("digest"), F.lit(False))).alias("whole"))
     )
@@ -158,17 +195,18 @@ def _sql_canonical(x: str) -> str:
 
 def oracle() -> str:
     known = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)
+    entire = ", ".join(f"({_sql_text(r[0])}, '{r[1]}', {r[3]})" for r in KNOWN_DIGESTS)
     whole = r"trim(regexp_replace(form, '\n+', ' ', 'g'))"
     paras = r"list_filter(list_transform(regexp_split_to_array(form, '\n\n+'), lambda p: trim(replace(p, chr(10), ' '))), lambda p: p <> '')"
     return f"""
 WITH known AS (SELECT license, {_sql_canonical('body')} AS form FROM (VALUES {known}) AS v(license, body)),
-facts AS (SELECT DISTINCT license, md5({whole}) AS digest, len({paras}) AS n FROM known),
+facts AS (SELECT license, md5({whole}) AS digest, len({paras}) AS n FROM known UNION SELECT * FROM (VALUES {entire}) AS w(license, digest, n)),
 forms AS (SELECT doc_id, {_sql_canonical('text')} AS form FROM documents),
 split AS (SELECT doc_id, form, {paras} AS p FROM forms),
 units AS (
   SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS unit, false AS whole FROM split
   UNION ALL SELECT doc_id, unnest(p), false FROM split
-  UNION ALL SELECT doc_id, array_to_string(p[i:i + k - 1], ' '), false FROM split, (SELECT DISTINCT n AS k FROM facts WHERE n > 1), range(1, 4000) r(i) WHERE i + k - 1 <= len(p)
+  UNION ALL SELECT doc_id, array_to_string(p[i:i + k - 1], ' '), false FROM (SELECT doc_id, p, k, unnest(range(1, len(p) - k + 2)) AS i FROM split, (SELECT DISTINCT n AS k FROM facts WHERE n > 1) WHERE len(p) >= k)
   UNION ALL SELECT doc_id, {whole}, true FROM split),
 hits AS (SELECT doc_id, license, bool_or(whole) AS whole FROM units JOIN facts ON md5(unit) = digest GROUP BY 1, 2),
 found AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n, bool_or(whole) AS whole FROM hits GROUP BY 1)
