@@ -43,6 +43,48 @@ def test_join_is_associative():
         assert whole(left) == whole(right) == library(text[:60])
 
 
+class Watched:
+    """A library that notes the longest text it was asked for."""
+
+    def __init__(self, library):
+        self.library, self.longest = library, 0
+        self.decode_bytes = library.decode_bytes
+
+    def encode_ordinary(self, text):
+        self.longest = max(self.longest, len(text))
+        return self.library.encode_ordinary(text)
+
+    def _encode_single_piece(self, data):
+        self.longest = max(self.longest, len(data))
+        return self.library._encode_single_piece(data)
+
+
+def long_texts():
+    rnd = random.Random(3)
+    pick = lambda pool, n: "".join(rnd.choices(pool, k=n))
+    chinese, base64 = [chr(c) for c in range(0x4E00, 0x4F00)], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return {"chinese": pick(chinese, 300_000), "base64": pick(base64, 1_000_000), "x": "x" * 100_000, "spaces": "a" + " " * 50_000 + "b", "digits": pick("0123456789", 100_000), "mixed": pick(["ab", " ", "\n", "'s", "ſ", "é", "日本", "12345"], 20_000) + "y" * 40_000 + " z"}
+
+
+@pytest.mark.parametrize("name", ["chinese", "base64", "x", "spaces", "digits", "mixed"])
+def test_long_texts_without_white_space_are_reduced(name):
+    library, text = bytebpe.tokenizer(RANKS, public_tokenizers.PATTERN), long_texts()[name]
+    watched = Watched(library)
+    ids = bytebpe.encode_text(text, bytebpe.Coder(watched, public_tokenizers.PATTERN))
+    if name not in ("x", "spaces"):  # the library's own time grows with the square of a run
+        assert ids == library.encode_ordinary(text)
+    assert library.decode(ids) == text
+    assert watched.longest <= 6 * bytebpe.LEAF
+
+
+def test_matches_are_reduced_like_the_library():
+    library = bytebpe.tokenizer(RANKS, public_tokenizers.PATTERN)
+    for size in (1, 3, 8):
+        code = bytebpe.Coder(library, public_tokenizers.PATTERN, size)
+        for text in random_texts(1500, "abesrtiné日x", 60, size) + ["x" * n for n in range(1, 300, 7)] + random_texts(300, "ab 'sſT\n\t 1,.\x1c\x85", 60, size):
+            assert code(text) == library.encode_ordinary(text), (text, size)
+
+
 def test_bpe_of_all_documents(spark, sf_dir, real):
     library = bytebpe.tokenizer(RANKS, public_tokenizers.PATTERN)
     got = {r["doc_id"]: r for r in bytebpe.op2_byte_bpe(spark, sf_dir).collect()}
