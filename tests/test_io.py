@@ -106,17 +106,3 @@ def test_bars_keep_volume(spark, sf_dir):
     n = ticks.normalised(adapters.vendor_ticks(spark, sf_dir), "nk").agg(F.sum("trade_volume")).first()[0]
     assert got.agg(F.sum("volume")).first()[0] == n
     assert bars.size_bars(ticks.normalised(adapters.vendor_ticks(spark, sf_dir), "nk")).agg(F.sum("volume")).first()[0] == n
-
-
-def test_stream_of_bars_trades_like_a_batch(spark, sf_dir, tmp_path):
-    from tickloom.operators import simulate
-    from tickloom.plans import catalog
-
-    scored = catalog._signals(spark, sf_dir).withColumn("bar_ts", F.col("bar_start_jst").cast("timestamp"))
-    trades = jobs.streaming_simulation(streamed(spark, scored, f"{tmp_path}/in"), catalog.RULES)
-    query = trades.writeStream.format("memory").queryName("live_trades").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    last = scored.agg(F.max("session_date_jst")).first()[0]
-    want = simulate.simulate(scored, catalog.RULES).filter(F.col("session_date_jst") < F.lit(last))
-    plain = lambda df: sorted((str(r["session_date_jst"]), str(r["entry_time"]), r["reason"], round(r["pnl"], 4), r["mfe_ticks"]) for r in df.collect())
-    assert plain(want) and plain(spark.table("live_trades")) == plain(want)

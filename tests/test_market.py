@@ -9,10 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock
+from tickloom.functions import blocks, clock
 from tickloom.functions.scalars import change_share, filled_forward, floored, log1p_or_null, padded, ratio
 from tickloom.functions.scope import session
-from tickloom.operators import bars, dataset, features, profile, report, score, simulate, ticks
+from tickloom.operators import bars, dataset, features, outcomes, profile, report, score, ticks
 
 T0 = dt.datetime(2024, 1, 5, 9, 0)
 
@@ -179,7 +179,7 @@ def test_constant_columns_are_scaled_by_one(spark):
 def test_nearest_quantile_equals_a_sort(spark, q):
     rnd = random.Random(int(q * 10))
     xs = [round(rnd.random(), 2) for _ in range(777)]
-    got = dataset.nearest_quantile(spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double"), "x", q).first()[0]
+    got = dataset.nearest_quantile(spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double"), "x", q)
     assert got == sorted(xs)[round((len(xs) - 1) * q)]
 
 
@@ -216,7 +216,7 @@ def test_lift_and_thresholds(spark):
     row = score.precision_lift(df).first()
     assert row["threshold"] == pytest.approx(np.percentile([i / 10 for i in range(11)], 80)) and row["edge"] == pytest.approx((1 - 3 / 11) * 100)
     assert score.precision_lift(df.limit(1)).first()[:] == (0.5, 0.0)
-    assert score.percentile_threshold(df.limit(4)).first()[0] == 0.5
+    assert score.percentile_threshold(df.limit(4)) == 0.5
 
 
 def test_any_scorer_takes_sequences(spark):
@@ -226,29 +226,14 @@ def test_any_scorer_takes_sequences(spark):
     assert values(got, "prob") == pytest.approx([1 / (1 + math.exp(2)), 0.5, 1 / (1 + math.exp(-2))])
 
 
-def test_encoder_runs(spark):
-    rng, d, params = np.random.default_rng(0), 8, {}
-    for name, (a, b) in {"input": (3, d), "head1": (d, d), "head2": (d, 1), **{f"0.{x}": (d, d) for x in "q k v out".split()}, "0.up": (d, 16), "0.down": (16, d)}.items():
-        params |= {f"{name}.w": rng.normal(size=(a, b)), f"{name}.b": np.zeros(b)}
-    params |= {f"0.norm{i}.{x}": np.full(d, float(x == "scale")) for i in (1, 2) for x in ("scale", "shift")}
-    x = rng.normal(size=(5, 6, 3))
-    last, mean = (score.encoder(params, 2, 1, how)(x) for how in ("last", "mean"))
-    assert last.shape == mean.shape == (5,) and not np.allclose(last, mean)
-    with pytest.raises(ValueError):
-        score.encoder(params, pooling="max")
+# outcomes of signals
 
 
-# the simulator
-
-
-def sim(spark, rows, **rules):
-    """(open, high, low, close, prob, momentum[, session]) rows -> trades."""
-    full = [(T0 + dt.timedelta(seconds=30 * i), T0.date(), r[6] if len(r) > 6 else "DAY", *map(float, r[:4]), float(r[4]), 0.0, None if r[5] is None else float(r[5]), 0.0) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(full, "bar_start_jst timestamp_ntz, session_date_jst date, session_type string, raw_open double, raw_high double, raw_low double, raw_close double, prob float, threshold float, momentum double, prob_rise double")
-    p = simulate.Rules(**{"threshold": 0.6, "stop": 10, "target": 20, **rules})
-    one, two = simulate.simulate(df, p).orderBy("entry_time").collect(), simulate.simulate_grouped(df, p).orderBy("entry_time").collect()
-    assert one == two
-    return one
+def ends(spark, rows, **bet):
+    """(open, high, low, close, prob, momentum) rows of one day -> what its signals come to."""
+    full = [(T0 + dt.timedelta(seconds=30 * i), T0.date(), "DAY", *map(float, r[:4]), float(r[4]), None if r[5] is None else float(r[5])) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(full, "bar_start_jst timestamp_ntz, session_date_jst date, session_type string, raw_open double, raw_high double, raw_low double, raw_close double, prob float, momentum double")
+    return outcomes.signal_outcomes(df, outcomes.Bet(**{"threshold": 0.6, "stop": 50.0, "target": 100.0, **bet})).orderBy("entry_time").collect()
 
 
 FLAT = (1000, 1001, 999, 1000, 0.0, 5)
@@ -256,55 +241,77 @@ GO = (1000, 1001, 999, 1000, 0.9, 5)
 
 
 def test_stop_wins_over_target(spark):
-    (t,) = sim(spark, [GO, FLAT, (1000, 1200, 900, 1000, 0, 5), FLAT])
-    assert (t["reason"], t["exit_price"], t["pnl"], t["direction"]) == ("SL", 950, -5080, "LONG")
+    (t,) = ends(spark, [GO, FLAT, (1000, 1200, 900, 1000, 0, 5), FLAT])
+    assert (t["reason"], t["exit_price"], t["pnl"], t["direction"], t["exit_time"]) == ("SL", 950, -5080, "LONG", T0 + dt.timedelta(seconds=60))
 
 
 def test_stop_on_the_first_held_bar(spark):
-    (t,) = sim(spark, [GO, (1000, 1001, 940, 1000, 0, 5), FLAT])
-    assert t["reason"] == "SL" and t["mfe_ticks"] == 0
-
-
-def test_break_even_acts_from_the_next_bar(spark):
-    (t,) = sim(spark, [GO, (1000, 1060, 1000, 1050, 0, 5), (1050, 1051, 1001, 1002, 0, 5), (1002, 1003, 1000, 1001, 0, 5), FLAT], even_ticks=10)
-    assert (t["reason"], t["exit_price"], t["pnl"], t["exit_time"]) == ("SL", 1000, -80, T0 + dt.timedelta(seconds=90))
-
-
-def test_weak_exit_at_its_bar(spark):
-    (t,) = sim(spark, [GO, FLAT, FLAT, (1000, 1001, 999, 998, 0, 5), FLAT], weak_bars=3, weak_ticks=2)
-    assert (t["reason"], t["exit_price"]) == ("WEAK", 998)
-
-
-def test_session_change_leaves_at_the_following_open(spark):
-    rows = [(*GO, "NIGHT"), (*FLAT, "NIGHT"), (*FLAT, "DAY"), (1003, 1004, 1002, 1003, 0, 5, "DAY")]
-    (t,) = sim(spark, rows)
-    assert (t["reason"], t["exit_price"]) == ("SESSION", 1003)
+    (t,) = ends(spark, [GO, (1000, 1001, 940, 1000, 0, 5), (1000, 1200, 999, 1000, 0, 5)])
+    assert (t["reason"], t["exit_time"]) == ("SL", T0 + dt.timedelta(seconds=30))
 
 
-def test_cooldown(spark):
-    got = sim(spark, [GO] * 200, hold=5)
-    starts = [(t["entry_time"] - T0).seconds // 30 for t in got]
-    assert starts[:2] == [1, 66]  # out at row 5; the next signal is row 65, filled at 66
+def test_short_signals_and_signals_without_a_bet(spark):
+    (t,) = ends(spark, [(*GO[:5], -1), FLAT, (1000, 1001, 890, 900, 0.9, 0), (900, 901, 899, 900, 0.9, None), (900, 901, 899, 900, 0.9, 5)])
+    assert (t["direction"], t["reason"], t["exit_price"], t["pnl"]) == ("SHORT", "TP", 900, 9920)
 
 
-def test_zero_momentum_takes_a_slot(spark):
-    assert sim(spark, [(*GO[:5], 0), GO, FLAT, FLAT], max_trades=1) == []
-    assert sim(spark, [(*GO[:5], None), GO, FLAT, FLAT], max_trades=1)[0]["entry_time"] == T0 + dt.timedelta(seconds=60)
+def test_signals_end_with_their_time_or_the_day(spark):
+    one, two = ends(spark, [GO, FLAT, (*FLAT[:3], 1003, 0.9, 5), FLAT, (*FLAT[:3], 1004, 0, 5)], hold=2)
+    assert (one["reason"], one["exit_price"], two["reason"], two["exit_price"]) == ("TIME", 1003, "TIME", 1004)
 
 
 def test_float_scores_are_compared_as_doubles(spark):
-    assert sim(spark, [(*GO[:4], 0.82, 5), FLAT, FLAT], threshold=0.82) == []
-
-
-def test_fold_equals_the_loop_on_random_bars(spark):
-    rnd = random.Random(4)
-    for rules in ({}, {"hold": 9, "even_ticks": 3, "even_bars": 2, "weak_bars": 4, "weak_ticks": 1.0, "cooldown": 3}, {"max_trades": 2, "min_momentum": 2, "max_momentum": 40, "min_rise": 0.0, "max_prob": 0.95, "hold": 20, "cooldown": 2}):
-        price, rows = 1000.0, []
-        for i in range(400):
-            o = price
-            price += rnd.gauss(0, 12)
-            rows.append((o, max(o, price) + rnd.random() * 9, min(o, price) - rnd.random() * 9, price, rnd.random(), rnd.gauss(0, 20), "NIGHT" if i < 150 else "DAY"))
-        assert sim(spark, rows, **rules)
+    assert ends(spark, [(*GO[:4], 0.82, 5), FLAT, FLAT], threshold=0.82) == []
+
+
+def test_outcomes_equal_a_loop_on_random_bars(spark):
+    rnd, price, rows = random.Random(4), 1000.0, []
+    for _ in range(300):
+        o = price
+        price += rnd.gauss(0, 12)
+        rows.append((o, max(o, price) + rnd.random() * 9, min(o, price) - rnd.random() * 9, price, rnd.random(), rnd.gauss(0, 20)))
+    want = []
+    for i, r in enumerate(rows[:-1]):
+        if r[4] >= 0.6:
+            side, entry = (1 if r[5] > 0 else -1), rows[i + 1][0]
+            for b in rows[i + 1 : i + 10]:
+                worst, best = (b[2], b[1]) if side > 0 else (b[1], b[2])
+                last = ("SL", entry - 30 * side) if side * (worst - entry) <= -30 else ("TP", entry + 40 * side) if side * (best - entry) >= 40 else ("TIME", b[3])
+                if last[0] != "TIME":
+                    break
+            want.append(last)
+    got = ends(spark, rows, hold=9, stop=30.0, target=40.0)
+    assert [t["reason"] for t in got] == [w[0] for w in want] and [t["exit_price"] for t in got] == pytest.approx([w[1] for w in want])
+    assert {w[0] for w in want} == {"SL", "TP", "TIME"}
+
+
+# orders in blocks
+
+
+def test_blocks_change_no_result(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(500), i, float(rnd.randrange(-50, 50)), float(rnd.randrange(40)), rnd.randrange(2)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "exit_time int, i int, pnl double, prob double, label int")
+    order = ("exit_time", "i")
+
+    def results():
+        curve = sorted(map(tuple, report.equity_curve(df, order).select("i", "equity").collect()))
+        thresholds = [score.percentile_threshold(df, percentile=p) for p in (0.0, 33.3, 80.0, 100.0)]
+        return curve, report.max_drawdown(df, order).first()[0], score.roc_auc(df).first()[0], *thresholds, dataset.nearest_quantile(df, "pnl", 0.7)
+
+    one = results()
+    monkeypatch.setattr(blocks, "ROWS_A_BLOCK", 7)
+    many = results()
+    assert one[0] == many[0] and one[1:] == pytest.approx(many[1:])
+    ordered, total, high, deepest = sorted(rows), 0.0, -math.inf, 0.0
+    for r in ordered:
+        total += r[2]
+        high = max(high, total)
+        deepest = max(deepest, high - total)
+    assert one[1] == deepest and one[3:7] == pytest.approx(np.percentile([r[3] for r in rows], [0, 33.3, 80, 100]).tolist())
+    assert one[7] == sorted(r[2] for r in rows)[round(1999 * 0.7)]
+    assert dataset.nearest_quantile(df.limit(0), "pnl", 0.7) is None and score.percentile_threshold(df.limit(3)) == 0.5
+    assert report.max_drawdown(df.limit(0), order).first()[0] is None and report.equity_curve(df.limit(0), order).collect() == []
 
 
 # reports

@@ -1,4 +1,6 @@
-"""The partitions over which rows are ordered."""
+"""The partitions over which rows are ordered. Each is made once: a feature frame asks for them some hundred times."""
+
+from functools import lru_cache
 
 from pyspark.sql import Window, WindowSpec
 
@@ -6,30 +8,36 @@ SESSION_KEYS = ("session_date_jst", "session_type")
 BAR = "bar_start_jst"
 
 
+@lru_cache
 def session() -> WindowSpec:
     """Bars of one date and session type; evening and late bars of one date share it."""
     return Window.partitionBy(*SESSION_KEYS).orderBy(BAR)
 
 
+@lru_cache
 def day() -> WindowSpec:
     """All bars of one date, night and day together."""
     return Window.partitionBy("session_date_jst").orderBy(BAR)
 
 
+@lru_cache
 def trade_date() -> WindowSpec:
     """Ticks of one trade date; equal times are ordered by their sequence number."""
     return Window.partitionBy("trade_date").orderBy("trade_ts", "sequence_no")
 
 
+@lru_cache
 def last_rows(spec: WindowSpec, n: int) -> WindowSpec:
     """The frame of the last n rows, the current one among them."""
     return spec.rowsBetween(1 - n, 0)
 
 
+@lru_cache
 def so_far(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, 0)
 
 
+@lru_cache
 def ahead(spec: WindowSpec, n: int) -> WindowSpec:
     """The frame of the n rows after the current one."""
     return spec.rowsBetween(1, n)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.blocks import values_at_ranks
 from ..functions.scope import day
 
 NOT_FEATURES = ("raw_open_abs", "raw_high_abs", "raw_low_abs", "raw_close_abs")
@@ -28,20 +29,10 @@ def feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
     return stats.withColumn("std", F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
 
 
-def nearest_quantile(df: DataFrame, name: str, q: float) -> DataFrame:
-    """One row, `threshold`: the value at rank round((n - 1) q) from 0, halves to even; null of no values.
-
-    Ranks come from counts of distinct values, summed in blocks, so no task sorts the whole column.
-    """
-    values = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
-    n = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).select(F.bround((F.col("all") - 1) * F.lit(q)).cast("long").alias("rank"))
-    edge = df.agg(F.percentile_approx(name, [i / 64 for i in range(1, 64)], 10_000).alias("cuts"))
-    placed = values.crossJoin(F.broadcast(edge)).select("v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("block"))  # one row of cuts
-    blocks = placed.groupBy("block").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n"))
-    within = F.sum("n").over(Window.partitionBy("block").orderBy("v"))
-    ranked = placed.withColumn("upto", within).join(blocks.select("block", "before"), "block").withColumn("upto", F.col("upto") + F.col("before"))
-    hit = ranked.crossJoin(F.broadcast(n)).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-    return hit.agg(F.max("v").alias("threshold"))
+def nearest_quantile(df: DataFrame, name: str, q: float) -> float | None:
+    """The value at rank round((n - 1) q) from 0, halves to even; None of no values. Python's round() does the same."""
+    found = values_at_ranks(df, name, lambda n: [round((n - 1) * q)])
+    return found[0] if found else None
 
 
 def scaled(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
@@ -49,9 +40,9 @@ def scaled(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s) for f, (m, s) in stats.items()})
 
 
-def binarised(df: DataFrame, label: str, threshold: float) -> DataFrame:
-    """1 where the label reaches the threshold, else 0; null stays null."""
-    return df.withColumn(label, (F.col(label) >= F.lit(threshold)).cast("float"))
+def binarised(df: DataFrame, label: str, threshold: float | None) -> DataFrame:
+    """1 where the label reaches the threshold, else 0; null stays null, and all is null without a threshold."""
+    return df.withColumn(label, (F.col(label) >= F.lit(threshold).cast("double")).cast("float"))
 
 
 def sequences(df: DataFrame, features: list[str], label: str, length: int = 60, session: str = "ALL") -> DataFrame:

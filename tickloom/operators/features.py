@@ -137,12 +137,16 @@ def base_features(bars: DataFrame) -> DataFrame:
     return with_session_vwap(reduce(lambda df, layer: df.withColumns(layer), layers, bars))
 
 
-def join_externals(bars: DataFrame, externals: dict[str, DataFrame]) -> DataFrame:
+def side_by_side(bars: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """Bars of many symbols as one row a bar, `<prefix>_<column>`; prefixes: symbol -> prefix. One aggregate for all."""
+    of = lambda kind, x: F.max(F.when(c("symbol") == kind, c(x)))  # noqa: E731  a symbol has one row a bar
+    columns = [of(kind, x).alias(f"{p}_{x}") for kind, p in prefixes.items() for x in EXTERNAL_COLUMNS]
+    return bars.filter(c("symbol").isin(list(prefixes))).groupBy("bar_start_jst", *SESSION_KEYS).agg(*columns)
+
+
+def join_externals(bars: DataFrame, externals: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """Bars with the columns of each external symbol at the same bar, `<prefix>_<column>`, null where it has none."""
-    keys = ["bar_start_jst", *SESSION_KEYS]
-    for prefix, frame in externals.items():
-        bars = bars.join(frame.select(*keys, *[c(x).alias(f"{prefix}_{x}") for x in EXTERNAL_COLUMNS]), keys, "left")
-    return bars
+    return bars.join(side_by_side(externals, prefixes), ["bar_start_jst", *SESSION_KEYS], "left")
 
 
 def fill_externals(bars: DataFrame, prefixes) -> DataFrame:
@@ -219,19 +223,23 @@ def efficiency_label(bars: DataFrame, horizon: int = 240) -> DataFrame:
     return walked.withColumn(f"label_efficiency_{horizon}", label.cast("float")).drop("_step")
 
 
+def known(names) -> str:
+    """The condition that none of the columns is null: one text, where columns would be some calls each."""
+    return " AND ".join(f"`{x}` IS NOT NULL" for x in names)
+
+
 def stationary(bars: DataFrame, prefixes=()) -> DataFrame:
     """Prices as changes against the session's bar before; rows where one is unknown go."""
     names = [x for x in (*PRICES, *(f"{p}_{x}" for p in prefixes for x in ("open", "high", "low", "close"))) if x in bars.columns]
     changed = bars.withColumns({x: c(x) - F.lag(x).over(session()) for x in names})
-    return changed.filter(reduce(lambda a, b: a & b, [c(x).isNotNull() for x in names]))
+    return changed.filter(known(names))
 
 
 def finalised(bars: DataFrame) -> DataFrame:
     """Rows with all main columns; other numbers that are unknown become 0."""
-    kept = bars.filter(reduce(lambda a, b: a & b, [c(x).isNotNull() for x in REQUIRED]))
-    numbers = [f.name for f in kept.schema.fields if isinstance(f.dataType, NumericType) and f.name not in ("weekday", "minute_of_day")]
-    kinds = dict(kept.dtypes)
-    return kept.withColumns({x: F.coalesce(c(x), F.lit(0).cast(kinds[x])) for x in numbers})
+    kept = bars.filter(known(REQUIRED))
+    numbers = [f for f in kept.schema.fields if isinstance(f.dataType, NumericType) and f.name not in ("weekday", "minute_of_day")]
+    return kept.withColumns({f.name: F.expr(f"coalesce(`{f.name}`, cast(0 as {f.dataType.simpleString()}))") for f in numbers})
 
 
 def complete_days(bars: DataFrame, externals: DataFrame, n_symbols: int = len(EXTERNALS)) -> DataFrame:
@@ -240,14 +248,14 @@ def complete_days(bars: DataFrame, externals: DataFrame, n_symbols: int = len(EX
     return bars.join(whole.select("session_date_jst"), "session_date_jst", "left_semi")
 
 
-def feature_frame(bars: DataFrame, externals: dict[str, DataFrame], horizon: int = 240, keep_helpers: bool = True, drop_tail: bool = False) -> DataFrame:
-    """Bars to model rows: externals, features, label, absolute prices, differences, clean-up.
+def feature_frame(bars: DataFrame, externals: DataFrame, symbols: dict[str, str], horizon: int = 240, keep_helpers: bool = True, drop_tail: bool = False) -> DataFrame:
+    """Bars to model rows: externals (bars of the symbols, each with its prefix), features, label, absolute prices, differences, clean-up.
 
     drop_tail leaves out the rows too near to the day's end for a label, which are otherwise labelled 0; keep_helpers
     keeps the means and deviations behind the z-scores.
     """
-    prefixes = list(externals)
-    out = fill_externals(join_externals(bars, externals), prefixes)
+    prefixes = list(symbols.values())
+    out = fill_externals(join_externals(bars, externals, symbols), prefixes)
     out = cross_asset(external_features(base_features(out), prefixes))
     out = efficiency_label(calendar(out), horizon)
     if drop_tail:

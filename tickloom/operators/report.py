@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
+
 #: Exit reasons in the order of reports.
 REASONS = ("TP", "SESSION", "SL", "TIME", "WEAK")
 
@@ -29,19 +31,29 @@ def totals(trades: DataFrame) -> DataFrame:
 
 
 def equity_curve(trades: DataFrame, order: tuple[str, ...] = ("exit_time",), keys: tuple[str, ...] = ()) -> DataFrame:
-    """Trades with `equity`, the profit so far, within `keys` if given.
-
-    Trades are few beside ticks: without keys they pass through one window.
-    """
+    """Trades with `equity`, the profit so far, within `keys` if given; without, the sum runs in blocks of the order."""
+    if not keys:
+        return blocks.running_sum(trades, "pnl", order, "equity")
     over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return trades.withColumn("equity", F.sum("pnl").over(over))
 
 
 def max_drawdown(trades: DataFrame, order: tuple[str, ...] = ("exit_time",), keys: tuple[str, ...] = ()) -> DataFrame:
-    """The deepest fall of the equity below its highest so far; the first trade's equity is the first high."""
-    over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = equity_curve(trades, order, keys).withColumn("high", F.max("equity").over(over))
-    return curve.groupBy(*keys).agg(F.max(F.col("high") - F.col("equity")).alias("max_drawdown"))
+    """The deepest fall of the equity below its highest so far; the first trade's equity is the first high.
+
+    Without keys, each block of the order tells its sum, its highest and lowest equity and its deepest fall; from these a
+    fall across blocks is known.
+    """
+    if keys:
+        over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        curve = equity_curve(trades, order, keys).withColumn("high", F.max("equity").over(over))
+        return curve.groupBy(*keys).agg(F.max(F.col("high") - F.col("equity")).alias("max_drawdown"))
+    placed = trades.select("pnl", *order, blocks.block_of(F.col(order[0]), blocks.cuts_of(trades, order[0])).alias("_block"))
+    inside = placed.withColumn("equity", F.sum("pnl").over(blocks.within(*order))).withColumn("high", F.max("equity").over(blocks.within(*order)))
+    totals = inside.groupBy("_block").agg(F.sum("pnl").alias("total"), F.max("equity").alias("high"), F.min("equity").alias("low"), F.max(F.col("high") - F.col("equity")).alias("fall"))
+    offset = totals.withColumn("before", F.coalesce(F.sum("total").over(blocks.before()), F.lit(0.0)))
+    across = offset.withColumn("earlier", F.max(F.col("before") + F.col("high")).over(blocks.before()))
+    return across.agg(F.max(F.greatest("fall", F.coalesce(F.col("earlier") - F.col("before") - F.col("low"), F.col("fall")))).alias("max_drawdown"))
 
 
 def by_reason(trades: DataFrame) -> DataFrame:

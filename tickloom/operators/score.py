@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import running_sum, values_at_ranks
 from ..functions.scalars import sigmoid
+from ..functions.scope import session
 
 
-def percentile_threshold(df: DataFrame, score: str = "prob", percentile: float = 80.0, least: int = 5) -> DataFrame:
-    """One row: the linear percentile of the scores, 0.5 where there are fewer than `least`."""
-    exact = F.percentile(score, F.lit(percentile / 100))
-    return df.agg(F.when(F.count(score) >= least, exact).otherwise(0.5).alias("threshold"))
+def percentile_threshold(df: DataFrame, score: str = "prob", percentile: float = 80.0, least: int = 5) -> float:
+    """The linear percentile of the scores, 0.5 where there are fewer than `least`.
+
+    It lies between the values of two ranks, which counts of distinct scores in blocks find.
+    """
+
+    def ranks(n: int) -> list[int]:
+        nonlocal size
+        size = n
+        at = (n - 1) * percentile / 100
+        return [math.floor(at), math.ceil(at)] if n >= least else []
+
+    size = 0
+    found = values_at_ranks(df, score, ranks)
+    if not found:
+        return 0.5
+    share = (size - 1) * percentile / 100 % 1
+    return found[0] + (found[1] - found[0]) * share
 
 
 def roc_auc(df: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
     """One row: the area under the ROC curve by rank sums, ties at their middle rank; null of one class alone.
 
-    Rows are first counted by score, so that the ordered sum passes over distinct scores only.
+    Rows are first counted by score; the ordered sum over scores runs in blocks.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("s")) - F.col("neg")
-    wins = by.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    below = running_sum(by, "neg", ("s",), "upto").withColumn("below", F.col("upto") - F.col("neg"))
+    wins = below.select("pos", "neg", (F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"))
     area = F.sum("wins") / (F.sum("pos") * F.sum("neg"))
     return wins.agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), area).alias("auc"))
 
 
 def precision_lift(df: DataFrame, score: str = "prob", label: str = "label", percentile: float = 80.0) -> DataFrame:
     """One row: threshold, and by how many points labels above it outdo all labels; 0.5 and 0 of fewer than 2 rows."""
-    threshold = percentile_threshold(df, score, percentile)
-    chosen = df.select(score, F.col(label).cast("double").alias("y")).crossJoin(F.broadcast(threshold))  # one row
+    threshold = F.lit(percentile_threshold(df, score, percentile))
+    chosen = df.select(score, F.col(label).cast("double").alias("y"), threshold.alias("threshold"))
     lift = (F.avg(F.when(F.col(score) >= F.col("threshold"), F.col("y"))) - F.avg("y")) * 100
     return chosen.agg(F.count("*").alias("n"), F.max("threshold").alias("threshold"), lift.alias("lift")).select(
         F.when(F.col("n") > 1, F.col("threshold")).otherwise(0.5).alias("threshold"), F.when(F.col("n") > 1, F.coalesce("lift", F.lit(0.0))).otherwise(0.0).alias("edge")
@@ -64,37 +81,6 @@ def scored_sequences(df: DataFrame, scorer: Scorer, keys: list[str], sequence: s
     return df.select(*keys, sequence).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{name} float"]))
 
 
-def encoder(params: dict[str, np.ndarray], heads: int = 8, layers: int = 3, pooling: str = "last") -> Scorer:
-    """The forward pass of a transformer encoder with given weights: projection, positions, attention, two-layer head."""
-    if pooling not in ("last", "mean"):
-        raise ValueError(f"unknown pooling: {pooling}")
-
-    def norm(x: np.ndarray, p: str) -> np.ndarray:
-        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * params[f"{p}.scale"] + params[f"{p}.shift"]
-
-    def dense(x: np.ndarray, p: str) -> np.ndarray:
-        return x @ params[f"{p}.w"] + params[f"{p}.b"]
-
-    def run(x: np.ndarray) -> np.ndarray:
-        h = dense(x, "input")
-        n, t, d = h.shape
-        angle = np.arange(t)[:, None] * np.exp(np.arange(0, d, 2) * (-np.log(10_000.0) / d))
-        position = np.zeros((t, d))
-        position[:, 0::2], position[:, 1::2] = np.sin(angle), np.cos(angle)[:, : d // 2]
-        h = h + position
-        for k in range(layers):
-            q, key, v = (dense(h, f"{k}.{part}").reshape(n, t, heads, d // heads).transpose(0, 2, 1, 3) for part in ("q", "k", "v"))
-            a = q @ key.transpose(0, 1, 3, 2) / np.sqrt(d // heads)
-            a = np.exp(a - a.max(-1, keepdims=True))
-            mixed = (a / a.sum(-1, keepdims=True) @ v).transpose(0, 2, 1, 3).reshape(n, t, d)
-            h = norm(h + dense(mixed, f"{k}.out"), f"{k}.norm1")
-            h = norm(h + dense(np.maximum(dense(h, f"{k}.up"), 0), f"{k}.down"), f"{k}.norm2")
-        pooled = h[:, -1] if pooling == "last" else h.mean(1)
-        return dense(np.maximum(dense(pooled, "head1"), 0), "head2")[:, 0]
-
-    return run
-
-
 def score_by_session(df: DataFrame, models: dict[str, dict[str, float]], name: str = "prob") -> DataFrame:
     """Rows scored by the linear model of their own session type; null where there is none."""
     out = F.lit(None).cast("float")
@@ -105,3 +91,10 @@ def score_by_session(df: DataFrame, models: dict[str, dict[str, float]], name: s
                 total = total + F.col(column) * F.lit(w)
         out = F.when(F.col("session_type") == kind, sigmoid(total).cast("float")).otherwise(out)
     return df.withColumn(name, out)
+
+
+def with_signals(bars: DataFrame, lookback: int = 20, rise_bars: int = 5) -> DataFrame:
+    """Scored bars with momentum (null at the session's start) and the rise of the score (0 there)."""
+    momentum = F.col("raw_close") - F.lag("raw_close", lookback).over(session())
+    rise = F.coalesce(F.col("prob") - F.lag("prob", rise_bars).over(session()), F.lit(0.0))
+    return bars.withColumns({"momentum": momentum, "prob_rise": rise.cast("double")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -16,9 +16,13 @@ TICK_COLUMNS = (
 
 
 def near_contract(ticks: DataFrame) -> DataFrame:
-    """Ticks of each trade date's nearest contract month, of all price types."""
-    nearest = F.min("contract_month").over(Window.partitionBy("trade_date"))
-    return ticks.withColumn("_near", nearest).filter(F.col("contract_month") == F.col("_near")).drop("_near")
+    """Ticks of each trade date's nearest contract month, of all price types.
+
+    The nearest months, a row for each trade date, come from an aggregate that combines before its shuffle and are
+    broadcast: ticks stay where they are.
+    """
+    nearest = ticks.groupBy(F.col("trade_date").alias("_date")).agg(F.min("contract_month").alias("_near"))
+    return ticks.join(F.broadcast(nearest), (F.col("trade_date") == F.col("_date")) & (F.col("contract_month") == F.col("_near"))).drop("_date", "_near")
 
 
 def regular(ticks: DataFrame) -> DataFrame:
@@ -27,7 +31,6 @@ def regular(ticks: DataFrame) -> DataFrame:
 
 
 
-
 def with_direction(ticks: DataFrame) -> DataFrame:
     """Adds price_diff, direction (-1, 0, 1) and the volumes of buyers and sellers."""
     moved = ticks.withColumn("price_diff", F.col("price") - F.lag("price").over(trade_date()))

@@ -49,8 +49,3 @@ def trade_bars(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:
 
 def external_bars(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:
     return bars.mid_bars(quotes(spark, sf_dir), width)
-
-
-def externals(spark: SparkSession, sf_dir: str, width: str, symbols=None) -> dict[str, DataFrame]:
-    every = external_bars(spark, sf_dir, width)
-    return {p: every.filter(F.col("symbol") == kind) for kind, p in SYMBOL_OF.items() if symbols is None or p in symbols}

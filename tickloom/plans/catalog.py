@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import bars, dataset, features, profile, registry, report, score, simulate, ticks
+from ..operators import bars, dataset, features, outcomes, profile, registry, report, score, ticks
+from ..session import shared_folder
+from ..sources import sinks, vendor
 from ..streaming import jobs
 from . import adapters, sql
-from .adapters import external_bars, externals, load, quotes, trade_bars, vendor_ticks
+from .adapters import external_bars, load, trade_bars, vendor_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,18 +28,15 @@ NUDGE = 3e-8
 HOUR, FIVE, HALF = "3600 seconds", "300 seconds", "30 seconds"
 #: Label horizon and sequence length that fit 5-minute bars of a date.
 HORIZON, LENGTH = 12, 12
-SYMBOLS = {kind: p for kind, p in adapters.SYMBOL_OF.items() if p in ("usdjpy", "sp500", "nasdaq")}
+SYMBOLS = adapters.SYMBOL_OF
+#: Symbols that relative strength and lead-lag are taken against.
+RELATIVE = ("usdjpy", "sp500", "nasdaq")
 
 
-def _spark_column(name: str, kind: str) -> Column:
-    c = F.col(name)
-    return {
-        "t": F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
-        "d": F.date_format(c, "yyyy-MM-dd"),
-        "f": F.round(c.cast("double") + NUDGE, 6),
-        "c": F.round(c.cast("double"), 2),
-        "i": c.cast("long"),
-    }.get(kind, c).alias(name)
+def _spark_column(name: str, kind: str) -> str:
+    c = f"`{name}`"
+    made = {"t": f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')", "d": f"date_format({c}, 'yyyy-MM-dd')", "f": f"round(cast({c} as double) + {NUDGE}D, 6)", "c": f"round(cast({c} as double), 2)", "i": f"cast({c} as bigint)"}
+    return f"{made.get(kind, c)} AS {c}"
 
 
 def _sql_column(name: str, kind: str) -> str:
@@ -55,7 +54,7 @@ def query(name: str, columns: str, body: str | None = None) -> Callable[[Query],
 
     def register(f: Query) -> Query:
         kinds = _kinds(columns)
-        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir).select(*[_spark_column(*k) for k in kinds])
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir).selectExpr(*[_spark_column(*k) for k in kinds])
         if body is not None:
             head, _, relation = body.rpartition("\n")
             ORACLES[name] = f"{head}\nSELECT {', '.join(_sql_column(*k) for k in kinds)} FROM ({relation})"
@@ -189,18 +188,14 @@ _JOINED = sql.bars(FIVE) + ",\n" + sql.quote_bars(FIVE) + ",\n" + sql.joined(SYM
 _CARRIED = " ".join(f"{p}_{x}:f" for p in SYMBOLS.values() for x in sql.CARRIED)
 
 
-def _external(spark, d) -> dict[str, DataFrame]:
-    return externals(spark, d, FIVE, SYMBOLS.values())
-
-
 @query("external_join", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM joined"))
 def external_join(spark, d):
-    return features.join_externals(five(spark, d), _external(spark, d))
+    return features.join_externals(five(spark, d), external_bars(spark, d, FIVE), SYMBOLS)
 
 
 @query("external_ffill", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM filled"))
 def external_ffill(spark, d):
-    return features.fill_externals(features.join_externals(five(spark, d), _external(spark, d)), SYMBOLS.values())
+    return features.fill_externals(external_join(spark, d), SYMBOLS.values())
 
 
 _EXTERNAL = _JOINED + ",\n" + sql.base("filled") + ",\n" + sql.external(SYMBOLS, "b8")
@@ -215,16 +210,24 @@ def external_features(spark, d):
     return _cross_input(spark, d)
 
 
-@query("rel_strength", f"{KEY} " + " ".join(f"rel_strength_vs_{p}_{r}:f" for p in SYMBOLS.values() for r in ("1m", "5m")), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_{r} - {p}_ret_{r} AS rel_strength_vs_{p}_{r}" for p in SYMBOLS.values() for r in ("1m", "5m")) + " FROM e4"))
+@query("rel_strength", f"{KEY} " + " ".join(f"rel_strength_vs_{p}_{r}:f" for p in RELATIVE for r in ("1m", "5m")), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_{r} - {p}_ret_{r} AS rel_strength_vs_{p}_{r}" for p in RELATIVE for r in ("1m", "5m")) + " FROM e4"))
 def rel_strength(spark, d):
     return features.cross_asset(_cross_input(spark, d))
 
 
-@query("lead_lag", f"{KEY} " + " ".join(f"lead_lag_vs_{p}_1m_lag{k}:f" for p in SYMBOLS.values() for k in (1, 2)), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_1m - {sql.lag(p + '_ret_1m', k, sql.DAY)} AS lead_lag_vs_{p}_1m_lag{k}" for p in SYMBOLS.values() for k in (1, 2)) + " FROM e4"))
+@query("lead_lag", f"{KEY} " + " ".join(f"lead_lag_vs_{p}_1m_lag{k}:f" for p in RELATIVE for k in (1, 2)), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"ret_1m - {sql.lag(p + '_ret_1m', k, sql.DAY)} AS lead_lag_vs_{p}_1m_lag{k}" for p in RELATIVE for k in (1, 2)) + " FROM e4"))
 def lead_lag(spark, d):
     return features.cross_asset(_cross_input(spark, d))
 
 
+_GOLD_OIL = {f"{name}_vs_sp500_divergence_{r}": f"{p}_ret_{r} - sp500_ret_{r}" for name, p in (("gold", "xau"), ("oil", "xti")) for r in ("1m", "5m")}
+
+
+@query("gold_oil", f"{KEY} " + " ".join(f"{x}:f" for x in _GOLD_OIL), _with(_EXTERNAL, "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _GOLD_OIL.items()) + " FROM e4"))
+def gold_oil(spark, d):
+    return features.cross_asset(_cross_input(spark, d))
+
+
 _RISK = {"view": "sp500", "purchase": "nasdaq", "signup": "dow"}
 _R1 = [f"{p}_ret_1m" for p in _RISK.values()]
 _MEAN = f"(({' + '.join(_R1)}) / 3)"
@@ -232,8 +235,7 @@ _MEAN = f"(({' + '.join(_R1)}) / 3)"
 
 @query("risk_on", f"{KEY} us_risk_on_ret_1m:f us_risk_on_ret_5m:f us_index_dispersion_1m:f us_sign_agreement_1m:f", _with(sql.bars(FIVE) + ",\n" + sql.quote_bars(FIVE) + ",\n" + sql.joined(_RISK) + ",\n" + sql.external(_RISK, "filled"), f"SELECT *, 0.4 * sp500_ret_1m + 0.4 * nasdaq_ret_1m + 0.2 * dow_ret_1m AS us_risk_on_ret_1m, 0.4 * sp500_ret_5m + 0.4 * nasdaq_ret_5m + 0.2 * dow_ret_5m AS us_risk_on_ret_5m, sqrt(({' + '.join(f'({x} - {_MEAN}) ** 2' for x in _R1)}) / 2) AS us_index_dispersion_1m, {' + '.join(f'sign({x})' for x in _R1)} AS us_sign_agreement_1m FROM e4"))
 def risk_on(spark, d):
-    every = external_bars(spark, d, FIVE)
-    joined = features.join_externals(five(spark, d), {p: every.filter(F.col("symbol") == kind) for kind, p in _RISK.items()})
+    joined = features.join_externals(five(spark, d), external_bars(spark, d, FIVE), _RISK)
     return features.cross_asset(features.external_features(features.fill_externals(joined, _RISK.values()), _RISK.values()))
 
 
@@ -274,7 +276,16 @@ _FINAL = (
 
 @query("finalize", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _FRAME), _with(_FINAL, "SELECT * FROM final"))
 def finalize(spark, d):
-    return features.feature_frame(five(spark, d), _external(spark, d), HORIZON)
+    return features.feature_frame(five(spark, d), external_bars(spark, d, FIVE), SYMBOLS, HORIZON)
+
+
+_NUMBERS = [x for x in _FRAME if not x.startswith("raw_")]
+
+
+@query("stats_by_type", "feature mean:f std:f", _with(_FINAL, " UNION ALL ".join(f"SELECT '{x}' AS feature, avg({x}) AS mean, CASE WHEN stddev_samp({x}) > 0 THEN stddev_samp({x}) ELSE 1 END AS std FROM final HAVING count(*) > 0" for x in _NUMBERS)))
+def stats_by_type(spark, d):
+    frame = finalize(spark, d).select("bar_start_jst", "session_date_jst", "session_type", _LABEL, *_FRAME)
+    return dataset.feature_stats(frame, dataset.feature_columns(frame, _LABEL))
 
 
 # profiles
@@ -315,7 +326,7 @@ _QUANTILE = f"(SELECT x FROM (SELECT {_LABEL} AS x, row_number() OVER (ORDER BY
 
 @query("label_quantile", "threshold:f", _with(_SET_SQL, f"SELECT {_QUANTILE} AS threshold"))
 def label_quantile(spark, d):
-    return dataset.nearest_quantile(_set(spark, d), _LABEL, 0.8)
+    return spark.createDataFrame([(dataset.nearest_quantile(_set(spark, d), _LABEL, 0.8),)], "threshold float")
 
 
 @query("scaled", f"{KEY} " + " ".join(f"{x}:f" for x in _SET), _with(_SET_SQL, "SELECT bar_start_jst, session_date_jst, session_type, " + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}" for x in _SET) + " FROM labelled"))
@@ -328,7 +339,7 @@ def scaled(spark, d):
 @query("binarised", f"{KEY} {_LABEL}:f", _with(_SET_SQL, f"SELECT bar_start_jst, session_date_jst, session_type, CASE WHEN {_LABEL} >= {_QUANTILE} THEN 1 WHEN {_LABEL} IS NOT NULL THEN 0 END AS {_LABEL} FROM labelled"))
 def binarised(spark, d):
     rows = _set(spark, d)
-    return dataset.binarised(rows, _LABEL, dataset.nearest_quantile(rows, _LABEL, 0.8).first()[0])
+    return dataset.binarised(rows, _LABEL, dataset.nearest_quantile(rows, _LABEL, 0.8))
 
 
 _SEQ = f"list([{', '.join(f'CAST({x} AS DOUBLE)' for x in _SET)}]) {sql.over(sql.DAY, sql.rows(LENGTH))}"
@@ -363,7 +374,7 @@ def _quality(spark, d) -> DataFrame:
 
 @query("percentile_threshold", "threshold:f", f"{_SCORED}\nSELECT CASE WHEN count(prob) >= 5 THEN quantile_cont(prob, 0.8) ELSE 0.5 END AS threshold FROM scored")
 def percentile_threshold(spark, d):
-    return score.percentile_threshold(_quality(spark, d))
+    return spark.createDataFrame([(score.percentile_threshold(_quality(spark, d)),)], "threshold double")
 
 
 @query("roc_auc", "auc:f", f"{_SCORED}, r AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS r FROM scored)\nSELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r")
@@ -390,17 +401,16 @@ def score_by_session(spark, d):
     return score.score_by_session(_set(spark, d), {"DAY": {"bias": 0.2, "log_vol": 0.5}, "NIGHT": {"bias": -0.1, "signed_volume_ratio": 0.9}})
 
 
-# the simulator and its reports
+# signals, their outcomes and reports
 
 _SIM = """raw AS (SELECT bar_start_jst, session_date_jst, session_type, open AS raw_open, high AS raw_high, low AS raw_low, close AS raw_close, CAST((tick_count * 37 + CAST(volume AS BIGINT) * 11) % 100 / 100.0 AS FLOAT) AS prob FROM bars),
 signals AS (SELECT *, raw_close - lag(raw_close, 4) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst) AS momentum, coalesce(CAST(prob AS FLOAT) - lag(prob, 2) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst), 0) AS prob_rise FROM raw)"""
-RULES = simulate.Rules(threshold=0.6, hold=24, stop=12, target=25, even_ticks=8, even_bars=2, weak_bars=6, weak_ticks=2, cooldown=6, max_trades=6, max_momentum=400.0)
 
 
 def _signals(spark, d) -> DataFrame:
     prob = ((F.col("tick_count") * 37 + F.col("volume").cast("long") * 11) % 100 / 100.0).cast("float")
     raw = five(spark, d).select("bar_start_jst", "session_date_jst", "session_type", *[F.col(x).alias(f"raw_{x}") for x in ("open", "high", "low", "close")], prob.alias("prob"), F.lit(0.0).cast("float").alias("threshold"))
-    return simulate.with_signals(raw, 4, 2)
+    return score.with_signals(raw, 4, 2)
 
 
 @query("momentum", f"{KEY} momentum:f", _with(sql.bars(FIVE) + ",\n" + _SIM, "SELECT * FROM signals"))
@@ -413,17 +423,16 @@ def prob_rise(spark, d):
     return _signals(spark, d)
 
 
-@query("simulate", "session_date_jst:d entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason prob:f mfe_ticks:i direction_source")
-def simulate_trades(spark, d):
-    return simulate.simulate(_signals(spark, d), RULES)
+#: Score, points of stop and target, bars held.
+_BET = outcomes.Bet(threshold=0.6, stop=60.0, target=125.0, hold=24)
 
 
-@query("simulate_grouped", "session_date_jst:d entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason prob:f mfe_ticks:i direction_source")
-def simulate_grouped(spark, d):
-    return simulate.simulate_grouped(_signals(spark, d), RULES)
+@query("signal_outcomes", f"{KEY} entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason", _with(sql.bars(FIVE) + ",\n" + _SIM + ",\n" + sql.outcomes(_BET), "SELECT * FROM outcomes"))
+def signal_outcomes(spark, d):
+    return outcomes.signal_outcomes(_signals(spark, d), _BET)
 
 
-#: Orders as trades, so that reports have an SQL twin that doesn't need the fold.
+#: Orders as trades, so that reports have as many rows as the tables have.
 _TRADES = "WITH trades AS (SELECT o_orderkey, o_orderdate AS exit_time, round(o_totalprice - 150000, 2) AS pnl, CASE o_orderkey % 5 WHEN 0 THEN 'TP' WHEN 1 THEN 'SL' WHEN 2 THEN 'SESSION' WHEN 3 THEN 'TIME' ELSE 'WEAK' END AS reason, o_custkey % 7 AS mfe_ticks FROM orders)"
 
 
@@ -460,10 +469,108 @@ def mfe(spark, d):
     return report.excursions(_trades(spark, d))
 
 
-@query("model_lookup", "window:d session edge:f threshold:f", "WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS \"window\" FROM orders WHERE o_custkey % 2 = 0), m AS (SELECT CAST(o_orderdate AS DATE) AS \"window\", o_orderpriority AS session, avg(o_totalprice) / 1000 - 240 AS edge, round(min(o_totalprice) / 500000, 4) AS t FROM orders GROUP BY 1, 2)\nSELECT w.\"window\", session, edge, CASE WHEN t > 0 THEN t ELSE 0.82 END AS threshold FROM w JOIN m USING (\"window\") WHERE edge > 10")
+@query("model_lookup", "window:d session edge:f threshold:f", "WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS \"window\" FROM orders), m AS (SELECT CAST(o_orderdate AS DATE) AS \"window\", o_orderpriority AS session, avg(o_totalprice) / 1000 - 240 AS edge, round(min(o_totalprice) / 500000, 4) AS t FROM orders GROUP BY 1, 2)\nSELECT w.\"window\", session, edge, CASE WHEN t > 0 THEN t ELSE 0.82 END AS threshold FROM w JOIN m USING (\"window\") WHERE edge > 10")
 def model_lookup(spark, d):
     records = load(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("session")).agg((F.avg("o_totalprice") / 1000 - 240).alias("edge"), F.round(F.min("o_totalprice") / 500000, 4).alias("prob_threshold"))
-    return registry.runnable(load(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0).select(F.to_date("o_orderdate").alias("window")), records, 0.82, 10)
+    return registry.runnable(load(spark, d, "orders").select(F.to_date("o_orderdate").alias("window")), records, 0.82, 10)
+
+
+# files: tables are written in a layout of the vendors or of the engine, and read again
+
+
+def _vendor_layout(spark, d, date_name: str) -> DataFrame:
+    """Events as a vendor's texts: times lose leading zeros, names are in capitals."""
+    t = vendor_ticks(spark, d)
+    return t.select(
+        F.col("trade_date").alias("TRADE_DATE"),
+        F.col("execution_date").alias(date_name),
+        F.date_format("trade_ts", "HHmmssSSS").cast("long").alias("TIME"),
+        F.col("price").alias("TRADE_PRICE"),
+        F.col("trade_volume").alias("TRADE_VOLUME"),
+        F.col("contract_month").alias("CONTRACT_MONTH"),
+        F.col("price_type").alias("PRICE_TYPE"),
+        F.col("sequence_no").alias("NO"),
+    )
+
+
+_FILED = sql.TICKS.replace("ts AS trade_ts", "date_trunc('milliseconds', ts) AS trade_ts")
+_TICK = "session_date_jst:d session_type trade_date trade_ts:t contract_code sequence_no:i price:f trade_volume:i direction:i buy_vol:i sell_vol:i symbol"
+_TICK_SQL = f"SELECT *, {sql.clock('trade_ts')} AS session_type, CAST(contract_month AS VARCHAR) AS contract_code, 'nk225' AS symbol FROM sided"
+
+
+@query("vendor_files", _TICK, _with(_FILED, _TICK_SQL))
+def vendor_files(spark, d):
+    """Half of the dates in comma-separated files, half in gzipped tab-separated ones with other names."""
+    at, odd = shared_folder(spark), F.col("TRADE_DATE").cast("int") % 2 == 1
+    _vendor_layout(spark, d, "EXECUTION_DATE").filter(odd).write.option("header", True).csv(f"{at}/comma")
+    drifted = _vendor_layout(spark, d, "MAKE_DATE").filter(~odd)
+    drifted.toDF(*[x.lower() for x in drifted.columns]).write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(f"{at}/tab")
+    return vendor.read_ticks(spark, [f"{at}/comma", f"{at}/tab"], "nk225")
+
+
+@query("legacy_files", "trade_date execution_date trade_ts:t contract_month:i sequence_no:i price_type sco_category:i price:f trade_volume:i", _with(_FILED, "SELECT *, trade_date AS execution_date, 0 AS sco_category FROM ticks"))
+def legacy_files(spark, d):
+    at = shared_folder(spark)
+    _vendor_layout(spark, d, "MAKE_DATE").write.option("header", True).option("sep", "\t").csv(f"{at}/legacy")
+    return vendor.read_legacy_ticks(spark, [f"{at}/legacy"])
+
+
+@query("quote_files", "trade_ts:t calendar_date_jst:d symbol bid:f ask:f mid:f spread:f", "\nSELECT t AS trade_ts, CAST(t AS DATE) AS calendar_date_jst, symbol, bid, ask, (bid + ask) / 2 AS mid, ask - bid AS spread FROM (SELECT date_trunc('milliseconds', ts) AT TIME ZONE 'EET' AT TIME ZONE 'Asia/Tokyo' AS t, event_type AS symbol, value * 0.999 AS bid, value * 1.001 AS ask FROM events)")
+def quote_files(spark, d):
+    at = shared_folder(spark)
+    rows = load(spark, d, "events").select(F.col("event_type").alias("symbol"), F.year("ts").alias("year"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"))
+    rows.write.partitionBy("symbol", "year").option("sep", "\t").option("header", True).csv(f"{at}/quotes")
+    return vendor.read_quotes(spark, f"{at}/quotes/*/*")
+
+
+@query("daily_ticks", f"{_TICK} year:i", _with(sql.TICKS, _TICK_SQL.replace("SELECT *,", "SELECT *, year(session_date_jst) AS year,")))
+def daily_ticks(spark, d):
+    at = shared_folder(spark)
+    sinks.by_date(ticks.normalised(vendor_ticks(spark, d), "nk225"), f"{at}/ticks")
+    return spark.read.parquet(f"{at}/ticks")
+
+
+@query("daily_bars", f"{BAR} year:i", _with(sql.bars(FIVE), "SELECT *, year(session_date_jst) AS year FROM bars"))
+def daily_bars(spark, d):
+    """Written twice, the second time the later dates alone: their partitions are replaced, the others stay."""
+    at, made = shared_folder(spark), five(spark, d)
+    for part in (made, registry.in_dates(made, "2024-01-15")):
+        sinks.by_date(part, f"{at}/bars", ("bar_start_jst",))
+    return spark.read.parquet(f"{at}/bars")
+
+
+@query("external_partitions", f"{KEY} symbol open:f high:f low:f close:f spread_close:f tick_count:i", _with(sql.quote_bars(FIVE), "SELECT * FROM ext WHERE symbol IN ('view', 'signup')"))
+def external_partitions(spark, d):
+    """Two symbols of a table that is partitioned by symbol, year and date: the others' folders aren't read."""
+    at = shared_folder(spark)
+    sinks.by_date(external_bars(spark, d, FIVE), f"{at}/external", ("bar_start_jst",), ("symbol",))
+    return spark.read.parquet(f"{at}/external").filter(F.col("symbol").isin("view", "signup"))
+
+
+@query("monthly_ticks", "period sequence_no:i trade_ts:t price:f", _with(sql.TICKS, "SELECT *, strftime(trade_ts, '%Y%m') AS period FROM ticks"))
+def monthly_ticks(spark, d):
+    at = shared_folder(spark)
+    sinks.by_month(vendor_ticks(spark, d), f"{at}/months")
+    return spark.read.parquet(f"{at}/months").withColumn("period", F.col("period").cast("string"))
+
+
+@query("model_records", "date session edge:f prob_threshold:f", "\nSELECT * FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS session, round_even(avg(o_totalprice) / 1000 - 240, 2) AS edge, round_even(min(o_totalprice) / 500000, 4) AS prob_threshold FROM orders GROUP BY 1, 2) WHERE edge > 10")
+def model_records(spark, d):
+    at = shared_folder(spark)
+    made = load(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("session")).agg((F.avg("o_totalprice") / 1000 - 240).alias("edge"), (F.min("o_totalprice") / 500000).alias("prob_threshold"))
+    sinks.write_records(made, f"{at}/records")
+    return sinks.read_records(spark, f"{at}/records", 10)
+
+
+@query("weekly_quotes", "symbol week_start timestamp bid:f ask:f", "\nSELECT event_type AS symbol, strftime(date_trunc('week', ts), '%Y%m%d') AS week_start, strftime(date_trunc('milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g') AS timestamp, value * 0.999 AS bid, value * 1.001 AS ask FROM events")
+def weekly_quotes(spark, d):
+    """A stream of quotes to weekly files, read again."""
+    at = shared_folder(spark)
+    rows = load(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("timestamp"), (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"))
+    rows.write.parquet(f"{at}/arriving")
+    live = spark.readStream.schema(rows.schema).parquet(f"{at}/arriving")
+    jobs.weekly_quote_sink(live, f"{at}/weeks", f"{at}/progress").awaitTermination()
+    return spark.read.schema("timestamp string, bid double, ask double, symbol string, week_start string").option("sep", "\t").option("header", True).csv(f"{at}/weeks")
 
 
 @query("date_range", "session_date_jst:d n:i", _with(sql.bars(FIVE), "SELECT session_date_jst, count(*) AS n FROM bars WHERE session_date_jst BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' GROUP BY 1"))

@@ -208,3 +208,14 @@ def poc() -> str:
     for name, n in (("prev_poc_1d", 1), ("prev_poc_1w", 5), ("prev_poc_4w", 20)):
         parts.append(f"(SELECT price_bin FROM (SELECT price_bin, sum(volume) AS v FROM profile p JOIN dates e ON p.date = e.date WHERE e.i BETWEEN d.i - {n} AND d.i - 1 AND d.i > {n} GROUP BY 1) ORDER BY v DESC, price_bin LIMIT 1) AS {name}")
     return f"{PROFILE},\ndates AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM profile)),\npoc AS (SELECT d.date, {', '.join(parts)} FROM dates d)"
+
+
+def outcomes(bet) -> str:
+    """`outcomes` of `signals`: of the bars a signal may hold, the first that ends it, else the last."""
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY session_date_jst ORDER BY bar_start_jst) AS i FROM signals),
+bets AS (SELECT s.bar_start_jst, s.session_date_jst, s.session_type, s.i, e.bar_start_jst AS entry_time, e.raw_open AS entry_price, sign(s.momentum) AS side FROM numbered s JOIN numbered e ON e.session_date_jst = s.session_date_jst AND e.i = s.i + 1 WHERE CAST(s.prob AS DOUBLE) >= {bet.threshold} AND s.momentum <> 0),
+held AS (SELECT b.*, h.i AS j, h.bar_start_jst AS exit_time, h.raw_close, CASE WHEN side > 0 THEN raw_low <= entry_price - {bet.stop} ELSE raw_high >= entry_price + {bet.stop} END AS sl, CASE WHEN side > 0 THEN raw_high >= entry_price + {bet.target} ELSE raw_low <= entry_price - {bet.target} END AS tp
+  FROM bets b JOIN numbered h ON h.session_date_jst = b.session_date_jst AND h.i BETWEEN b.i + 1 AND b.i + {bet.hold}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_date_jst, i ORDER BY CASE WHEN sl OR tp THEN 0 ELSE 1 END, CASE WHEN sl OR tp THEN j ELSE -j END) AS k FROM held),
+ends AS (SELECT *, CASE WHEN sl THEN 'SL' WHEN tp THEN 'TP' ELSE 'TIME' END AS reason, CASE WHEN sl THEN entry_price - side * {bet.stop} WHEN tp THEN entry_price + side * {bet.target} ELSE raw_close END AS exit_price FROM ranked WHERE k = 1),
+outcomes AS (SELECT *, CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, (exit_price - entry_price) * side * {bet.multiplier} - {bet.cost} AS pnl FROM ends)"""

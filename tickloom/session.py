@@ -1,5 +1,8 @@
 """Session settings that the library expects."""
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,12 @@ def session(app: str = "tickloom", master: str | None = None, **more: str) -> Sp
     for key, value in more.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share; a local one only in local mode."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp(prefix='shared-')}/{uuid4().hex}"

@@ -16,13 +16,15 @@ REQUIRED = ("trade_date", "execution_date", "time", "trade_price", "trade_volume
 
 
 def separators(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Separator -> the files that use it: a comma if the first line has as many commas as tabs, else a tab."""
-    first = spark.read.text(paths, wholetext=False).withColumn("path", F.col("_metadata.file_path")).withColumn("i", F.monotonically_increasing_id())
-    heads = first.groupBy("path").agg(F.min_by("value", "i").alias("head"))
-    kinds = heads.select("path", F.when(F.regexp_count("head", F.lit(",")) >= F.regexp_count("head", F.lit("\t")), ",").otherwise("\t").alias("sep"))
+    """Separator -> the paths that use it: a comma if the first line has as many commas as tabs, else a tab.
+
+    A path is a file or a folder of files of one layout; of each, one line is read.
+    """
     out: dict[str, list[str]] = {}
-    for r in kinds.collect():  # a row for each file
-        out.setdefault(r["sep"], []).append(r["path"])
+    for path in paths:
+        head = spark.read.text(path).first()
+        line = head[0] if head else ""
+        out.setdefault("," if line.count(",") >= line.count("\t") else "\t", []).append(path)
     return out
 
 
@@ -65,9 +67,18 @@ def typed_ticks(df: DataFrame) -> DataFrame:
     ).filter(F.col("trade_ts").isNotNull())
 
 
-def read_ticks(spark: SparkSession, paths: list[str], symbol: str) -> DataFrame:
-    """Normalised ticks of vendor files, comma- or tab-separated, plain or gzipped, with any mix of known headers."""
-    parts = [typed_ticks(drifted(spark.read.option("header", True).option("sep", sep).csv(files, inferSchema=False))) for sep, files in sorted(separators(spark, paths).items())]
+def read_ticks(spark: SparkSession, paths: list[str], symbol: str, sep: str | None = None) -> DataFrame:
+    """Normalised ticks of vendor files or folders, comma- or tab-separated, plain or gzipped, with any mix of known headers.
+
+    Paths of one separator are read together if their headers are equal, else one by one. With `sep`, nothing is sniffed.
+    """
+    parts = []
+    for mark, files in sorted(({sep: paths} if sep else separators(spark, paths)).items()):
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for path in files:
+            head = spark.read.text(path).first()
+            by_header.setdefault(tuple(head[0].lower().split(mark)) if head else (), []).append(path)
+        parts += [typed_ticks(drifted(spark.read.option("header", True).option("sep", mark).csv(same, inferSchema=False))) for same in by_header.values()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -85,15 +96,15 @@ def read_legacy_ticks(spark: SparkSession, paths: list[str], schema: StructType
 def read_quotes(spark: SparkSession, paths: list[str] | str, symbol: str | None = None, zone: str = "EET") -> DataFrame:
     """Bid and ask of terminal files, with or without a header, in Tokyo time.
 
-    The symbol is the name of the folder above the year's. Lines that can't be read go. A file of fewer than three
-    columns has no quotes to read and raises.
+    The symbol is the name of the folder above the year's, or its value where the folder is a partition. Lines that can't
+    be read go. A file without a line of three columns has no quotes to read and raises: one narrow pass looks at all.
     """
-    first = spark.read.text(paths).first()
-    if first is not None and len(first[0].split("\t")) < 3:
-        raise ValueError("quote files need three columns")
+    widths = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max(F.regexp_count("value", F.lit("\t"))).alias("tabs"))
+    if bad := widths.filter("tabs < 2").first():
+        raise ValueError(f"quote files need three columns: {bad['path']}")
     names = StructType([StructField(x, StringType()) for x in ("timestamp", "bid", "ask")])
     rows = spark.read.schema(names).option("sep", "\t").option("header", False).csv(paths).filter(F.col("timestamp") != "timestamp")
-    of = F.lit(symbol) if symbol else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+    of = F.lit(symbol) if symbol else from_path(F.col("_metadata.file_path"), "symbol")
     read = rows.select(
         clock.tokyo_time(F.col("timestamp").try_cast("timestamp_ntz"), zone).alias("trade_ts"),
         of.alias("symbol"),
@@ -108,5 +119,5 @@ def read_quotes(spark: SparkSession, paths: list[str] | str, symbol: str | None
 def from_path(path: Column, what: str) -> Column:
     """symbol (the folder above the year's), date (the file's stem) or period (the digits after the last _) of a path."""
     if what == "symbol":
-        return F.element_at(F.split(path, "/"), -3)
+        return F.regexp_replace(F.element_at(F.split(path, "/"), -3), "^symbol=", "")
     return F.regexp_extract(path, {"date": r"([^/]+)\.[a-z]+$", "period": r"_(\d{6,8})\.tsv"}[what], 1)

@@ -1,17 +1,12 @@
-"""Structured Streaming: bars of a tick stream, the weekly quote sink, and the simulator over arriving bars."""
+"""Structured Streaming: bars of a tick stream and the weekly quote sink."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clock
-from ..operators import simulate
 from ..operators.bars import _ohlc
 
 
@@ -30,33 +25,3 @@ def weekly_quote_sink(quotes: DataFrame, path: str, checkpoint: str) -> Streamin
     out = quotes.select("symbol", F.date_format(clock.week_start(F.col("timestamp")), "yyyyMMdd").alias("week_start"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), "bid", "ask")
     writer = out.writeStream.partitionBy("symbol", "week_start").format("csv").option("sep", "\t").option("header", True).option("compression", "gzip")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def streaming_simulation(scored: DataFrame, rules: simulate.Rules = simulate.Rules(), key: str = "session_date_jst", quiet: str = "10 minutes") -> DataFrame:
-    """Trades of a stream of scored bars, a date at a time.
-
-    A date's bars are held as state until the watermark has left its last bar by `quiet`; then they are folded like a
-    batch. Bars need `bar_ts`, a zoned event time, and arrive in any order; a date has a few thousand bars at most.
-    """
-    names = [x.split()[0] for x in simulate.TRADE.split(", ")]
-    columns = ["bar_start_jst", "session_type", "raw_open", "raw_high", "raw_low", "raw_close", "prob", "threshold", "momentum", "prob_rise"]
-    held = "bars string"
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            bars = pd.read_json(state.get[0], orient="split", convert_dates=["bar_start_jst"], precise_float=True)
-            state.remove()
-            trades = pd.DataFrame(simulate.trade_loop(bars.sort_values("bar_start_jst"), rules), columns=names)
-            if len(trades):
-                yield trades.assign(**{key: k[0]})[[key, *names]]
-            return
-        parts = [f[columns].assign(prob=f["prob"].astype(float), threshold=f["threshold"].astype(float)) for f in frames]
-        if state.exists:
-            parts.insert(0, pd.read_json(state.get[0], orient="split", convert_dates=["bar_start_jst"], precise_float=True))
-        every = pd.concat(parts, ignore_index=True)
-        state.update((every.to_json(orient="split", date_unit="us", double_precision=15),))
-        last = int(every["bar_start_jst"].max().value // 1_000_000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1 + int(pd.Timedelta(quiet).total_seconds() * 1000))
-
-    kinds = dict(scored.dtypes)
-    return scored.withWatermark("bar_ts", "0 seconds").groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {simulate.TRADE}", held, "append", GroupStateTimeout.EventTimeTimeout)
