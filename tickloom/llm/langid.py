@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, slices, table
+from .common import checkpointed, crc_mod, only, slices, table
 
 SIZES = (3, 4, 5)  # letters of an n-gram, a word's edge counting as one
 SLOTS_LOG2 = 21  # slots of the filter: 2**21 longs for up to 64 languages, 16 MB whatever the corpus
@@ -35,7 +35,7 @@ LEAST_SEEN = 3
 def _letters() -> np.ndarray:
     """Code point -> code point of the lower-case letter, 0 for what isn't a letter."""
     out = np.zeros(0x110000, np.uint32)
-    for code in range(0x41, 0x32000):
+    for code in range(0x41, 0x40000):  # no letters are assigned beyond
         c = chr(code)
         if unicodedata.category(c)[0] == "L":
             low = c.lower()
@@ -86,12 +86,13 @@ class Model:
     def __post_init__(self) -> None:
         self.positives = [float(np.mean((s := self.slices[k // 64]) >> np.uint64(k % 64) & np.uint64(1)) ** PROBES) for k in range(len(self.languages))]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its share of what all languages know of it, and the share of n-grams it knows."""
         hashes, counts = grams(texts)
         at = np.flatnonzero(counts)
-        found, scores = ["und"] * len(texts), [0.0] * len(texts)
+        found, scores, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not len(at) or not self.languages:
-            return found, scores
+            return found, scores, known
         begins = np.concatenate([[0], np.cumsum(counts[at])[:-1]])
         n, by = counts[at].astype(float), np.zeros((len(self.languages), len(at)))
         where = slots(hashes)
@@ -102,9 +103,10 @@ class Model:
                 fp = self.positives[k]
                 by[k] = np.clip((hits - n * fp) / max(1e-9, 1 - fp), 0, None)
         best, total = by.argmax(axis=0), by.sum(axis=0)
-        for i, k, share in zip(at.tolist(), best.tolist(), (by.max(axis=0) / np.where(total > 0, total, 1)).tolist(), strict=True):
-            found[i], scores[i] = self.languages[k], min(1.0, share)
-        return found, scores
+        most = by.max(axis=0)
+        for i, k, share, of_all in zip(at.tolist(), best.tolist(), (most / np.where(total > 0, total, 1)).tolist(), (most / n).tolist(), strict=True):
+            found[i], scores[i], known[i] = self.languages[k], min(1.0, share), min(1.0, of_all)
+        return found, scores, known
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_A_LANGUAGE) -> Model:
@@ -132,7 +134,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 seen, n = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "gram", "n"])
 
-    seen = kept.mapInArrow(count, "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    seen = checkpointed(kept.mapInArrow(count, "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n")))
     totals = {r[0]: r[1] for r in seen.groupBy("k").agg(F.sum("n")).collect()}
     all_of = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(float(n)))]) if totals else None
     if all_of is None:
@@ -158,21 +160,22 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score.
+    """docs with lang_pred, score (the language's share of what all languages know of the text) and known (the share of the
+    text's n-grams that it knows).
 
-    Null texts and texts without a letter are `und` with score 0; a text whose n-grams no language has is given to the
-    first language with score 0. Ties go to the first language by name. Input columns of these names are replaced; the
-    model is broadcast, its size is fixed. No shuffle.
+    Null texts and texts without a letter are `und` with score and known 0; a text whose n-grams no language has is given
+    to the first language with 0 and 0. Ties go to the first language by name; repeated rows get the same; an empty table
+    gives an empty one. Input columns of these names are replaced; the model is broadcast, its size is fixed. No shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, GRAM_BYTES):
-            names, scores = held.value.predict(part.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            names, scores, known = held.value.predict(part.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "known"])
 
-    rows = docs.drop("lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "lang_pred string, score double"])
+    rows = docs.drop("lang_pred", "score", "known")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "lang_pred string, score double, known double"])
     return rows.mapInArrow(run, schema)
 
 
