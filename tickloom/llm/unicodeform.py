@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 #: Code points that have a normal form of their own lie below these ends; surrogates and unassigned ones don't.
 PLANES = [(0x80, 0xD800), (0xE000, 0x32000), (0xE0000, 0xE0200)]
 #: Characters that most texts are made of and that are their own normal form: a quick look leaves them out.
-COMMON = r"\x00-\x7F\xE0-\xFFА-яЀ-џא-תء-ي\x{3041}-\x{3093}\x{30A1}-\x{30F6}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+COMMON = r"\x00-\x7F\xDF-\xFFА-яЀ-џא-תء-ي\x{3041}-\x{3093}\x{30A1}-\x{30F6}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+#: The one letter of many texts that folds to two; it is replaced first, so that they need no closer look.
+SHARP_S = "ß"
 #: Iota subscript: a mark that folds to a letter, so it is folded after marks are ordered.
 IOTA = "ͅ"
 #: Conjoining jamo, as ranges of initial, medial and final ones, and syllables.
@@ -58,7 +60,7 @@ def tables() -> Tables:
             fold = again
         if whole != c and IOTA not in full:
             compatible[c] = fold
-        elif fold not in (c, c.lower()):
+        elif fold not in (c, c.lower()) and c != SHARP_S:
             folded[c] = fold
         if n := unicodedata.combining(c):
             classes[c] = n
@@ -91,7 +93,7 @@ def _replaced(text: Column, table: dict[str, str]) -> Column:
     """text with characters replaced by one or more others."""
     single = {c: to for c, to in table.items() if len(to) == 1}
     several = dict(sorted(((c, to) for c, to in table.items() if len(to) != 1), key=lambda x: -len(x[1])))
-    out = F.translate(text, "".join(single), "".join(single.values()))
+    out = F.when(text.rlike(char_class(single)), F.translate(text, "".join(single), "".join(single.values()))).otherwise(text)
     if not several:
         return out
     here = char_class(several)
@@ -188,4 +190,4 @@ def normal(text: Column) -> Column:
     def other(lower: Column) -> Column:
         return F.when(lower.rlike(anything), reduce(let, steps, lower)).otherwise(lower)
 
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(F.lower(text), other))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(F.replace(F.lower(text), F.lit(SHARP_S), F.lit("ss")), other))
