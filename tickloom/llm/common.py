@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside are deleted when each action ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder, so that lineage ends there.
 
@@ -29,42 +41,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    with passing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan made here: its shuffle files go when it is written
 
 
 #: A key is hot if it has more than one in HOT_SHARE of the rows, and more than HOT_LEAST: there are fewer than HOT_SHARE.
 HOT_SHARE, HOT_LEAST = 1000, 200
 
 
+def hot_limit(n: int) -> int:
+    """Rows of n that make a key hot."""
+    return max(HOT_LEAST, n // HOT_SHARE)
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """The keys, fewer than HOT_SHARE, that hold so many rows of df that a task with one of them would be slow."""
-    limit = max(HOT_LEAST, df.count() // HOT_SHARE)
-    return [r[0] for r in df.groupBy(key).count().filter((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    with passing_shuffles(df.sparkSession):
+        counts = df.groupBy(key).count().filter((F.col("count") > hot_limit(df.count())) & F.col(key).isNotNull())
+        return [r[0] for r in counts.select(key).collect()]
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
-    """The inner join of left with right, a row for each key, where keys may be hot on the left.
+def joined(left: DataFrame, right: DataFrame, key: str, hot: list | None = None, how: str = "inner") -> DataFrame:
+    """The inner or left join of left with right, a row for each key, where keys may be hot on the left.
 
     Rows of hot keys stay where they are: the few rows on the right, one for each such key, come to them by broadcast.
     `left` is read twice or three times, so it should be a checkpoint.
     """
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
-        return left.join(right, key)
+        return left.join(right, key, how)
     few = F.col(key).isin(hot)
-    return left.filter(~few).join(right.filter(~few), key).unionByName(left.filter(few).join(F.broadcast(right.filter(few)), key))
-
-
-@contextmanager
-def passing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside are deleted when each action ends, not when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return left.filter(~few).join(right.filter(~few), key, how).unionByName(left.filter(few).join(F.broadcast(right.filter(few)), key, how))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

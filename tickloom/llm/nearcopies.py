@@ -6,8 +6,9 @@ nodes are masks of some bits, drawn so often that a pair of Jaccard 0.8 meets in
 more surely. Candidates are compared by their real shingles, and only pairs of Jaccard 0.8 or more are links.
 
 Candidates joined by chains are a family, and a family's texts are compared in one task. A large family is dealt to many
-tasks: each compares a part of it and some leaders of the whole family, which joins most of it. Texts that are still apart
-from a candidate in another part are compared in blocks, so that no task holds more than two parts and no pair is left.
+tasks: each compares a part of it and some leaders of the whole family, which joins the bulk of tight copies. Whoever is
+not of the family's largest class then is compared with all others in blocks of two parts, so that no task holds more and
+no pair of different classes is left.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ RADIUS = 58
 RECALL = 0.95
 #: Evenly spread codes of a node, about.
 NODE = 512
+#: Masks that link first.
+FIRST = 3
 #: Codes of a node beyond which it is divided again.
 NODE_LIMIT = 8_000
-#: Texts, and bytes of text, that one task compares at once.
-FAMILY, FAMILY_BYTES = 1000, 16 << 20
+#: Texts, and bytes of text, of a part of a family.
+FAMILY, FAMILY_BYTES = 500, 8 << 20
 #: Members of a large family, about, that all its parts are compared with.
 LEADERS = 32
 
@@ -132,15 +135,18 @@ def _by_shingles(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     codes, new = np.unique(part.column(1).to_numpy(), return_index=True)
     sets = [shingle_set(part.column(2)[i].as_py()) for i in new.tolist()]
     sizes = np.array([len(s) for s in sets])
+    # inverted: shingle -> the texts that have it, so that one text meets all others at once
+    _, shingle = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    begins, order = np.concatenate([[0], np.cumsum(sizes)]), np.argsort(shingle, kind="stable")
+    having, n = np.repeat(np.arange(len(sets)), sizes)[order], np.bincount(shingle)
+    first = np.cumsum(n) - n
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        hit = LIKE[1] * np.minimum(sizes[others], sizes[i]) >= LIKE[0] * np.maximum(sizes[others], sizes[i])
-        for o in np.flatnonzero(hit).tolist():
-            mine, theirs = sets[i], sets[others[o]]
-            at = np.searchsorted(mine, theirs)
-            common = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum()) if len(mine) else 0
-            hit[o] = LIKE[1] * common >= LIKE[0] * (len(mine) + len(theirs) - common)
-        return hit
+        mine = shingle[begins[i] : begins[i + 1]]
+        each, ends = n[mine], np.cumsum(n[mine])
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[mine] - ends + each, each)
+        common = np.bincount(having[places], minlength=len(sets))[others]
+        return LIKE[1] * common >= LIKE[0] * (sizes[i] + sizes[others] - common)
 
     root = spanned(len(codes), near)
     moved = root != np.arange(len(root))
@@ -190,12 +196,28 @@ def _families(members: DataFrame) -> DataFrame:
     return joined(members, sizes.select("family", "members", parts.alias("parts")), "family")
 
 
+def families(codes: DataFrame) -> DataFrame:
+    """code and family of the codes (code, WORDS) that have a candidate; families are joined by chains of candidates.
+
+    A few masks join most of a group; under the others only what is still apart is linked, so that a member of a large
+    group has a few links and not one for each mask.
+    """
+    first, *deeper = mask_levels(codes.count())
+    classes = components(node_links(codes, [first[:FIRST], *deeper], WORDS, RADIUS, NODE_LIMIT)).select(F.col("node").alias("code"), F.col("label").alias("class"))
+    if not first[FIRST:]:
+        return classes.withColumnRenamed("class", "family")
+    known = checkpointed(codes.join(classes, "code", "left").withColumn("linked", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "code")))
+    others = checkpointed(node_links(known, [first[FIRST:], *deeper], WORDS, RADIUS, NODE_LIMIT, "class"))
+    of = lambda x: known.select(F.col("code").alias(x), F.col("class").alias(f"class_{x}"))
+    across = others.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    merged = components(across).select(F.col("node").alias("class"), "label")
+    return joined(known, merged, "class", how="left").filter(F.col("linked") | F.col("label").isNotNull()).select("code", F.coalesce("label", "class").alias("family"))
+
+
 def likenesses(docs: DataFrame, firsts: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) that join the codes of firsts (code, words, n_bytes, row) as all candidate pairs of LIKE or more would."""
-    levels = mask_levels(firsts.count())
-    codes = firsts.select("code", *WORDS)
-    likely = components(node_links(codes, levels, WORDS, RADIUS, NODE_LIMIT)).select(F.col("node").alias("code"), F.col("label").alias("family"))
-    about = firsts.select("code", *WORDS, "n_bytes", "row._h0", "row._h1")
+    likely = families(firsts.select("code", *WORDS))
+    about = firsts.select("code", "n_bytes", "row._h0", "row._h1")
     members = checkpointed(_families(about.join(likely, "code")))
     small, large = members.filter("parts = 1"), members.filter("parts > 1")
     asked = small.select(F.col("family").alias("key"), "code", "_h0", "_h1")
@@ -205,15 +227,23 @@ def likenesses(docs: DataFrame, firsts: DataFrame, text_col: str = "text") -> Da
     leads = F.pmod(F.xxhash64("code", F.lit("leader")), F.col("members")) < LEADERS
     dealt = large.withColumn("part", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own.cast("int")))))
     found = checkpointed(_compared(docs, asked.unionByName(dealt.select(F.xxhash64("family", "part").alias("key"), "code", "_h0", "_h1")), text_col))
-    # candidates in different parts that nothing has joined yet
     classes = components(found).select(F.col("node").alias("code"), F.col("label").alias("class"))
-    apart = checkpointed(large.drop("family", "members", "parts").join(classes, "code", "left").withColumn("class", F.coalesce("class", "code")))
-    border = components(node_links(apart.select("code", *WORDS, "class"), levels, WORDS, RADIUS, NODE_LIMIT, "class")).select(F.col("node").alias("code"), F.col("label").alias("family"))
-    rest = checkpointed(_families(apart.join(border, "code")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    blocks = rest.select("family", "code", "_h0", "_h1", own.cast("int").alias("own"), other)
-    asked = blocks.select(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "code", "_h0", "_h1")
-    return found.unionByName(_compared(docs, asked, text_col))
+    inside = checkpointed(large.join(classes, "code", "left").withColumn("class", F.coalesce("class", "code")))
+    # narrow rows tell each family's largest class; whoever is in another meets all in blocks, the largest among itself not
+    sizes = inside.groupBy("family", "class").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.max("n").alias("_in"))
+    marked = checkpointed(joined(inside, largest, "family").filter(F.col("_in") < F.col("members")))
+    share = lambda n: F.ceil(F.col("parts") * n / F.col("members")).cast("int")
+    counts = {"_few": share(F.col("members") - F.col("_in")), "_many": share(F.col("_in"))}
+    is_few = F.col("class") != F.col("largest")
+    block = marked.withColumns(counts).withColumn("own", F.pmod(F.xxhash64("code", F.lit("block")), F.when(is_few, F.col("_few")).otherwise(F.col("_many"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda kind, i, j: F.xxhash64("family", F.lit(kind), i, j)
+    own = F.col("own")
+    among = F.transform(upto("_few"), lambda o: key("among", F.least(own, o), F.greatest(own, o)))
+    against = F.transform(upto("_many"), lambda o: key("against", own, o))
+    keys = F.when(is_few, F.concat(among, against)).otherwise(F.transform(upto("_few"), lambda o: key("against", o, own)))
+    return found.unionByName(_compared(docs, block.select(F.explode(keys).alias("key"), "code", "_h0", "_h1"), text_col))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_keys, joined, only, table
+from .common import checkpointed, hot_keys, hot_limit, joined, only, table
 
 #: Children of a node of the tree.
 FANOUT = 16
@@ -148,7 +148,7 @@ def _near(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
 def _forest(names: np.ndarray, codes: np.ndarray, radius: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of codes as (name, another name of its part): a tree for each part, no row with many links.
 
-    Where classes are given, only pairs of different classes are linked.
+    Where classes are given, only pairs of different classes count.
     """
     root = np.arange(len(codes))
     for i, j in _near(codes, radius):
@@ -243,22 +243,24 @@ def links(codes: DataFrame, radius: int = 4, node_limit: int = NODE_LIMIT) -> Da
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node and label, the least node that it is joined to, for every node of the edges (a, b).
 
-    Labels jump to their label's label and then spread to neighbours, so a chain's length halves each round; every
-    round is a checkpoint, and one look for changes reaches the driver. A node with very many edges and a label with
-    very many nodes are joined apart from the others, so that neither makes a hot task.
+    In each round a node takes the least of its label, its neighbours' labels and its label's label, so that the length of
+    a chain is about halved; every round is a checkpoint, and one row about it reaches the driver. A node with very many
+    edges and a label with very many nodes are joined apart from the others, so that neither makes a hot task.
     """
     ways = edges.filter("a <> b").select("a", "b")
     both = checkpointed(ways.unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hot_keys(both, "b")
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    stepped = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("old"), F.least(F.first("a"), F.min("b")).alias("label")))
+    limit = hot_limit(stepped.count())
     for _ in range(rounds):
-        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = joined(labels, further, "label").select("node", F.col("label").alias("old"), F.least("label", "further").alias("label"))
-        heard = joined(both, jumped.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        stepped = checkpointed(jumped.join(heard, "node").select("node", "old", F.least("label", "heard").alias("label")))
         labels = stepped.select("node", "label")
-        if stepped.filter("old <> label").isEmpty():
+        sizes = stepped.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("old") != F.col("label")).alias("moved"))
+        moved, hot = sizes.agg(F.sum("moved"), F.collect_list(F.when(F.col("n") > limit, F.col("label")))).first()
+        if not moved:
             return labels
+        further = joined(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", hot)
+        heard = joined(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        stepped = checkpointed(further.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "further", "heard").alias("label")))
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
