@@ -14,15 +14,27 @@ from tickloom.llm import bytebpe, decontam, langid, nearcopies, secrets
 from tickloom.llm.common import checkpointed, crc_mod, table
 
 
+#: Share of a text's n-grams that its language must know, or the text has none: clean ones have over a half.
+LEAST_KNOWN = 0.2
+#: Score from which the model's language replaces another label.
+CONFIDENT = 0.7
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null texts, texts without a letter) go; `lang` stays as labelled,
-    a null one becomes the prediction."""
+    """Documents without a recognisable language go: null texts, texts without a letter, and texts of whose n-grams the
+    likeliest language knows less than LEAST_KNOWN. `lang` becomes the prediction where it is null or the model contradicts
+    it with a score of CONFIDENT or more. Repeated rows are judged alike; where no language can be learned, whatever has a
+    letter stays as it is; an empty table gives an empty one. Extra columns stay, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = langid.train(docs.filter(~out))
-    if not model.languages:  # nothing to learn from: whatever has a letter stays
+    if not model.languages:  # nothing to learn from
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model)
-    return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(rows, model).filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
+    wrong = F.col("row.lang").isNull() | ((F.col("row.lang") != F.col("lang_pred")) & (F.col("score") >= CONFIDENT))
+    lang = F.when(wrong, F.col("lang_pred")).otherwise(F.col("row.lang"))
+    return found.select(*[lang.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +60,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; repeated rows are judged alike; an empty
+    table gives an empty one; extra columns stay, but one called `leaks` isn't read."""
     found = decontam.screened(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("leaks") == 0).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask in the text; documents stay."""
+    """Secrets are replaced by a mask in the text; documents stay. Null and empty texts have none and stay as they are;
+    repeated rows are masked alike; an empty table gives an empty one."""
     found = secrets.scan(docs)
     text = secrets.redacted(F.col("text"), F.col("spans"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and whether they decode to its bytes."""
+    """The ids of each text, and whether they decode to its bytes. Null and empty texts have no ids and decode; repeated
+    rows stay; an empty table gives an empty one; extra columns are left out."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = bytebpe.coded(docs, path)
     return rows.select(
