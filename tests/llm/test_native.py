@@ -51,6 +51,26 @@ def test_shards_follow_the_walk(spark, docs_of):
     assert 0.005 < share < 0.06
 
 
+def test_repeated_rows_take_slots_of_their_own(docs_of):
+    rows = [(7, "same")] * 300 + [(7, f"other {i}") for i in range(50)] + [(None, "none")] * 40 + [(i, "x") for i in range(100, 130)]
+    got = sharding.shard(docs_of(rows), 3, rows_per_block=10).collect()
+    assert len(got) == len(rows)
+    for s in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+
+
+@pytest.mark.parametrize("shards", [1, 2, 33, 500])
+def test_walks_of_any_length(docs_of, monkeypatch, shards):
+    monkeypatch.setattr(sharding, "FEW", 2)
+    docs = docs_of([(i, "") for i in range(400)])
+    short = {r[0]: r[1] for r in docs.select("doc_id", sharding.jump_shards(F.col("doc_id"), shards)).collect()}
+    monkeypatch.setattr(sharding, "FEW", 1000)
+    assert short == {r[0]: r[1] for r in docs.select("doc_id", sharding.jump_shards(F.col("doc_id"), shards)).collect()}
+    assert all(0 <= r["shard"] < shards and r["grown_shard"] in (r["shard"], shards) for r in short.values())
+
+
 def test_sharding_of_odd_rows(odd, empty):
     got = sharding.shard(odd).collect()
     assert len(got) == 12

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage against what each stage's operator says of its input."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,18 @@ def test_language_keeps_all_with_letters(stages):
     assert {r["doc_id"] for r in after} == letters
 
 
+def test_language_stage_rejects_and_relabels(spark, docs_of, sf_dir):
+    rnd = random.Random(3)
+    pools = {"fr": "le chat et la souris vont au marché pour manger une pomme".split(), "de": "der hund und die katze gehen zum markt um brot zu kaufen".split()}
+    say = lambda k, n=40: " ".join(rnd.choice(pools[k]) for _ in range(n))
+    rows = [(i, say(k), k) for i, k in enumerate(["fr", "de"] * 40)]
+    rows += [(200, "Xq7Zk9Wv" * 40, "fr"), (201, "1234 !!", "fr"), (202, None, "fr"), (203, say("fr"), None), (204, say("fr"), "de"), (205, say("fr"), "fr"), (205, say("de"), "de")]
+    got = corpus_pipeline.language(spark, docs_of(rows), sf_dir).collect()
+    langs = sorted((r["doc_id"], r["lang"]) for r in got if r["doc_id"] >= 200)
+    assert langs == [(203, "fr"), (204, "fr"), (205, "de"), (205, "fr")] and len(got) == 84
+    assert corpus_pipeline.language(spark, docs_of(rows[:20]).withColumn("lang", F.lit(None).cast("string")), sf_dir).count() == 20
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
     rows = sorted(before, key=lambda r: r["doc_id"])

@@ -289,6 +289,29 @@ def test_more_languages_than_bits(docs_of):
     assert np.mean([p == k for p, k in zip(model.predict([say(k) for k in names])[0], names, strict=True)]) > 0.95
 
 
+def test_bloom_filter_equals_exact_sets(docs_of):
+    """The languages of every n-gram are those of exact sets, but for false positives, which are as rare as computed."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join("".join(rnd.choice("aeiou" + k) for _ in range(5)) for _ in range(80)), k) for i, k in enumerate(["rst", "nlm", "pqk"] * 20)]
+    model = langid.train(docs_of(rows))
+    counts = {k: {} for k in model.languages}
+    for _, text, k in rows:
+        for g in langid.grams([text])[0].tolist():
+            counts[k][g] = counts[k].get(g, 0) + 1
+    rates = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    every = sorted({g for c in counts.values() for g in c})
+    held = np.bitwise_and.reduce([model.slices[0][w] for w in langid.slots(np.array(every, np.uint64))])
+    for k, name in enumerate(model.languages):
+        most = {g: max(r.get(g, 0) for r in rates.values()) for g in every}
+        want = np.array([counts[name].get(g, 0) >= langid.LEAST_SEEN and rates[name][g] >= langid.LEAST_SHARE * most[g] for g in every])
+        has = (held >> np.uint64(k)) & np.uint64(1) == 1
+        assert has[want].all() and has[~want].mean() <= model.positives[k] * 3 + 0.01
+
+
+def test_letters_of_all_planes():
+    assert langid.grams([chr(0x323AF), "\U0001e922", "\U00020000x"])[1].tolist() == [1, 1, 3]
+
+
 def test_filter_holds_every_gram():
     hashes, _ = langid.grams(["some words of a text"])
     assert len(hashes) and all((w >= 0).all() and (w < 1 << langid.SLOTS_LOG2).all() for w in langid.slots(hashes))
