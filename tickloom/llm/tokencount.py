@@ -7,12 +7,14 @@ token count. The encoding of a prefix is unique and two neighbouring tokens are
 apart in the whole exactly if they do in the pair), so the state decides everything.
 
 A chunk of a text maps entry states to exit states and counts. Where a word begins, every state falls into one; so a
-map is its head (the text before the first word start, run when the entry is known) and a constant. Maps compose, and
-a text's chunks are composed pairwise, level by level.
+map is its head (the text before the first word start, run when the entry is known) and a constant. The constant is the
+sum over words, whose exit states and counts are kept once they were run. Maps compose, and a text's chunks are composed
+pairwise, level by level.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +31,10 @@ from .common import only, slices, table
 SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 4096
+#: A word as the machine sees it: the spaces before it begin it.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Characters of a word, and words, that a worker keeps the results of.
+LONGEST_WORD, MOST_WORDS = 48, 200_000
 #: States beyond which a worker compiles anew, so that its memory is bounded.
 MOST_STATES = 300_000
 
@@ -62,6 +68,7 @@ class Machine:
         """Drops all compiled states."""
         self.states: dict[tuple, State] = {}
         self.apart: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, tuple[State, int]] = {}
         self.start = self.state((("", None, 0),), False)
 
     def state(self, live: tuple, word: bool) -> State:
@@ -108,6 +115,17 @@ class Machine:
             n += more
         return at, n
 
+    def word(self, text: str) -> tuple[State, int]:
+        """Exit state and count of a word, whatever comes before it."""
+        found = self.words.get(text)
+        if found is None:
+            found = self.run(self.start, text)
+            if len(text) <= LONGEST_WORD:
+                if len(self.words) >= MOST_WORDS:
+                    self.words.clear()
+                self.words[text] = found
+        return found
+
 
 @dataclass(frozen=True)
 class ChunkMap:
@@ -133,7 +151,10 @@ def chunk_map(text: str, machine: Machine) -> ChunkMap:
         at = text.find(SPACE, at + 1)
     if at <= 0:
         return ChunkMap(text)
-    end, n = machine.run(machine.start, text[at:])
+    n, end = 0, machine.start
+    for w in WORD.findall(text, at):
+        end, more = machine.word(w)
+        n += more
     return ChunkMap(text[:at], n, end)
 
 
@@ -158,7 +179,7 @@ def compiled(path: str) -> tuple[Machine, sentencepiece.SentencePieceProcessor]:
 def counted(docs: DataFrame, path: str, limit: int = 4096, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
-    Null and empty texts have no bytes and tokens. A text is counted where it lies, without a shuffle. Input columns of
+    Null and empty texts have no bytes and tokens; repeated rows stay; an empty table gives an empty one. A text is counted where it lies, without a shuffle. Input columns of
     these names are replaced. The model file must be at the same path on every machine.
     """
 
