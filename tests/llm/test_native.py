@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, licenses, secrets, sharding, unicodeform
+from tickloom.llm import fingerprints, licenses, secrets, sharding, simhash, unicodeform
 
 
 # sharding
@@ -337,8 +337,8 @@ def test_licences_of_odd_rows(odd, empty):
     assert licenses.scan(empty).collect() == []
 
 
-@pytest.mark.parametrize("operator", [sharding.shard, fingerprints.fingerprint, licenses.scan])
+@pytest.mark.parametrize("operator", [sharding.shard, fingerprints.fingerprint, fingerprints.fingerprint_edits, licenses.scan, simhash.near_duplicates])
 def test_extra_columns_do_not_clash(docs_of, operator):
-    names = ["shard", "slot", "_block", "count", "fingerprint", "form", "digest", "license", "_id", "body", "units"]
-    docs = docs_of([(1, "a b"), (2, "c")])
+    names = ["shard", "slot", "_block", "count", "fingerprint", "form", "digest", "license", "_id", "body", "units", "_block", "_text", "next_text", "n_chars", "code", "label", "key", "row", "size", "_n"]
+    docs = docs_of([(1, "a b"), (2, "c")]).drop("n_chars")
     assert operator(docs.withColumns({n: F.lit(1) for n in names})).count() == 2

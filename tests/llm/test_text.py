@@ -380,6 +380,17 @@ def test_items_interrupted_by_long_text(spark, docs_of, parts):
     assert got == brute_leaks(docs, items) >= {(i, i) for i in range(5)}
 
 
+def test_a_very_long_document_against_many_items():
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("aeioustrn") for _ in range(rnd.randint(2, 7))) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=50))) for i in range(1500)]
+    words = rnd.choices(vocabulary, k=1_000_000)
+    parts = items[7][1].split()
+    words[1000:1025], words[900_000:900_025] = parts[:25], parts[25:]
+    (found,) = decontam.Index(items).leaks([" ".join(words)])
+    assert [x["item_id"] for x in found] == [7]
+
+
 def test_passes_over_a_large_benchmark(spark, docs_of, monkeypatch):
     items = {i: f"item number {i} asks what {i * 7} is in words. it is {i}" for i in range(40)}
     docs = docs_of([(i, f"before {items[i]} after") for i in range(40)])
@@ -422,6 +433,44 @@ def test_label_model_overrules_wrong_labels():
     assert np.mean((p > 0.5) == y) > np.mean(~wrong) + 0.01
 
 
+def plain_label_model(votes, labels, rounds):
+    """The same model a number at a time."""
+    n, m = len(votes), len(votes[0])
+    p = [0.9 if y else 0.05 for y in labels]
+    for _ in range(rounds):
+        share = [[1 - q for q in p], p]
+        rate, given, like = [], [], [[0.0] * m for _ in range(m)]
+        for w in share:
+            size = sum(w)
+            rate.append([(sum(a * v[k] for a, v in zip(w, votes)) + 0.05) / (size + 0.1) for k in range(m)])
+            given.append((sum(a for a, y in zip(w, labels) if y) + 0.05) / (size + 0.1))
+        for c, w in enumerate(share):
+            size = sum(w)
+            cov = [[sum(a * (v[j] - rate[c][j]) * (v[k] - rate[c][k]) for a, v in zip(w, votes)) / size for k in range(m)] for j in range(m)]
+            sd = [max(1e-9, cov[k][k]) ** 0.5 for k in range(m)]
+            for j in range(m):
+                for k in range(m):
+                    like[j][k] += size / n * min(1.0, max(0.0, cov[j][k] / (sd[j] * sd[k])))
+        many = [max(1.0, sum(like[j][k] for j in range(m) if like[j][k] > toxicity.LEAST_CORRELATION)) for k in range(m)]
+        prior = min(1 - 1e-4, max(1e-4, sum(p) / n))
+        for i, (v, y) in enumerate(zip(votes, labels)):
+            total = np.log(prior / (1 - prior)) + np.log(given[1] / given[0] if y else (1 - given[1]) / (1 - given[0]))
+            for k in range(m):
+                total += (np.log(rate[1][k] / rate[0][k]) if v[k] else toxicity.ABSTENTION * np.log((1 - rate[1][k]) / (1 - rate[0][k]))) / many[k]
+            p[i] = 1 / (1 + np.exp(-min(30, max(-30, total))))
+    return p
+
+
+def test_label_model_equals_a_plain_computation():
+    rnd = np.random.default_rng(5)
+    y = rnd.random(120) < 0.3
+    votes = np.column_stack([np.where(y, rnd.random(120) < 0.7, rnd.random(120) < 0.1) for _ in range(4)]).astype(int)
+    votes = np.column_stack([votes, votes[:, 1]])
+    labels = np.where(rnd.random(120) < 0.1, ~y, y).astype(int)
+    for rounds in (1, 2, 7):
+        assert toxicity.label_model(votes, labels, rounds) == pytest.approx(plain_label_model(votes.tolist(), labels.tolist(), rounds), abs=1e-6)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     for model in (toxicity.train(odd, labels), toxicity.train(empty, labels), toxicity.train(odd, labels.limit(0)), toxicity.train(odd, labels.filter("toxic = 1"))):

@@ -185,7 +185,8 @@ def screened(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
 
     Null and empty texts hold nothing; null and wordless items are nothing to hold; an item of fewer words than a shingle
     is looked for as a whole; items with equal texts are all listed; repeated rows have the same leaks. An input column
-    called `leaks` is replaced. Documents stay where they are: no shuffle.
+    called `leaks` is replaced. Documents stay where they are: no shuffle. Whole texts are read however long they are; a worker
+    then holds the words of one.
 
     The items' total size is measured first: each index takes settings.index_mb of item texts at most, about, and a
     larger benchmark makes more passes. An index is read by the driver and broadcast.

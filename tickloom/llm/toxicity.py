@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0), of whole texts and of nothing else.
 
-    Null and empty texts have the score of a text without any feature. Input columns of these names are replaced. The
+    Null and empty texts have the score of a text without any feature; repeated rows get the same; an empty table gives an
+    empty one. Input columns of these names are replaced. The
     model, of a fixed size, is broadcast; no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
