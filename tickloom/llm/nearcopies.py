@@ -39,8 +39,6 @@ RADIUS = 58
 RECALL = 0.95
 #: Evenly spread codes of a node, about.
 NODE = 512
-#: Masks that link first.
-FIRST = 3
 #: Codes of a node beyond which it is divided again.
 NODE_LIMIT = 8_000
 #: Texts, and bytes of text, of a part of a family.
@@ -196,27 +194,10 @@ def _families(members: DataFrame) -> DataFrame:
     return joined(members, sizes.select("family", "members", parts.alias("parts")), "family")
 
 
-def families(codes: DataFrame) -> DataFrame:
-    """code and family of the codes (code, WORDS) that have a candidate; families are joined by chains of candidates.
-
-    A few masks join most of a group; under the others only what is still apart is linked, so that a member of a large
-    group has a few links and not one for each mask.
-    """
-    first, *deeper = mask_levels(codes.count())
-    classes = components(node_links(codes, [first[:FIRST], *deeper], WORDS, RADIUS, NODE_LIMIT)).select(F.col("node").alias("code"), F.col("label").alias("class"))
-    if not first[FIRST:]:
-        return classes.withColumnRenamed("class", "family")
-    known = checkpointed(codes.join(classes, "code", "left").withColumn("linked", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "code")))
-    others = checkpointed(node_links(known, [first[FIRST:], *deeper], WORDS, RADIUS, NODE_LIMIT, "class"))
-    of = lambda x: known.select(F.col("code").alias(x), F.col("class").alias(f"class_{x}"))
-    across = others.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    merged = components(across).select(F.col("node").alias("class"), "label")
-    return joined(known, merged, "class", how="left").filter(F.col("linked") | F.col("label").isNotNull()).select("code", F.coalesce("label", "class").alias("family"))
-
-
 def likenesses(docs: DataFrame, firsts: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) that join the codes of firsts (code, words, n_bytes, row) as all candidate pairs of LIKE or more would."""
-    likely = families(firsts.select("code", *WORDS))
+    codes = firsts.select("code", *WORDS)
+    likely = components(node_links(codes, mask_levels(firsts.count()), WORDS, RADIUS, NODE_LIMIT)).select(F.col("node").alias("code"), F.col("label").alias("family"))
     about = firsts.select("code", "n_bytes", "row._h0", "row._h1")
     members = checkpointed(_families(about.join(likely, "code")))
     small, large = members.filter("parts = 1"), members.filter("parts > 1")

@@ -145,16 +145,10 @@ def _near(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
             stack.append((level - 1, x[ok], y[ok]))
 
 
-def _forest(names: np.ndarray, codes: np.ndarray, radius: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of codes as (name, another name of its part): a tree for each part, no row with many links.
-
-    Where classes are given, only pairs of different classes count.
-    """
+def _forest(names: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of codes as (name, another name of its part): a tree for each part, no row with many links."""
     root = np.arange(len(codes))
     for i, j in _near(codes, radius):
-        if classes is not None:
-            apart = classes[i] != classes[j]
-            i, j = i[apart], j[apart]
         while len(i):
             i, j = root[i], root[j]
             apart = i != j
@@ -172,7 +166,7 @@ def _forest(names: np.ndarray, codes: np.ndarray, radius: int, classes: np.ndarr
     return names[order[child]], names[order[parent]]
 
 
-def _links_in_nodes(routed: DataFrame, words: list[str], radius: int, class_col: str | None = None) -> DataFrame:
+def _links_in_nodes(routed: DataFrame, words: list[str], radius: int) -> DataFrame:
     """Rows dealt by their node (key) and sorted by Gray rank there -> links (a, b)."""
     wide = len(words)
 
@@ -184,7 +178,7 @@ def _links_in_nodes(routed: DataFrame, words: list[str], radius: int, class_col:
             rows = np.concatenate(held)
             if len(rows) < 2:
                 return None
-            a, b = _forest(rows[:, 0], np.ascontiguousarray(rows[:, 1 : wide + 1]).view(np.uint64), radius, rows[:, wide + 1] if class_col else None)
+            a, b = _forest(rows[:, 0], np.ascontiguousarray(rows[:, 1 : wide + 1]).view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
@@ -204,18 +198,18 @@ def _links_in_nodes(routed: DataFrame, words: list[str], radius: int, class_col:
             yield out
 
     dealt = routed.repartition("key").sortWithinPartitions("key", *[gray_rank(F.col(w)) for w in words])
-    return dealt.select("key", "code", *words, *([class_col] if class_col else [])).mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("key", "code", *words).mapInArrow(run, "a bigint, b bigint")
 
 
-def node_links(codes: DataFrame, levels: list[list[Mask]], words: list[str], radius: int, node_limit: int = NODE_LIMIT, class_col: str | None = None) -> DataFrame:
+def node_links(codes: DataFrame, levels: list[list[Mask]], words: list[str], radius: int, node_limit: int = NODE_LIMIT) -> DataFrame:
     """Links (a, b) between the distinct `code`s whose words differ in at most radius bits, as far as masks bring them
-    together: of each node a spanning forest, which joins as all pairs would. With class_col, links across classes alone.
+    together: of each node a spanning forest, which joins as all pairs would.
 
     Nodes of more than node_limit codes are divided by the next level's masks, as long as there are levels; keys are
     hashes, and two nodes of one hash are searched as one.
     """
     patterns = lambda chosen, *more: F.explode(F.array(*[F.xxhash64(*more, F.lit(i), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask, strict=True)]) for i, mask in enumerate(chosen)])).alias("key")
-    held = ["code", *words, *([class_col] if class_col else [])]
+    held = ["code", *words]
     routed, found = codes.select(*held, patterns(levels[0])), None
     for chosen in [*levels[1:], None]:
         large = None
@@ -226,7 +220,7 @@ def node_links(codes: DataFrame, levels: list[list[Mask]], words: list[str], rad
             if large.isEmpty():
                 large = None
         fit = routed if large is None else routed.join(F.broadcast(large), "key", "left_anti")  # MOST_LARGE keys at most
-        links = _links_in_nodes(fit, words, radius, class_col)
+        links = _links_in_nodes(fit, words, radius)
         found = links if found is None else found.unionByName(links)
         if large is None:
             return found
@@ -240,28 +234,40 @@ def links(codes: DataFrame, radius: int = 4, node_limit: int = NODE_LIMIT) -> Da
     return node_links(codes.select("code", F.col("code").alias("word")), exact_levels(codes.count(), radius), ["word"], radius, node_limit)
 
 
+def _roots(both: DataFrame) -> DataFrame:
+    """node and label: the end of the chain of least neighbours that begins at the node. Labels jump to their label's label."""
+    stepped = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("old"), F.least(F.first("a"), F.min("b")).alias("label")))
+    limit = hot_limit(stepped.count())
+    while True:
+        labels = stepped.select("node", "label")
+        sizes = stepped.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("old") != F.col("label")).alias("moved"))
+        moved, hot = sizes.agg(F.sum("moved"), F.collect_list(F.when(F.col("n") > limit, F.col("label")))).first()
+        if not moved:
+            return labels
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        stepped = checkpointed(joined(labels, further, "label", hot).select("node", F.col("label").alias("old"), F.col("further").alias("label")))
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node and label, the least node that it is joined to, for every node of the edges (a, b).
 
-    In each round a node takes the least of its label, its neighbours' labels and its label's label, so that the length of
-    a chain is about halved; every round is a checkpoint, and one row about it reaches the driver. A node with very many
+    Every node goes along its chain of least neighbours, and what came together is one node of the next round, so each
+    edge is looked up once or twice, however large its part is. Every round ends in a checkpoint. A node with very many
     edges and a label with very many nodes are joined apart from the others, so that neither makes a hot task.
     """
     ways = edges.filter("a <> b").select("a", "b")
     both = checkpointed(ways.unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    hubs = hot_keys(both, "b")
-    stepped = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("old"), F.least(F.first("a"), F.min("b")).alias("label")))
-    limit = hot_limit(stepped.count())
+    names: DataFrame | None = None
     for _ in range(rounds):
-        labels = stepped.select("node", "label")
-        sizes = stepped.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("old") != F.col("label")).alias("moved"))
-        moved, hot = sizes.agg(F.sum("moved"), F.collect_list(F.when(F.col("n") > limit, F.col("label")))).first()
-        if not moved:
-            return labels
-        further = joined(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", hot)
-        heard = joined(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        stepped = checkpointed(further.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "further", "heard").alias("label")))
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+        roots = _roots(both)
+        of = lambda node, root: roots.select(F.col("node").alias(node), F.col("label").alias(root))  # noqa: B023, E731
+        names = roots if names is None else checkpointed(joined(names, of("label", "root"), "label", how="left").select("node", F.coalesce("root", "label").alias("label")))
+        hubs = hot_keys(both, "a")  # edges go both ways
+        met = joined(joined(both, of("a", "root_a"), "a", hubs), of("b", "root_b"), "b", hubs)
+        both = checkpointed(met.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        if both.isEmpty():
+            return names
+    raise RuntimeError(f"edges are left after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, words_a_shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", node_limit: int = NODE_LIMIT) -> DataFrame:
