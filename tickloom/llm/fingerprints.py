@@ -133,10 +133,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         id_col,
         n.cast("long").alias("n_chars"),
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        canonical(text).alias("form"),
-        canonical(edited).alias("edited_form"),
-        canonical(other).alias("next_form"),
-    )
+        # one expression for the three of them: it is large, and each copy would be planned and sent on its own
+        F.transform(F.array(text, edited, other), canonical).alias("_forms"),
+    ).select("*", F.col("_forms")[0].alias("form"), F.col("_forms")[1].alias("edited_form"), F.col("_forms")[2].alias("next_form"))
     marked = rows.select("*", digest(F.col("form")).alias("fingerprint"), digest(F.col("edited_form")).alias("edited_digest"), digest(F.col("next_form")).alias("next_digest"))
     marked = _told_apart(marked, docs, text_col)
     same = lambda form, own: F.when((F.col(own) == F.substring("fingerprint", 1, 32)) & (F.col(form) == F.col("form")), 1.0).otherwise(0.0)
