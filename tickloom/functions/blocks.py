@@ -1,7 +1,7 @@
 """Ordered work over a whole table in blocks, so that no task sees the whole order.
 
-A table is cut at quantiles of the leading order column. Work inside blocks is a window by block; only block totals, at
-most MOST_BLOCKS + 1 rows, pass through a window without a partition.
+A table is cut at quantiles of the leading order column, or, by any columns, into the ranges that Spark's own sampling
+finds. Work inside blocks is a window by block; only block totals pass through a window without a partition.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 ROWS_A_BLOCK = 100_000
 #: Blocks at most; beyond, blocks grow with the table and their sorts spill.
 MOST_BLOCKS = 1024
@@ -76,3 +78,33 @@ def values_at_ranks(df: DataFrame, name: str, ranks) -> list:
         return out
     finally:
         counted.unpersist()
+
+
+def ordered_blocks(df: DataFrame, order: list[str], rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """df with _block, a range of the order: all rows of a block come before those of the next.
+
+    Blocks are as many as shuffles have partitions, or more, so that each has about rows_a_block rows at most; a row that
+    is repeated in all of `order` stays in one. The rows are written once, so that every later reading sees one cut.
+    """
+    n = df.count()
+    spread = min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(max(1, spread, -(-n // rows_a_block)), *order)
+    return settled(dealt.withColumn("_block", F.spark_partition_id()))
+
+
+def carried(placed: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds to the rows of ordered_blocks (cut by `by` and `order`) the last value that isn't null among the rows of the same
+    `by` up to and with each row; null where there is none.
+
+    Within a block it is a window; what a block hands on is one row, and rows of the next blocks take it if it is of their
+    own `by`. So a key with any share of the rows is worked on by as many tasks as it has blocks.
+    """
+    own = F.struct(*[F.col(c) for c in by])
+    told = F.when(value.isNotNull(), F.struct(own.alias("by"), value.alias("value")))
+    inner = Window.partitionBy("_block").orderBy(*by, *order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.struct(*[F.col(c) for c in (*by, *order)])
+    ends = placed.groupBy("_block").agg(F.max_by(told, F.when(value.isNotNull(), rank)).alias("_end"))
+    handed = ends.select("_block", F.last("_end", ignorenulls=True).over(before()).alias("_handed"))
+    met = placed.withColumn("_within", F.last(told, ignorenulls=True).over(inner)).join(handed, "_block", "left")
+    of = lambda c: F.when(F.col(c)["by"].eqNullSafe(own), F.col(c)["value"])
+    return met.withColumn(name, F.coalesce(of("_within"), of("_handed"))).drop("_within", "_handed")
