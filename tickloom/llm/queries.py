@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import bytebpe, decontam, fingerprints, langid, licenses, secrets, sharding, simhash, tokencount, toxicity
+from . import bytebpe, decontam, fingerprints, langid, lexical, licenses, merkle, secrets, sharding, simhash, tokencount, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,8 +13,13 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_url_filters": urlfilter.op11_url_filters,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_lexical": lexical.op13_lexical,
 }
 #: The others rest on xxHash64, tokenizers or trained models, which DuckDB's SQL lacks; tests hold them against brute force.
 ORACLES = {
     "op8_licenses": licenses.oracle(),
+    "op11_url_filters": urlfilter.oracle(),
+    "op13_lexical": lexical.oracle(),
 }
