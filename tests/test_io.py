@@ -33,8 +33,8 @@ def test_vendor_files_of_all_kinds(spark, tmp_path):
         ("2024-01-05 08:45:00", 2, 1, "DAY", 5),
         ("2024-01-06 09:00:00", 5, 0, "DAY", 6),
     ]
-    with pytest.raises(ValueError, match="trade_price"):
-        vendor.drifted(spark.createDataFrame([("20240105",)], "trade_date string"))
+    with pytest.raises(ValueError, match="trade_price.*short.csv"):
+        vendor.read_ticks(spark, [comma, put(f"{tmp_path}/short.csv", "trade_date\n20240105\n")], "nk")
 
 
 def test_legacy_files(spark, tmp_path):

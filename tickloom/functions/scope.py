@@ -3,6 +3,7 @@
 from functools import lru_cache
 
 from pyspark.sql import Window, WindowSpec
+from pyspark.sql import functions as F
 
 SESSION_KEYS = ("session_date_jst", "session_type")
 BAR = "bar_start_jst"
@@ -41,3 +42,16 @@ def so_far(spec: WindowSpec) -> WindowSpec:
 def ahead(spec: WindowSpec, n: int) -> WindowSpec:
     """The frame of the n rows after the current one."""
     return spec.rowsBetween(1, n)
+
+
+@lru_cache
+def session_seconds() -> WindowSpec:
+    """Bars of one session, ordered by the seconds of their start, so that frames can be spans of time."""
+    return Window.partitionBy(*SESSION_KEYS).orderBy(F.unix_seconds(F.col(BAR).cast("timestamp")))
+
+
+@lru_cache
+def last_seconds(spec: WindowSpec, n: int) -> WindowSpec:
+    """The frame of the last n seconds, the current row's own among them: rows that are further back in time than that
+    aren't in it, however few rows there are between."""
+    return spec.rangeBetween(1 - n, 0)

@@ -15,7 +15,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions import clock
 from ..functions.scalars import change_share, filled_forward, floored, log_change, ratio, rolling, slope, zscore
-from ..functions.scope import SESSION_KEYS, ahead, day, session, so_far
+from ..functions.scope import SESSION_KEYS, ahead, day, last_seconds, session, session_seconds, so_far
 
 #: Columns that are taken from an external symbol's bars.
 EXTERNAL_COLUMNS = ("open", "high", "low", "close", "spread_close", "tick_count", "is_complete")
@@ -102,6 +102,40 @@ def vwap_distance(rows: int = 30, least: int = 10) -> Column:
     return c("close") - F.try_divide(rolling(F.sum, c("typical_price") * c("volume"), session(), rows, least), rolling(F.sum, c("volume"), session(), rows, least))
 
 
+#: Features over a span of clock time: name -> (aggregate, column, seconds, least rows). Twins of ROLLING's row frames, which
+#: stretch over gaps where bars without trades are missing.
+CLOCK = {
+    "realized_vol_5m_clock": (F.stddev_samp, "log_ret", 300, 2),
+    "realized_vol_30m_clock": (F.stddev_samp, "log_ret", 1800, 5),
+    "signed_volume_sum_5m_clock": (F.sum, "signed_volume", 300, 1),
+    "signed_volume_sum_10m_clock": (F.sum, "signed_volume", 600, 1),
+    "volume_sum_5m_clock": (F.sum, "volume", 300, 1),
+    "volume_sum_30m_clock": (F.sum, "volume", 1800, 1),
+    "tick_count_ma_5m_clock": (F.avg, "tick_count", 300, 1),
+    "bars_30m_clock": (F.count, "close", 1800, 1),
+}
+#: Seconds of the VWAP by clock time.
+CLOCK_VWAP = 900
+
+
+def clock_features(bars: DataFrame) -> DataFrame:
+    """bars with CLOCK and dist_vwap_15m_clock, the close less the VWAP of the last CLOCK_VWAP seconds.
+
+    Frames are RANGE frames over the start of the bars of a session; all share one exchange and one sort. A feature is
+    null while its frame has fewer values than its least; the VWAP's distance is null where nothing was traded.
+    """
+    over = session_seconds()
+    told = bars.withColumns({"_log_ret": log_change(c("close"), session()), "_turnover": (c("close") + c("high") + c("low")) / 3 * c("volume")})
+
+    def framed(how, name: str, seconds: int, least: int) -> Column:
+        x, frame = c("_log_ret" if name == "log_ret" else name), last_seconds(over, seconds)
+        return F.when(F.count(x).over(frame) >= least, how(x).over(frame))
+
+    frame = last_seconds(over, CLOCK_VWAP)
+    vwap = F.try_divide(F.sum("_turnover").over(frame), F.sum("volume").over(frame))
+    return told.withColumns({name: framed(*of) for name, of in CLOCK.items()} | {"dist_vwap_15m_clock": c("close") - vwap}).drop("_log_ret", "_turnover")
+
+
 def ratios_of_layers() -> dict[str, Column]:
     over = session()
     return {

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..functions.scope import so_far, trade_date
+from ..functions.joins import bounded
 
 #: The columns of normalised ticks, in order.
 TICK_COLUMNS = (
@@ -18,11 +18,11 @@ TICK_COLUMNS = (
 def near_contract(ticks: DataFrame) -> DataFrame:
     """Ticks of each trade date's nearest contract month, of all price types.
 
-    The nearest months, a row for each trade date, come from an aggregate that combines before its shuffle and are
-    broadcast: ticks stay where they are.
+    The nearest months, a row for each trade date, come from an aggregate that combines before its shuffle; they are
+    broadcast if they are few, so that ticks stay where they are, and else joined by date.
     """
-    nearest = ticks.groupBy(F.col("trade_date").alias("_date")).agg(F.min("contract_month").alias("_near"))
-    return ticks.join(F.broadcast(nearest), (F.col("trade_date") == F.col("_date")) & (F.col("contract_month") == F.col("_near"))).drop("_date", "_near")
+    nearest = bounded(ticks.groupBy(F.col("trade_date").alias("_date")).agg(F.min("contract_month").alias("_near")))
+    return ticks.join(nearest, (F.col("trade_date") == F.col("_date")) & (F.col("contract_month") == F.col("_near"))).drop("_date", "_near")
 
 
 def regular(ticks: DataFrame) -> DataFrame:
@@ -30,14 +30,37 @@ def regular(ticks: DataFrame) -> DataFrame:
     return ticks.filter(F.col("price_type") == "N")
 
 
+#: Seconds of a trade date whose ticks one task orders.
+SEGMENT = 900
 
-def with_direction(ticks: DataFrame) -> DataFrame:
-    """Adds price_diff, direction (-1, 0, 1) and the volumes of buyers and sellers."""
-    moved = ticks.withColumn("price_diff", F.col("price") - F.lag("price").over(trade_date()))
-    sign = F.when(F.col("price_diff") > 0, 1).when(F.col("price_diff") < 0, -1)
-    ruled = moved.withColumn("direction", F.coalesce(F.last(sign, ignorenulls=True).over(so_far(trade_date())), F.lit(0)).cast("tinyint"))
+
+def with_direction(ticks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Adds price_diff, direction (-1, 0, 1) and the volumes of buyers and sellers.
+
+    A trade date is worked on in segments of so many seconds, so that a date with most of the ticks is many tasks. What a
+    segment hands on is its last price and its last sign, a row each: segments without a move take the sign before them,
+    and the first tick of a segment is held against the last price before it. Windows see one segment's ticks, or one
+    date's segments.
+    """
+    keys = ["trade_date", "_segment"]
+    order = F.struct("trade_ts", "sequence_no")
+    sign = lambda x: F.when(x > 0, 1).when(x < 0, -1)
+    inside = Window.partitionBy(*keys).orderBy("trade_ts", "sequence_no")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    cut = ticks.withColumn("_segment", F.floor(F.unix_seconds(F.col("trade_ts").cast("timestamp")) / segment))
+    moved = cut.withColumn("_diff", F.col("price") - F.lag("price").over(inside))
+    ends = moved.groupBy(*keys).agg(F.min_by("price", order).alias("_open"), F.max_by("price", order).alias("_close"), F.max_by(sign(F.col("_diff")), F.when(sign(F.col("_diff")).isNotNull(), order)).alias("_sign"))
+    by_date = Window.partitionBy("trade_date").orderBy("_segment")
+    met = ends.withColumn("_prior", F.lag("_close").over(by_date)).withColumn("_first", sign(F.col("_open") - F.col("_prior")))
+    told = F.last(F.coalesce("_sign", "_first"), ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, -1))
+    handed = met.select(*keys, "_prior", told.alias("_before"))
+    # null dates have a partition of their own in windows, and a null date's segments meet again here
+    same = F.col("trade_date").eqNullSafe(F.col("_d")) & F.col("_segment").eqNullSafe(F.col("_s"))
+    joined = moved.join(handed.toDF("_d", "_s", "_prior", "_before"), same, "left")
+    whole = joined.withColumn("price_diff", F.when(F.row_number().over(inside) == 1, F.col("price") - F.col("_prior")).otherwise(F.col("_diff")))
+    ruled = whole.withColumn("direction", F.coalesce(F.last(sign(F.col("price_diff")), ignorenulls=True).over(so_far), "_before", F.lit(0)).cast("tinyint"))
     side = lambda d: F.when(F.col("direction") == d, F.col("trade_volume")).otherwise(F.lit(0).cast("long"))
-    return ruled.withColumns({"buy_vol": side(1), "sell_vol": side(-1)})
+    return ruled.withColumns({"buy_vol": side(1), "sell_vol": side(-1)}).drop("_segment", "_diff", "_d", "_s", "_prior", "_before")
 
 
 def normalised(ticks: DataFrame, symbol: str) -> DataFrame:

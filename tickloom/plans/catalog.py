@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import bars, dataset, features, outcomes, profile, registry, report, score, ticks
+from ..operators import asof, bars, dataset, features, outcomes, profile, registry, report, score, ticks
 from ..session import shared_folder
 from ..sources import sinks, vendor
 from ..streaming import jobs
@@ -306,6 +306,27 @@ def bars_with_poc(spark, d):
     return profile.with_poc(bar_imbalance(spark, d))
 
 
+# joins and windows by time
+
+
+@query("asof_quotes", "event_id:i symbol trade_ts:t price:f quoted:t bid:f ask:f", """WITH t AS (SELECT event_id, 'c' || user_id % 2 AS symbol, ts AS trade_ts, value AS price FROM events WHERE event_type = 'purchase'),
+q AS (SELECT 'c' || user_id % 2 AS symbol, ts AS quoted, arg_max(value * 0.999, event_id) AS bid, arg_max(value * 1.001, event_id) AS ask FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+m AS (SELECT t.*, q.quoted, q.bid, q.ask FROM t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.trade_ts >= q.quoted)
+SELECT event_id, symbol, trade_ts, price, CASE WHEN quoted >= trade_ts - INTERVAL 10 MINUTE THEN quoted END AS quoted, CASE WHEN quoted >= trade_ts - INTERVAL 10 MINUTE THEN bid END AS bid, CASE WHEN quoted >= trade_ts - INTERVAL 10 MINUTE THEN ask END AS ask FROM m""")
+def asof_quotes(spark, d):
+    """Each purchase with the last quote of its contract, if that is at most ten minutes old."""
+    rows = load(spark, d, "events").select("event_id", "event_type", F.concat(F.lit("c"), F.col("user_id") % 2).alias("symbol"), F.col("ts").alias("trade_ts"), "value")
+    trades = rows.filter("event_type = 'purchase'").select("event_id", "symbol", "trade_ts", F.col("value").alias("price"))
+    quotes = rows.filter("event_type in ('view', 'click')").select("symbol", "trade_ts", (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"), F.col("event_id").alias("quote_id"))
+    return asof.as_of(trades, quotes, ["symbol"], "trade_ts", tie="quote_id", within="10 minutes").withColumnRenamed("trade_ts_matched", "quoted")
+
+
+@query("clock_windows", f"{KEY} " + " ".join(f"{x}:f" for x in sql.CLOCK) + " dist_vwap_15m_clock:f", _with(sql.bars(HALF) + ",\n" + sql.clock_frames(), "SELECT * FROM clocked"))
+def clock_windows(spark, d):
+    """Frames by time over half-minute bars, most of which are missing."""
+    return features.clock_features(trade_bars(spark, d, HALF))
+
+
 # training sets
 
 _SET = ("ret_1m", "ret_5m", "realized_vol_5m", "signed_volume_ratio", "log_vol")
@@ -432,6 +453,19 @@ def signal_outcomes(spark, d):
     return outcomes.signal_outcomes(_signals(spark, d), _BET)
 
 
+#: Seconds for which a signal looks at trades after its bar.
+_LOOK = 1800
+
+
+@query("signal_trades", "bar_start_jst:t n:i volume:i low:f high:f first:f", _with(sql.bars(FIVE) + ",\n" + _SIM + f",\nspans AS (SELECT bar_start_jst, bar_start_jst + INTERVAL 300 SECOND AS a, bar_start_jst + INTERVAL {300 + _LOOK} SECOND AS b FROM signals WHERE CAST(prob AS DOUBLE) >= 0.3)", "SELECT bar_start_jst, count(*) AS n, sum(trade_volume) AS volume, min(price) AS low, max(price) AS high, arg_min(price, (trade_ts, sequence_no)) AS first FROM spans JOIN sided ON trade_ts >= a AND trade_ts < b GROUP BY 1"))
+def signal_trades(spark, d):
+    """What was traded in the half hour after each signal's bar."""
+    start = F.col("bar_start_jst")
+    spans = _signals(spark, d).filter(F.col("prob").cast("double") >= 0.3).select(F.lit("nk225").alias("symbol"), "bar_start_jst", (start + F.expr("INTERVAL 300 SECONDS")).alias("from_ts"), (start + F.expr(f"INTERVAL {300 + _LOOK} SECONDS")).alias("to_ts"))
+    met = asof.inside(normalised_ticks(spark, d), spans, ["symbol"], "trade_ts", "from_ts", "to_ts", _LOOK)
+    return met.groupBy("bar_start_jst").agg(F.count("*").alias("n"), F.sum("trade_volume").alias("volume"), F.min("price").alias("low"), F.max("price").alias("high"), F.min_by("price", F.struct("trade_ts", "sequence_no")).alias("first"))
+
+
 #: Orders as trades, so that reports have as many rows as the tables have.
 _TRADES = "WITH trades AS (SELECT o_orderkey, o_orderdate AS exit_time, round(o_totalprice - 150000, 2) AS pnl, CASE o_orderkey % 5 WHEN 0 THEN 'TP' WHEN 1 THEN 'SL' WHEN 2 THEN 'SESSION' WHEN 3 THEN 'TIME' ELSE 'WEAK' END AS reason, o_custkey % 7 AS mfe_ticks FROM orders)"
 
@@ -508,6 +542,29 @@ def vendor_files(spark, d):
     return vendor.read_ticks(spark, [f"{at}/comma", f"{at}/tab"], "nk225")
 
 
+@query("vendor_mixed", _TICK, _with(_FILED, _TICK_SQL))
+def vendor_mixed(spark, d):
+    """One tree of folders in which names, their order, separators and compression change from date to date."""
+    at, which = shared_folder(spark), F.col("TRADE_DATE").cast("int") % 4
+    rows = _vendor_layout(spark, d, "EXECUTION_DATE")
+    small = rows.toDF(*[x.lower() for x in rows.columns])
+    turned = small.select(*reversed(small.columns)).withColumnRenamed("execution_date", "make_date")
+    dated = small.drop("execution_date").withColumn("sco_category", F.lit(0))  # the trade date is its execution date
+    for i, (part, folder, mark, packed) in enumerate(((rows, "2024/a", ",", "none"), (turned, "2024/b", ",", "gzip"), (dated, "2024/b/c", "\t", "none"), (turned, "d", "\t", "gzip"))):
+        part.filter(which == i).write.option("header", True).option("sep", mark).option("compression", packed).csv(f"{at}/tree/{folder}/{i}")
+    return vendor.read_ticks(spark, [f"{at}/tree", f"{at}/tree/d"], "nk225")
+
+
+@query("row_numbers", "trade_date sequence_no:i trade_ts:t price:f", _with(_FILED, "SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY t.trade_ts, sequence_no) AS sequence_no, t.trade_ts, price FROM ticks t"))
+def row_numbers(spark, d):
+    """A file for each date, in order and without numbers: lines are numbered as they stand in their file."""
+    at = shared_folder(spark)
+    rows = _vendor_layout(spark, d, "EXECUTION_DATE")
+    dealt = rows.withColumn("day", F.col("TRADE_DATE")).repartition("day").sortWithinPartitions("day", "TIME", "NO")
+    dealt.drop("NO").write.partitionBy("day").option("header", True).csv(f"{at}/days")
+    return vendor.typed_ticks(vendor.fields(spark, [f"{at}/days"]))
+
+
 @query("legacy_files", "trade_date execution_date trade_ts:t contract_month:i sequence_no:i price_type sco_category:i price:f trade_volume:i", _with(_FILED, "SELECT *, trade_date AS execution_date, 0 AS sco_category FROM ticks"))
 def legacy_files(spark, d):
     at = shared_folder(spark)
@@ -547,6 +604,33 @@ def external_partitions(spark, d):
     return spark.read.parquet(f"{at}/external").filter(F.col("symbol").isin("view", "signup"))
 
 
+def _halves(df: DataFrame, time_col: str) -> list[tuple[str, DataFrame]]:
+    """A table as two deliveries: mornings come late."""
+    late = F.hour(time_col) < 12
+    return [("first", df.filter(~late)), ("late", df.filter(late))]
+
+
+@query("late_bars", f"{BAR} year:i", _with(sql.bars(FIVE), "SELECT *, year(session_date_jst) AS year FROM bars"))
+def late_bars(spark, d):
+    """Bars of files that arrive one after the other: a late one's rows are merged into dates that are written."""
+    at = shared_folder(spark)
+    for name, part in _halves(normalised_ticks(spark, d), "trade_ts"):
+        made = bars.bars_of_segments(sinks.merged(spark, bars.trade_segments(part, FIVE), f"{at}/segments", name), FIVE)
+        sinks.by_date(made, f"{at}/bars", ("bar_start_jst",))
+    return spark.read.parquet(f"{at}/bars")
+
+
+@query("late_externals", f"{KEY} symbol open:f high:f low:f close:f spread_close:f tick_count:i", _with(sql.quote_bars(FIVE), "SELECT * FROM ext"))
+def late_externals(spark, d):
+    """As late_bars, of quotes; a delivery that comes twice counts once."""
+    at = shared_folder(spark)
+    parts = _halves(adapters.quotes(spark, d), "trade_ts")
+    for name, part in [*parts, parts[-1]]:
+        made = bars.mid_bars_of_segments(sinks.merged(spark, bars.quote_segments(part, FIVE), f"{at}/segments", name), FIVE)
+        sinks.by_date(made, f"{at}/bars", ("bar_start_jst",), ("symbol",))
+    return spark.read.parquet(f"{at}/bars")
+
+
 @query("monthly_ticks", "period sequence_no:i trade_ts:t price:f", _with(sql.TICKS, "SELECT *, strftime(trade_ts, '%Y%m') AS period FROM ticks"))
 def monthly_ticks(spark, d):
     at = shared_folder(spark)

@@ -172,6 +172,27 @@ def external(symbols: dict[str, str], of: str) -> str:
     )
 
 
+#: Frames by time: aggregate, column, seconds, least rows.
+CLOCK = {
+    "realized_vol_5m_clock": ("stddev_samp", "log_ret", 300, 2),
+    "realized_vol_30m_clock": ("stddev_samp", "log_ret", 1800, 5),
+    "signed_volume_sum_5m_clock": ("sum", "signed_volume", 300, 1),
+    "signed_volume_sum_10m_clock": ("sum", "signed_volume", 600, 1),
+    "volume_sum_5m_clock": ("sum", "volume", 300, 1),
+    "volume_sum_30m_clock": ("sum", "volume", 1800, 1),
+    "tick_count_ma_5m_clock": ("avg", "tick_count", 300, 1),
+    "bars_30m_clock": ("count", "close", 1800, 1),
+}
+
+
+def clock_frames(of: str = "bars") -> str:
+    """`returned` and `clocked`."""
+    frame = lambda n: over(SESSION, f"RANGE BETWEEN INTERVAL {n - 1} SECOND PRECEDING AND CURRENT ROW")
+    columns = {k: f"CASE WHEN count({x}) {frame(n)} >= {least} THEN {how}({x}) {frame(n)} END" for k, (how, x, n, least) in CLOCK.items()}
+    vwap = f"sum((close + high + low) / 3.0 * volume) {frame(900)} / nullif(sum(volume) {frame(900)}, 0)"
+    return layer("returned", of, {"log_ret": f"{ln('close')} - {ln(lag('close'))}"}) + ",\n" + layer("clocked", "returned", columns | {"dist_vwap_15m_clock": f"close - {vwap}"})
+
+
 _MOD = "(date_part('hour', bar_start_jst) * 60 + date_part('minute', bar_start_jst))"
 CALENDAR = {
     "minute_of_day": _MOD,

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import bounded
+from ..session import settled
+
 
 def _write(df: DataFrame, path: str, partitions: list[str], order: list[str]) -> None:
-    dealt = df.repartition(*partitions).sortWithinPartitions(*partitions, *order)
+    """Rows are dealt by their partition, and a partition of more bytes than spark.sql.adaptive.advisoryPartitionSizeInBytes
+    is split among tasks, small ones being put together: a hot date is many files, each in order."""
+    dealt = df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partitions).parquet(path)
 
 
@@ -20,6 +25,20 @@ def by_month(df: DataFrame, path: str, time_col: str = "trade_ts") -> None:
     _write(df.withColumn("period", F.date_format(time_col, "yyyyMM")), path, ["period"], [time_col])
 
 
+def by_arrival(segments: DataFrame, path: str, arrival: str) -> None:
+    """Segments of one file, kept under its name: a file that is delivered again replaces its own segments and no others."""
+    _write(segments.withColumn("arrival", F.lit(arrival)), path, ["session_date_jst", "arrival"], ["bar_start_jst"])
+
+
+def merged(spark: SparkSession, segments: DataFrame, path: str, arrival: str) -> DataFrame:
+    """Files the segments under `path` and returns all segments of the dates that they touch, those of earlier files
+    included. What was written before is read by its dates alone, and no tick is read again."""
+    kept = settled(segments)
+    by_arrival(kept, path, arrival)
+    dates = bounded(kept.select("session_date_jst").distinct())
+    return spark.read.parquet(path).join(dates, "session_date_jst", "left_semi").drop("arrival")
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Model records as JSON lines; the edge has 2 and the threshold 4 decimals, halves to even."""
     df.withColumns({"edge": F.bround("edge", 2), "prob_threshold": F.bround("prob_threshold", 4)}).write.mode("append").json(path)
