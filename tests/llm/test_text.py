@@ -401,6 +401,26 @@ def test_passes_over_a_large_benchmark(spark, docs_of, monkeypatch):
     assert ids(one) == ids(many) >= {(i, i) for i in range(40)}
 
 
+def test_items_inside_unspaced_scripts(spark, docs_of):
+    """Items of scripts without spaces, inside longer runs and edited, equal a search by characters."""
+    rnd = random.Random(12)
+    pools = ["".join(map(chr, range(0x4E00, 0x4E00 + 400))), "".join(map(chr, range(0x3042, 0x3090))), "กขคงจฉชซดตถทนบปผพฟมยรลวสหอ"]
+    say = lambda pool, n: "".join(rnd.choice(pool) for _ in range(n))
+    items = {i: say(pools[i % 3], 120) + ("。" + say(pools[i % 3], 10) if i % 2 else "") for i in range(12)}
+    docs = {}
+    for d in range(60):
+        pool, item = pools[d % 3], items[rnd.randrange(12)]
+        kept = "".join(c for c in item if rnd.random() > 0.001 * (d % 7))
+        docs[d] = say(pool, rnd.randint(0, 400)) + (kept if d % 2 else "") + say(pool, 300) + (" latin words here" if d % 5 == 0 else "")
+    rows = decontam.screened(docs_of(list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r["doc_id"], leak["item_id"]) for r in rows.collect() for leak in r["leaks"]}
+    by_character = lambda t: [c for c in t if c.isalnum()]
+    sets = {i: decontam.shingles(by_character(t), 5) for i, t in items.items()}
+    want = {(d, i) for d, t in docs.items() if "latin" not in t for i, s in sets.items() if len(s & decontam.shingles(by_character(t), 5)) >= 0.8 * len(s)}
+    assert want and {(d, i) for d, i in got if "latin" not in docs[d]} == want
+    assert got == brute_leaks(docs, items)
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (4, "?!")], "item_id long, text string")
     got = decontam.screened(odd.withColumn("leaks", F.lit(1)), items).collect()

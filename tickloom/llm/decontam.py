@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import only, slices, table
 
-WORD = re.compile(r"\w+")
+#: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, bopomofo, ideographs.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A word: a character of those scripts, or a run of other letters and digits.
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 #: Where an item's last sentence, taken for its answer, may begin.
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 
@@ -134,9 +137,9 @@ class Index:
         # upper bounds of each document in each block
         n = self.block_at[tid + 1] - self.block_at[tid]
         at, doc = _ragged(self.block_at[tid], n), np.repeat(doc, n)
-        most = np.bincount(doc * self.n_blocks + self.block[at], self.block_most[at], len(docs) * self.n_blocks).reshape(-1, self.n_blocks)
+        _, place = np.unique(doc * self.n_blocks + self.block[at], return_inverse=True)  # of blocks that share a word with it
         # postings in likely blocks alone
-        kept = (most >= 1 - 1e-9)[doc, self.block[at]]
+        kept = np.bincount(place, self.block_most[at])[place] >= 1 - 1e-9 if len(place) else np.zeros(0, bool)
         at, doc = at[kept], doc[kept]
         n = self.block_n[at]
         at, doc = _ragged(self.block_from[at], n), np.repeat(doc, n)
@@ -184,7 +187,8 @@ def screened(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
     """docs with `leaks`: the items that a whole text holds, each with its scores; empty if none.
 
     Null and empty texts hold nothing; null and wordless items are nothing to hold; an item of fewer words than a shingle
-    is looked for as a whole; items with equal texts are all listed; repeated rows have the same leaks. An input column
+    is looked for as a whole; scripts without spaces are cut into characters, so that an item is found inside a longer run
+    of them; items with equal texts are all listed; repeated rows have the same leaks. An input column
     called `leaks` is replaced. Documents stay where they are: no shuffle. Whole texts are read however long they are; a worker
     then holds the words of one.
 
