@@ -99,8 +99,18 @@ def test_near_duplicate_stage_of_odd_rows(spark, odd, empty, sf_dir):
         assert stage(spark, empty, sf_dir).collect() == []
 
 
+CLASHING = ("_id", "spans", "base", "ids", "leaks", "score", "code", "row", "_h0", "_h1", "known", "lang_pred", "hit", "kept")
+
+
 def test_every_stage_takes_odd_rows(spark, odd, sf_dir):
-    docs = odd.withColumns({n: F.lit(1) for n in ("_id", "spans", "ids", "leaks", "score", "code")})
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-    assert docs.count() > 0
+    """Columns of names that stages use themselves, and a map, come out as they went in."""
+    docs = odd.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in CLASHING})
+    docs = docs.withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+        for r in after.collect():
+            doc_id = "-" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[n] == n + doc_id for n in CLASHING) and r["extra"] == {"k": r["doc_id"]}, (name, r)
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0

@@ -87,8 +87,9 @@ def mask_levels(n: int) -> list[list[Mask]]:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """docs with _h0 and _h1, 128 bits of all that a row holds. Null hashes as nothing, so which are null is hashed too."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    """docs with _h0 and _h1, 128 bits of all that a row holds. Null hashes as nothing, so which are null is hashed too; a
+    column that holds a map, which Spark doesn't hash, is hashed as JSON."""
+    names = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in names])
     return docs.withColumns({f"_h{i}": F.xxhash64(F.lit(i), nulls, *names) for i in range(2)})
 
