@@ -49,12 +49,13 @@ def before() -> WindowSpec:
 
 
 def running_sum(df: DataFrame, value: str, order: tuple[str, ...], name: str) -> DataFrame:
-    """df with the sum of value over all rows up to each row's place in the order."""
-    placed = df.withColumn("_block", block_of(F.col(order[0]), cuts_of(df, order[0])))
+    """df with the sum of value over all rows up to each row's place in the order. Blocks are cut by the whole order, so rows
+    that share its first column, however many, are many blocks."""
+    placed = ordered_blocks(df, list(order))
     totals = placed.groupBy("_block").agg(F.sum(value).alias("_total"))
     offsets = totals.select("_block", F.coalesce(F.sum("_total").over(before()), F.lit(0)).alias("_before"))
     inner = placed.withColumn("_inner", F.sum(value).over(within(*order)))
-    return inner.join(F.broadcast(offsets), "_block").withColumn(name, F.col("_before") + F.col("_inner")).drop("_block", "_before", "_inner")
+    return inner.join(offsets, "_block").withColumn(name, F.col("_before") + F.col("_inner")).drop("_block", "_before", "_inner")
 
 
 def values_at_ranks(df: DataFrame, name: str, ranks) -> list:

@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.blocks import values_at_ranks
 from ..functions.scope import day
+from ..session import settled
 
 NOT_FEATURES = ("raw_open_abs", "raw_high_abs", "raw_low_abs", "raw_close_abs")
 
@@ -45,6 +46,14 @@ def binarised(df: DataFrame, label: str, threshold: float | None) -> DataFrame:
     return df.withColumn(label, (F.col(label) >= F.lit(threshold).cast("double")).cast("float"))
 
 
+def prepared(df: DataFrame, features: list[str], label: str, q: float, keys: tuple[str, ...] = ("bar_start_jst", "session_date_jst", "session_type")) -> DataFrame:
+    """keys, scaled features and the binarised label. The frame is computed once, its needed columns alone; means,
+    deviations and the label's quantile are taken from what was written."""
+    kept = settled(df.select(*keys, *features, label))
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in feature_stats(kept, features).collect()}  # a row a feature
+    return binarised(scaled(kept, stats), label, nearest_quantile(kept, label, q))
+
+
 def sequences(df: DataFrame, features: list[str], label: str, length: int = 60, session: str = "ALL") -> DataFrame:
     """The last `length` rows of the day as an array of feature arrays, at every row where they are whole.
 

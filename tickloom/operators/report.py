@@ -48,7 +48,7 @@ def max_drawdown(trades: DataFrame, order: tuple[str, ...] = ("exit_time",), key
         over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         curve = equity_curve(trades, order, keys).withColumn("high", F.max("equity").over(over))
         return curve.groupBy(*keys).agg(F.max(F.col("high") - F.col("equity")).alias("max_drawdown"))
-    placed = trades.select("pnl", *order, blocks.block_of(F.col(order[0]), blocks.cuts_of(trades, order[0])).alias("_block"))
+    placed = blocks.ordered_blocks(trades.select("pnl", *order), list(order))
     inside = placed.withColumn("equity", F.sum("pnl").over(blocks.within(*order))).withColumn("high", F.max("equity").over(blocks.within(*order)))
     totals = inside.groupBy("_block").agg(F.sum("pnl").alias("total"), F.max("equity").alias("high"), F.min("equity").alias("low"), F.max(F.col("high") - F.col("equity")).alias("fall"))
     offset = totals.withColumn("before", F.coalesce(F.sum("total").over(blocks.before()), F.lit(0.0)))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import asof, bars, dataset, features, outcomes, profile, registry, report, score, ticks
+from ..operators import asof, bars, dataset, features, outcomes, profile, registry, report, rollup, score, ticks
 from ..session import shared_folder
-from ..sources import sinks, vendor
+from ..sources import sinks, tables, vendor
 from ..streaming import jobs
 from . import adapters, sql
 from .adapters import external_bars, load, trade_bars, vendor_ticks
@@ -668,6 +668,132 @@ def streaming_bars(spark, d):
     return jobs.streaming_bars(rows, HOUR)
 
 
+def _arriving(spark, d) -> DataFrame:
+    """Ticks as a stream has them: with zoned times."""
+    return vendor_ticks(spark, d).select("sequence_no", F.col("trade_ts").cast("timestamp").alias("trade_ts"), F.col("contract_month").cast("string").alias("symbol"), "price", "trade_volume")
+
+
+def _run(stream: DataFrame, at: str, name: str) -> None:
+    """What has arrived, to the table {at}/{name}; the next run goes on where this one ended."""
+    stream.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/progress/{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+def _slices(rows: DataFrame, time_col: str, n: int) -> list[DataFrame]:
+    """Rows in n deliveries, one after the other in time."""
+    low, high = rows.agg(F.min(F.unix_micros(time_col)), F.max(F.unix_micros(time_col))).first()
+    part = F.least(F.lit(n - 1), F.floor((F.unix_micros(time_col) - F.lit(low)) * n / F.lit(max(1, (high or 0) - (low or 0)))))
+    return [rows.filter(part == i) for i in range(n)]
+
+
+@query("live_bars", "bar_start:t symbol open:f high:f low:f close:f volume:i tick_count:i", _with(sql.TICKS, "SELECT time_bucket(INTERVAL '3600 seconds', t.trade_ts) AS bar_start, CAST(contract_month AS VARCHAR) AS symbol, arg_min(price, (t.trade_ts, sequence_no)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t.trade_ts, sequence_no)) AS close, sum(trade_volume) AS volume, count(*) AS tick_count FROM ticks t GROUP BY 1, 2 HAVING bar_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"))
+def live_bars(spark, d):
+    """A stream of ticks that is stopped and started again twice: the bars that its watermark has passed."""
+    at, rows, other = shared_folder(spark), _arriving(spark, d), jobs.live(spark)
+    for part in _slices(rows, "trade_ts", 3):
+        part.write.mode("append").parquet(f"{at}/arriving")
+        _run(jobs.streaming_bars(other.readStream.schema(rows.schema).parquet(f"{at}/arriving"), HOUR), at, "bars")
+    return spark.read.parquet(f"{at}/bars")
+
+
+def _bursts_sql(rows: str, having: str = "") -> str:
+    return f"""marked AS (SELECT *, CASE WHEN trade_ts - lag(trade_ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM {rows} WINDOW w AS (PARTITION BY contract_month ORDER BY trade_ts, sequence_no)),
+counted AS (SELECT *, sum(fresh) OVER (PARTITION BY contract_month ORDER BY trade_ts, sequence_no ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+bursts AS (SELECT min(trade_ts) AS begins, max(trade_ts) AS ends, CAST(contract_month AS VARCHAR) AS symbol, count(*) AS n, sum(trade_volume) AS volume, min(price) AS low, max(price) AS high FROM counted GROUP BY contract_month, k{having})"""
+
+
+@query("bursts", "begins:t ends:t symbol n:i volume:i low:f high:f", _with(sql.TICKS + ",\n" + _bursts_sql("ticks"), "SELECT * FROM bursts"))
+def bursts(spark, d):
+    return jobs.bursts(_arriving(spark, d))
+
+
+_LATE = "sequence_no % 50 = 0 AND trade_ts < (SELECT min(ts) + INTERVAL 5 DAY FROM events)"
+
+
+@query("late_bursts", "kind begins:t symbol n:i volume:i", _with(sql.TICKS + f",\nin_time AS (SELECT * FROM ticks WHERE NOT ({_LATE})),\n" + _bursts_sql("in_time", " HAVING max(trade_ts) + INTERVAL 10 MINUTE <= (SELECT max(trade_ts) FROM in_time) - INTERVAL 1 DAY") + f",\nsaid AS (SELECT 'burst' AS kind, begins, symbol, n, volume FROM bursts UNION ALL SELECT 'late', NULL, CAST(contract_month AS VARCHAR), count(*), sum(trade_volume) FROM ticks WHERE {_LATE} GROUP BY 3)", "SELECT * FROM said"))
+def late_bursts(spark, d):
+    """Bursts of a stream in several batches, the last delivery being old ticks: they are set aside, not dropped."""
+    at, rows, other = shared_folder(spark), _arriving(spark, d), jobs.live(spark)
+    first = rows.agg(F.min("trade_ts")).first()[0]
+    old = (F.col("sequence_no") % 50 == 0) & (F.col("trade_ts") < F.lit(first) + F.expr("INTERVAL 5 DAYS"))
+    stream = lambda path: other.readStream.schema(rows.schema).parquet(path)
+    for part in [*_slices(rows.filter(~old), "trade_ts", 3), rows.filter(old)]:
+        part.write.mode("append").parquet(f"{at}/arriving")
+        jobs.set_late_aside(stream(f"{at}/arriving"), f"{at}/sorted", f"{at}/progress/sorted", "1 day").awaitTermination()
+        _run(jobs.bursts(stream(f"{at}/sorted/in_time/*"), late="1 day"), at, "bursts")
+    late = spark.read.parquet(f"{at}/sorted/late").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("trade_volume").alias("volume"))
+    told = spark.read.parquet(f"{at}/bursts").select(F.lit("burst").alias("kind"), "begins", "symbol", "n", "volume")
+    return told.unionByName(late.withColumn("kind", F.lit("late")), allowMissingColumns=True)
+
+
+@query("restarted_quotes", "symbol week_start timestamp bid:f ask:f", "\nSELECT DISTINCT event_type AS symbol, strftime(date_trunc('week', ts), '%Y%m%d') AS week_start, strftime(date_trunc('milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g') AS timestamp, value * 0.999 AS bid, value * 1.001 AS ask FROM events")
+def restarted_quotes(spark, d):
+    """A stream of quotes, stopped and started again over files that repeat a part of what it has written."""
+    at, other = shared_folder(spark), jobs.live(spark)
+    rows = load(spark, d, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("timestamp"), (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"))
+    parts = _slices(rows, "timestamp", 4)
+    for some in (parts[:3], parts[2:]):
+        for part in some:
+            part.write.mode("append").parquet(f"{at}/arriving")
+        quotes = other.readStream.schema(rows.schema).parquet(f"{at}/arriving")
+        jobs.weekly_quote_sink(jobs.quotes_once(quotes), f"{at}/weeks", f"{at}/progress").awaitTermination()
+    return spark.read.schema("timestamp string, bid double, ask double, symbol string, week_start string").option("sep", "\t").option("header", True).csv(f"{at}/weeks")
+
+
+# totals by levels, sketches, tables that are dealt alike
+
+
+@query("level_totals", "level:i session_date_jst:d session_type symbol n:i volume:i low:f high:f", _with(sql.TICKS + f",\nrows AS (SELECT session_date_jst, {sql.clock('trade_ts')} AS session_type, CAST(contract_month AS VARCHAR) AS symbol, trade_volume, price FROM ticks)", "SELECT grouping(session_date_jst, session_type, symbol) AS level, session_date_jst, session_type, symbol, count(*) AS n, sum(trade_volume) AS volume, min(price) AS low, max(price) AS high FROM rows GROUP BY GROUPING SETS ((session_date_jst, session_type, symbol), (session_date_jst, session_type), (session_date_jst), (symbol), ())"))
+def level_totals(spark, d):
+    rows = vendor_ticks(spark, d).select(clock.vendor_date(F.col("trade_date")).alias("session_date_jst"), clock.session_type(F.col("trade_ts")).alias("session_type"), F.col("contract_month").cast("string").alias("symbol"), "trade_volume", "price")
+    return rollup.totals(rows)
+
+
+@query("weekly_sketches", "week:d n:i users:i users_within median_within", "\nSELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within FROM events GROUP BY 1")
+def weekly_sketches(spark, d):
+    """Daily sketches, written and merged by week, held against exact counts: distinct users within three errors, the
+    median within 3.3 % of ranks."""
+    at = shared_folder(spark)
+    rows = load(spark, d, "events").select(F.to_date("ts").alias("session_date_jst"), "user_id", "value")
+    sinks.by_date(rollup.daily_sketches(rows, "user_id", "value"), f"{at}/days", ())
+    days = spark.read.parquet(f"{at}/days").withColumn("week", clock.week_start(F.col("session_date_jst")))
+    merged = rollup.merged_sketches(days, "week")
+    exact = rows.withColumn("week", clock.week_start(F.col("session_date_jst"))).join(merged.select("week", "q50"), "week")
+    told = exact.groupBy("week").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("q50")).cast("double")).alias("rank"))
+    error = 3 * 1.04 / 2 ** (rollup.HLL / 2)
+    within = F.abs(F.col("about_who") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * error)
+    return merged.join(told, "week").select("week", "n", "users", within.alias("users_within"), (F.abs(F.col("rank") - 0.5) <= 0.033).alias("median_within"))
+
+
+@query("copartitioned_join", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM joined"))
+def copartitioned_join(spark, d):
+    """As external_join, of tables that are dealt by the bar: they meet without an exchange."""
+    keys = ["bar_start_jst", "session_date_jst", "session_type"]
+    one, two = (tables.bucketed(x, keys, 8) for x in (five(spark, d), external_bars(spark, d, FIVE)))
+    return features.join_externals(one, two, SYMBOLS)
+
+
+@query("feature_partitions", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _FRAME), _with(_FINAL, "SELECT * FROM final WHERE session_date_jst BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'"))
+def feature_partitions(spark, d):
+    """The feature frame written by date, and some dates of it read again: the other folders aren't."""
+    at = shared_folder(spark)
+    sinks.by_date(finalize(spark, d), f"{at}/features", ("bar_start_jst",))
+    return registry.in_dates(spark.read.parquet(f"{at}/features"), "2024-01-08", "2024-01-12")
+
+
+@query("prepared_set", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _SET), _with(_SET_SQL, "SELECT bar_start_jst, session_date_jst, session_type, " + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}" for x in _SET) + f", CASE WHEN {_LABEL} >= {_QUANTILE} THEN 1 WHEN {_LABEL} IS NOT NULL THEN 0 END AS {_LABEL} FROM labelled"))
+def prepared_set(spark, d):
+    return dataset.prepared(_set(spark, d), list(_SET), _LABEL, 0.8)
+
+
+@query("path_periods", "period date n:i", "\nSELECT strftime(ts, '%Y%m') AS period, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1, 2")
+def path_periods(spark, d):
+    """What file names tell, of as many names as there are events."""
+    t = F.col("ts")
+    path = lambda stem, end: F.concat(F.lit("file:/data/NK225/"), F.year(t), F.lit("/"), stem, F.lit(end))
+    named = load(spark, d, "events").select(vendor.from_path(path(F.concat(F.lit("future_tick_"), F.date_format(t, "yyyyMM")), ".tsv.gz"), "period").alias("period"), vendor.from_path(path(F.date_format(t, "yyyy-MM-dd"), ".parquet"), "date").alias("date"))
+    return named.groupBy("period", "date").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to ticks to hourly bars to session features."""
     return features.base_features(trade_bars(spark, sf_dir, HOUR)).select("bar_start_jst", "session_date_jst", "session_type", "open", "high", "low", "close", "volume", "tick_count", "vwap_30s", "signed_volume", "log_ret", "ret_1m", "realized_vol_5m", "session_vwap")

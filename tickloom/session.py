@@ -2,6 +2,7 @@
 
 import atexit
 import tempfile
+from contextlib import suppress
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,10 @@ def forget(spark: SparkSession) -> int:
 
 @atexit.register
 def _at_end() -> None:
-    spark = SparkSession.getActiveSession() if _made else None
-    if spark is not None and spark.sparkContext._jsc is not None:
-        forget(spark)
+    with suppress(Exception):  # the JVM may be gone already
+        spark = SparkSession.getActiveSession() if _made else None
+        if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+            forget(spark)
 
 
 def settled(df: DataFrame) -> DataFrame:
