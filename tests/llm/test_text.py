@@ -1,9 +1,12 @@
 """Toxicity, byte BPE, language ID, token counts, SimHash and decontamination."""
 
+import bisect
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -429,6 +432,45 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     assert decontam.screened(odd, items.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_predictions_equal_those_of_exact_sets(spark, sf_dir):
+    """The same decision on exact sets of n-grams: the corrected counts of the filter change no language and hardly a share."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    counts = {}
+    for i, text, lang in rows:
+        if i % 2 and lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(langid.grams([text])[0].tolist())
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    rate = {k: {g: n / totals[k] for g, n in c.items()} for k, c in counts.items()}
+    most = {}
+    for r in rate.values():
+        for g, x in r.items():
+            most[g] = max(most.get(g, 0), x)
+    sets = {k: {g for g, n in c.items() if n >= langid.LEAST_SEEN and rate[k][g] >= langid.LEAST_SHARE * most[g]} for k, c in counts.items()}
+    model = langid.train(docs.filter("doc_id % 2 = 1"))
+    assert model.languages == sorted(sets)
+    got = {r["doc_id"]: r for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    for i, text, _ in rows:
+        every = langid.grams([text])[0].tolist()
+        hits = [sum(g in sets[k] for g in every) for k in sorted(sets)]
+        if not every:
+            assert got[i]["lang_pred"] == "und"
+            continue
+        order = sorted(hits, reverse=True)
+        if order[0] - order[1] > 0.02 * len(every):  # no tie
+            assert got[i]["lang_pred"] == sorted(sets)[hits.index(order[0])]
+        assert abs(got[i]["known"] - order[0] / len(every)) < 0.03
+        assert abs(got[i]["score"] - order[0] / max(1, sum(hits))) < 0.05
+
+
+def test_dirty_labels_are_bounded(spark, docs_of):
+    rows = [(i, f"le chat et la souris numero {i}", f"dirty {i}") for i in range(300)] + [(1000 + i, "le chat et la souris vont au marché", "fr") for i in range(5)] + [(2000 + i, "der hund und die katze gehen zum markt", "de") for i in range(5)]
+    model = langid.train(docs_of(rows), most=3)
+    assert model.languages == ["de", "dirty 0", "fr"] and len(model.slices) == 1
+    got = langid.identify(docs_of([(1, "die katze und der hund"), (2, "la souris et le chat vont")]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "de", 2: "fr"}
+
+
 # toxicity
 
 
@@ -491,6 +533,51 @@ def test_label_model_equals_a_plain_computation():
         assert toxicity.label_model(votes, labels, rounds) == pytest.approx(plain_label_model(votes.tolist(), labels.tolist(), rounds), abs=1e-6)
 
 
+def plain_scores(docs, labels, settings=toxicity.Settings()):
+    """Scores of op1's query, features counted and chosen in plain Python; the label model and the regression have their own
+    tests."""
+    train = [(t, labels[i]) for i, t in docs if i in labels and labels[i] in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    seen, n, toxic = {}, len(train), sum(y for _, y in train)
+    for text, y in train:
+        for f in toxicity.features(text):
+            seen.setdefault(f, [0, 0])[y] += 1
+    base = min(max(toxic / n, 1e-4), 1 - 1e-4)
+    lift = {f: math.log((b + 0.5) / base) - math.log((a + 0.5) / (1 - base)) for f, (a, b) in seen.items() if b >= settings.least_seen}
+    worth = sorted((-lift[f] * math.sqrt(seen[f][1]), f) for f in lift if lift[f] > settings.least_lift)
+    names = [f for _, f in worth[: settings.features]]
+
+    def row(text):
+        words = toxicity.features(text)
+        return [float(f in words) for f in names] + [float(v) for v in toxicity.patterns(text, words)] + [math.log1p(sum(words[f] for f in names if f in words))]
+
+    x = np.array([row(t) for t, _ in train])
+    votes = np.column_stack([x[:, : min(settings.voters, len(names))], x[:, len(names) : -1]])
+    weights = toxicity.logistic(x, toxicity.label_model(votes, np.array([y for _, y in train]), settings.rounds), settings.ridge)
+    return {i: 1 / (1 + math.exp(-(float(np.dot(row(t), weights[:-1])) + weights[-1]))) for i, t in docs}
+
+
+def test_trained_scores_equal_a_plain_training(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    want = plain_scores(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op1_toxicity(spark, sf_dir).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+
+
+def test_toxic_documents_are_found(spark):
+    """Recall, false positives and the ROC area on held-out documents of the largest table."""
+    sf_dir = "/root/testdata/sf0.1"
+    truth = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").collect()}
+    rows = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in toxicity.op1_toxicity(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 0]
+    recall, wrong = sum(r[1] for r in toxic) / len(toxic), sum(r[1] for r in clean) / len(clean)
+    order = sorted(clean)
+    scores = [r[0] for r in order]
+    area = sum(bisect.bisect_left(scores, t[0]) + bisect.bisect_right(scores, t[0]) for t in toxic) / (2 * len(toxic) * len(clean))
+    assert len(toxic) > 30 and recall >= 0.7 and wrong <= 0.02 and area >= 0.85
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     for model in (toxicity.train(odd, labels), toxicity.train(empty, labels), toxicity.train(odd, labels.limit(0)), toxicity.train(odd, labels.filter("toxic = 1"))):

@@ -25,6 +25,8 @@ PROBES = 2
 GRAM_BYTES = 1 << 18  # of texts whose n-grams a worker holds at once: about 300 bytes of arrays for each
 #: Documents of a language that training reads at most, about: the bound of the training sample, a parameter.
 SAMPLE_A_LANGUAGE = 4000
+#: Languages that are learned at most: four slices of the filter.
+MOST_LANGUAGES = 256
 #: An n-gram belongs to a language if it is at least so frequent there, against where it is most frequent ...
 LEAST_SHARE = 0.2
 #: ... and was seen so often there.
@@ -109,21 +111,22 @@ class Model:
         return found, scores, known
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_A_LANGUAGE) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_A_LANGUAGE, most: int = MOST_LANGUAGES) -> Model:
     """A model of rows with a language; rows without text or language don't count.
 
-    Of a language with more than `sample` documents, a share by the hash of the id is read, so that about `sample` are.
-    The filter is summed up by slot on the executors; it has 2**SLOTS_LOG2 longs for 64 languages, however large the
-    corpus, and that much reaches the driver.
+    Of a language with more than `sample` documents, a share by the hash of the id is read, so that about `sample` are. Of
+    more than `most` labels those with the most documents are learned, then the first by name: where labels are dirty,
+    their number, and so the model's size, stays bounded. The filter is summed up by slot on the executors; it has
+    2**SLOTS_LOG2 longs for 64 languages, however large the corpus, and that much reaches the driver.
     """
-    rows = only(labelled, id_col, text_col, lang_col).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
+    rows = only(labelled, id_col, text_col, lang_col).toDF("_id", "_text", "_lang").filter("_text is not null and _lang is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], [])
-    shares = rows.sparkSession.createDataFrame([(k, i, min(1.0, sample / sizes[k])) for i, k in enumerate(languages)], "lang string, k int, share double")
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    kept = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("lang")).filter(draw < F.col("share")).select("k", F.col(text_col).alias("body")) if lang_col != "lang" else rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("k", F.col(text_col).alias("body"))
+    shares = F.broadcast(rows.sparkSession.createDataFrame([(k, i, min(1.0, sample / sizes[k])) for i, k in enumerate(languages)], "_lang string, k int, share double"))  # `most` rows
+    draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    kept = rows.join(shares, "_lang").filter(draw < F.col("share")).select("k", F.col("_text").alias("body"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, GRAM_BYTES):  # the aggregate that follows combines the parts before it shuffles
@@ -165,7 +168,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     Null texts and texts without a letter are `und` with score and known 0; a text whose n-grams no language has is given
     to the first language with 0 and 0. Ties go to the first language by name; repeated rows get the same; an empty table
-    gives an empty one. Input columns of these names are replaced; the model is broadcast, its size is fixed. No shuffle.
+    gives an empty one. Input columns of these names are replaced; texts of any length are read whole, a
+    few at once; the model is broadcast, its size is fixed. No shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
