@@ -233,7 +233,8 @@ def ends(spark, rows, **bet):
     """(open, high, low, close, prob, momentum) rows of one day -> what its signals come to."""
     full = [(T0 + dt.timedelta(seconds=30 * i), T0.date(), "DAY", *map(float, r[:4]), float(r[4]), None if r[5] is None else float(r[5])) for i, r in enumerate(rows)]
     df = spark.createDataFrame(full, "bar_start_jst timestamp_ntz, session_date_jst date, session_type string, raw_open double, raw_high double, raw_low double, raw_close double, prob float, momentum double")
-    return outcomes.signal_outcomes(df, outcomes.Bet(**{"threshold": 0.6, "stop": 50.0, "target": 100.0, **bet})).orderBy("entry_time").collect()
+    block = bet.pop("block", outcomes.BLOCK)
+    return outcomes.signal_outcomes(df, outcomes.Bet(**{"threshold": 0.6, "stop": 50.0, "target": 100.0, **bet}), block).orderBy("entry_time").collect()
 
 
 FLAT = (1000, 1001, 999, 1000, 0.0, 5)
@@ -264,7 +265,8 @@ def test_float_scores_are_compared_as_doubles(spark):
     assert ends(spark, [(*GO[:4], 0.82, 5), FLAT, FLAT], threshold=0.82) == []
 
 
-def test_outcomes_equal_a_loop_on_random_bars(spark):
+@pytest.mark.parametrize(("hold", "stop", "target", "block"), [(9, 30.0, 40.0, 32), (9, 30.0, 40.0, 2), (150, 90.0, 140.0, 8), (150, 90.0, 140.0, 32), (720, 200.0, 1e9, 16)])
+def test_outcomes_equal_a_loop_on_random_bars(spark, hold, stop, target, block):
     rnd, price, rows = random.Random(4), 1000.0, []
     for _ in range(300):
         o = price
@@ -274,15 +276,15 @@ def test_outcomes_equal_a_loop_on_random_bars(spark):
     for i, r in enumerate(rows[:-1]):
         if r[4] >= 0.6:
             side, entry = (1 if r[5] > 0 else -1), rows[i + 1][0]
-            for b in rows[i + 1 : i + 10]:
+            for b in rows[i + 1 : i + 1 + hold]:
                 worst, best = (b[2], b[1]) if side > 0 else (b[1], b[2])
-                last = ("SL", entry - 30 * side) if side * (worst - entry) <= -30 else ("TP", entry + 40 * side) if side * (best - entry) >= 40 else ("TIME", b[3])
+                last = ("SL", entry - stop * side) if side * (worst - entry) <= -stop else ("TP", entry + target * side) if side * (best - entry) >= target else ("TIME", b[3])
                 if last[0] != "TIME":
                     break
             want.append(last)
-    got = ends(spark, rows, hold=9, stop=30.0, target=40.0)
+    got = ends(spark, rows, hold=hold, stop=stop, target=target, block=block)
     assert [t["reason"] for t in got] == [w[0] for w in want] and [t["exit_price"] for t in got] == pytest.approx([w[1] for w in want])
-    assert {w[0] for w in want} == {"SL", "TP", "TIME"}
+    assert {w[0] for w in want} == {"SL", "TIME"} | ({"TP"} if target < 1e6 else set())
 
 
 # orders in blocks

@@ -81,15 +81,15 @@ def values_at_ranks(df: DataFrame, name: str, ranks) -> list:
         counted.unpersist()
 
 
-def ordered_blocks(df: DataFrame, order: list[str], rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+def ordered_blocks(df: DataFrame, order: list[str], rows_a_block: int | None = None) -> DataFrame:
     """df with _block, a range of the order: all rows of a block come before those of the next.
 
-    Blocks are as many as shuffles have partitions, or more, so that each has about rows_a_block rows at most; a row that
+    Blocks are as many as shuffles have partitions, or more, so that each has about rows_a_block (ROWS_A_BLOCK) rows at most; a row that
     is repeated in all of `order` stays in one. The rows are written once, so that every later reading sees one cut.
     """
     n = df.count()
     spread = min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(max(1, spread, -(-n // rows_a_block)), *order)
+    dealt = df.repartitionByRange(max(1, spread, -(-n // (rows_a_block or ROWS_A_BLOCK))), *order)
     return settled(dealt.withColumn("_block", F.spark_partition_id()))
 
 
