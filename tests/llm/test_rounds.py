@@ -82,11 +82,11 @@ def test_stack_names_each_rules_parent(spark):
         assert (r["top"]["host"] and r["top"]["host"] + r["top"]["path"]) == (stack[-1] if stack else None)
 
 
-def test_sql_of_urls_and_search(spark, sf_dir):
+def test_sql_of_urls_manifest_and_search(spark, sf_dir):
     con = duckdb.connect()
     for name in ("pages", "documents", "benchmark"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    for query, sql in ((urlfilter.op11_url_filters, urlfilter.oracle()), (lexical.op13_lexical, lexical.oracle())):
+    for query, sql in ((urlfilter.op11_url_filters, urlfilter.oracle()), (merkle.op12_merkle, merkle.oracle()), (lexical.op13_lexical, lexical.oracle())):
         got, want = query(spark, sf_dir), con.sql(sql)
         assert got.columns == want.columns
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))

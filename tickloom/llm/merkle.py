@@ -215,3 +215,24 @@ def op12_merkle(spark, sf_dir: str) -> DataFrame:
     tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
     found = verified(manifest(table(spark, sf_dir, "documents"), changed={"text": tampered}))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def oracle() -> str:
+    """DuckDB SQL: trees level by level, siblings by run, and the fold along each leaf's steps."""
+    told = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in FIELDS[:-1])
+    text = lambda t: f"coalesce(CAST(strlen({t}) AS VARCHAR) || ':' || {t}, '-')"
+    # the state of CRC-32 before its last inversion, bit by bit
+    crc = "list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+    return f"""WITH RECURSIVE leaves AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, sha256({told} || {text('text')}) AS leaf, CASE WHEN {crc} & 1 = 1 THEN sha256({told} || {text("replace(text, chr(10), '')")}) ELSE sha256({told} || {text('text')}) END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS r FROM leaves),
+nodes AS (SELECT 0 AS level, g, i, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL SELECT level + 1, g, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (min(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY level, g, i // 3),
+subs AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, k, subroot AS digest, m FROM subs UNION ALL SELECT level + 1, k // 3, sha256(string_agg(digest, '' ORDER BY k)), (min(m) + 2) // 3 FROM tops WHERE m > 1 GROUP BY level, k // 3),
+steps AS (SELECT r, o.level AS level, o.i AS place, o.digest, p.i // CAST(3 ** o.level AS BIGINT) AS own FROM placed p JOIN nodes o ON o.g = p.g AND o.n > 1 AND o.i // 3 = p.i // CAST(3 ** (o.level + 1) AS BIGINT)
+  UNION ALL SELECT r, 1000 + o.level, o.k, o.digest, s.k // CAST(3 ** o.level AS BIGINT) FROM placed p JOIN subs s ON s.g = p.g JOIN tops o ON o.m > 1 AND o.k // 3 = s.k // CAST(3 ** (o.level + 1) AS BIGINT)),
+runs AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS step, coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE place < own), '') AS before, coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE place > own), '') AS after FROM steps GROUP BY r, level),
+proofs AS (SELECT r, sha256(coalesce(string_agg(before || after, '' ORDER BY step), '')) AS proof_sha256 FROM placed LEFT JOIN runs USING (r) GROUP BY r),
+folds AS (SELECT r, 0 AS step, changed AS digest FROM placed UNION ALL SELECT f.r, u.step, sha256(before || digest || after) FROM folds f JOIN runs u ON u.r = f.r AND u.step = f.step + 1),
+ends AS (SELECT r, arg_max(digest, step) AS folded_root FROM folds GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE m = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT digest FROM tops WHERE m = 1) AS verified FROM placed JOIN subs USING (g) JOIN proofs USING (r) JOIN ends USING (r)"""

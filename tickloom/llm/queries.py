@@ -21,5 +21,6 @@ QUERIES = {
 ORACLES = {
     "op8_licenses": licenses.oracle(),
     "op11_url_filters": urlfilter.oracle(),
+    "op12_merkle": merkle.oracle(),
     "op13_lexical": lexical.oracle(),
 }
