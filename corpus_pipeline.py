@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import bytebpe, decontam, langid, nearcopies, secrets
 from tickloom.llm.common import checkpointed, crc_mod, table
+from tickloom.session import settled
 
 
 #: Share of a text's n-grams that its language must know, or the text has none: clean ones have over a half.
@@ -118,10 +119,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Between stages the rows are written to the shared checkpoint folder and read again."""
+    """All stages over documents. Between stages the rows are written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = checkpointed(docs)
+            docs = settled(docs)
     return docs
