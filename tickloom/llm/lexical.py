@@ -28,15 +28,8 @@ TERM_BYTES = 200
 
 def terms(text: Column) -> Column:
     """All terms of a text, in order; only A-Z are lower-cased. Null has none."""
-    split = F.split(F.translate(text, CAPITALS, SMALL), BETWEEN)
-    return F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda t: t != "")
-
-
-def _counted(ordered: Column) -> Column:
-    """(term, tf) of a sorted array of terms: where a term begins, and where the next one does."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))))
-    nexts = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered) + 1))
-    return F.zip_with(starts, nexts, lambda a, b: F.struct(F.element_at(ordered, a).alias("term"), (b - a).cast("long").alias("tf")))
+    split = F.split(F.translate(text, CAPITALS, SMALL), BETWEEN)  # empty texts stand at its ends alone
+    return F.coalesce(F.array_remove(split, ""), F.array().cast("array<string>"))
 
 
 def lengths(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
@@ -49,11 +42,12 @@ def postings(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tex
     """row (a number for each row), id, n, bucket, term, tf of the documents' terms that stand in the vocabulary (term).
 
     Written once: row numbers are those of one reading. The vocabulary is joined by its size: Spark broadcasts it where it
-    is small, else both sides meet by term.
+    is small, else both sides meet by term. A document's terms are counted where it is read, before they are shuffled.
     """
-    rows = only(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("_terms")).filter(F.size("_terms") > 0)
-    told = rows.select("row", "id", F.size("_terms").cast("long").alias("n"), F.inline(_counted(F.col("_terms"))))
-    return settled(told.join(vocabulary, "term", "left_semi").select("row", "id", "n", bucket(F.col("term")), "term", "tf"))
+    rows = only(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_terms"))
+    told = rows.select("row", "id", F.size("_terms").cast("long").alias("n"), F.explode("_terms").alias("term")).join(vocabulary, "term", "left_semi")
+    counted = told.groupBy("row", "term").agg(F.count("*").alias("tf"), F.first("id").alias("id"), F.first("n").alias("n"))
+    return settled(counted.select("row", "id", "n", bucket(F.col("term")), "term", "tf"))
 
 
 def bucket(term: Column) -> Column:
