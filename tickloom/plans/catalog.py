@@ -583,8 +583,9 @@ def quote_files(spark, d):
 @query("daily_ticks", f"{_TICK} year:i", _with(sql.TICKS, _TICK_SQL.replace("SELECT *,", "SELECT *, year(session_date_jst) AS year,")))
 def daily_ticks(spark, d):
     at = shared_folder(spark)
-    sinks.by_date(ticks.normalised(vendor_ticks(spark, d), "nk225"), f"{at}/ticks")
-    return spark.read.parquet(f"{at}/ticks")
+    made = ticks.normalised(vendor_ticks(spark, d), "nk225")
+    sinks.by_date(made, f"{at}/ticks")
+    return sinks.read_dates(spark, f"{at}/ticks", made)
 
 
 @query("daily_bars", f"{BAR} year:i", _with(sql.bars(FIVE), "SELECT *, year(session_date_jst) AS year FROM bars"))
@@ -593,15 +594,16 @@ def daily_bars(spark, d):
     at, made = shared_folder(spark), five(spark, d)
     for part in (made, registry.in_dates(made, "2024-01-15")):
         sinks.by_date(part, f"{at}/bars", ("bar_start_jst",))
-    return spark.read.parquet(f"{at}/bars")
+    return sinks.read_dates(spark, f"{at}/bars", made)
 
 
 @query("external_partitions", f"{KEY} symbol open:f high:f low:f close:f spread_close:f tick_count:i", _with(sql.quote_bars(FIVE), "SELECT * FROM ext WHERE symbol IN ('view', 'signup')"))
 def external_partitions(spark, d):
     """Two symbols of a table that is partitioned by symbol, year and date: the others' folders aren't read."""
     at = shared_folder(spark)
-    sinks.by_date(external_bars(spark, d, FIVE), f"{at}/external", ("bar_start_jst",), ("symbol",))
-    return spark.read.parquet(f"{at}/external").filter(F.col("symbol").isin("view", "signup"))
+    made = external_bars(spark, d, FIVE)
+    sinks.by_date(made, f"{at}/external", ("bar_start_jst",), ("symbol",))
+    return sinks.read_dates(spark, f"{at}/external", made).filter(F.col("symbol").isin("view", "signup"))
 
 
 def _halves(df: DataFrame, time_col: str) -> list[tuple[str, DataFrame]]:
@@ -617,7 +619,7 @@ def late_bars(spark, d):
     for name, part in _halves(normalised_ticks(spark, d), "trade_ts"):
         made = bars.bars_of_segments(sinks.merged(spark, bars.trade_segments(part, FIVE), f"{at}/segments", name), FIVE)
         sinks.by_date(made, f"{at}/bars", ("bar_start_jst",))
-    return spark.read.parquet(f"{at}/bars")
+    return sinks.read_dates(spark, f"{at}/bars", made)
 
 
 @query("late_externals", f"{KEY} symbol open:f high:f low:f close:f spread_close:f tick_count:i", _with(sql.quote_bars(FIVE), "SELECT * FROM ext"))
@@ -628,7 +630,7 @@ def late_externals(spark, d):
     for name, part in [*parts, parts[-1]]:
         made = bars.mid_bars_of_segments(sinks.merged(spark, bars.quote_segments(part, FIVE), f"{at}/segments", name), FIVE)
         sinks.by_date(made, f"{at}/bars", ("bar_start_jst",), ("symbol",))
-    return spark.read.parquet(f"{at}/bars")
+    return sinks.read_dates(spark, f"{at}/bars", made)
 
 
 @query("monthly_ticks", "period sequence_no:i trade_ts:t price:f", _with(sql.TICKS, "SELECT *, strftime(trade_ts, '%Y%m') AS period FROM ticks"))
@@ -692,7 +694,7 @@ def live_bars(spark, d):
     for part in _slices(rows, "trade_ts", 3):
         part.write.mode("append").parquet(f"{at}/arriving")
         _run(jobs.streaming_bars(other.readStream.schema(rows.schema).parquet(f"{at}/arriving"), HOUR), at, "bars")
-    return spark.read.parquet(f"{at}/bars")
+    return spark.read.schema(jobs.streaming_bars(rows).schema).parquet(f"{at}/bars")
 
 
 def _bursts_sql(rows: str, having: str = "") -> str:
@@ -720,8 +722,8 @@ def late_bursts(spark, d):
         part.write.mode("append").parquet(f"{at}/arriving")
         jobs.set_late_aside(stream(f"{at}/arriving"), f"{at}/sorted", f"{at}/progress/sorted", "1 day").awaitTermination()
         _run(jobs.bursts(stream(f"{at}/sorted/in_time/*"), late="1 day"), at, "bursts")
-    late = spark.read.parquet(f"{at}/sorted/late").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("trade_volume").alias("volume"))
-    told = spark.read.parquet(f"{at}/bursts").select(F.lit("burst").alias("kind"), "begins", "symbol", "n", "volume")
+    late = spark.read.schema(rows.schema).parquet(f"{at}/sorted/late").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("trade_volume").alias("volume"))
+    told = spark.read.schema(jobs.bursts(rows).schema).parquet(f"{at}/bursts").select(F.lit("burst").alias("kind"), "begins", "symbol", "n", "volume")
     return told.unionByName(late.withColumn("kind", F.lit("late")), allowMissingColumns=True)
 
 
@@ -754,8 +756,9 @@ def weekly_sketches(spark, d):
     median within 3.3 % of ranks."""
     at = shared_folder(spark)
     rows = load(spark, d, "events").select(F.to_date("ts").alias("session_date_jst"), "user_id", "value")
-    sinks.by_date(rollup.daily_sketches(rows, "user_id", "value"), f"{at}/days", ())
-    days = spark.read.parquet(f"{at}/days").withColumn("week", clock.week_start(F.col("session_date_jst")))
+    made = rollup.daily_sketches(rows, "user_id", "value")
+    sinks.by_date(made, f"{at}/days", ())
+    days = sinks.read_dates(spark, f"{at}/days", made).withColumn("week", clock.week_start(F.col("session_date_jst")))
     merged = rollup.merged_sketches(days, "week")
     exact = rows.withColumn("week", clock.week_start(F.col("session_date_jst"))).join(merged.select("week", "q50"), "week")
     told = exact.groupBy("week").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("q50")).cast("double")).alias("rank"))
@@ -776,8 +779,9 @@ def copartitioned_join(spark, d):
 def feature_partitions(spark, d):
     """The feature frame written by date, and some dates of it read again: the other folders aren't."""
     at = shared_folder(spark)
-    sinks.by_date(finalize(spark, d), f"{at}/features", ("bar_start_jst",))
-    return registry.in_dates(spark.read.parquet(f"{at}/features"), "2024-01-08", "2024-01-12")
+    made = finalize(spark, d)
+    sinks.by_date(made, f"{at}/features", ("bar_start_jst",))
+    return registry.in_dates(sinks.read_dates(spark, f"{at}/features", made), "2024-01-08", "2024-01-12")
 
 
 @query("prepared_set", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _SET), _with(_SET_SQL, "SELECT bar_start_jst, session_date_jst, session_type, " + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}" for x in _SET) + f", CASE WHEN {_LABEL} >= {_QUANTILE} THEN 1 WHEN {_LABEL} IS NOT NULL THEN 0 END AS {_LABEL} FROM labelled"))

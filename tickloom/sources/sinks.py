@@ -21,6 +21,12 @@ def by_date(df: DataFrame, path: str, order: tuple[str, ...] = ("trade_ts", "seq
     _write(df.withColumn("year", F.year("session_date_jst")), path, [*lead, "year", "session_date_jst"], list(order))
 
 
+def read_dates(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What by_date has written of frames like this one; none of a frame without rows, which leaves no file to tell its
+    columns."""
+    return spark.read.schema(like.withColumn("year", F.lit(0)).schema).parquet(path)
+
+
 def by_month(df: DataFrame, path: str, time_col: str = "trade_ts") -> None:
     _write(df.withColumn("period", F.date_format(time_col, "yyyyMM")), path, ["period"], [time_col])
 
@@ -36,7 +42,7 @@ def merged(spark: SparkSession, segments: DataFrame, path: str, arrival: str) ->
     kept = settled(segments)
     by_arrival(kept, path, arrival)
     dates = bounded(kept.select("session_date_jst").distinct())
-    return spark.read.parquet(path).join(dates, "session_date_jst", "left_semi").drop("arrival")
+    return spark.read.schema(kept.schema).parquet(path).join(dates, "session_date_jst", "left_semi")
 
 
 def write_records(df: DataFrame, path: str) -> None:
