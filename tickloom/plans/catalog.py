@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import asof, bars, dataset, features, outcomes, profile, registry, report, rollup, score, ticks
-from ..session import shared_folder
+from ..session import settled, shared_folder
 from ..sources import sinks, tables, vendor
 from ..streaming import jobs
 from . import adapters, sql
@@ -72,7 +72,13 @@ BAR = f"{KEY} symbol contract_code open:f high:f low:f close:f volume:f tick_cou
 
 
 def five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade_bars(spark, sf_dir, FIVE)
+    """Bars as features find them: written. A frame of some hundred features is then planned over one scan."""
+    return settled(trade_bars(spark, sf_dir, FIVE))
+
+
+def outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External bars, written."""
+    return settled(external_bars(spark, sf_dir, FIVE))
 
 
 # ticks
@@ -152,12 +158,12 @@ def mid_bars(spark, d):
 
 @query("bar_imbalance", "trade_ts:t open:f high:f low:f close:f avg_trade_size:f max_trade_size:i buy_volume:i sell_volume:i volume:i tick_count:i size_imb_1bar:f", _with(sql.PROFILE, "SELECT *, CASE WHEN volume > 0 THEN (buy_volume - sell_volume) / CAST(volume AS DOUBLE) ELSE 0 END AS size_imb_1bar FROM sized"))
 def bar_imbalance(spark, d):
-    return bars.size_bars(ticks.normalised(vendor_ticks(spark, d), "nk225"), FIVE)
+    return settled(bars.size_bars(ticks.normalised(vendor_ticks(spark, d), "nk225"), FIVE))
 
 
 @query("completeness", "session_date_jst:d n:i", _with(sql.quote_bars(FIVE) + ", " + sql.bars(FIVE), "SELECT session_date_jst, count(*) AS n FROM bars WHERE session_date_jst IN (SELECT session_date_jst FROM ext GROUP BY 1 HAVING count(DISTINCT symbol) >= 5) GROUP BY 1"))
 def completeness(spark, d):
-    return features.complete_days(five(spark, d), external_bars(spark, d, FIVE)).groupBy("session_date_jst").agg(F.count("*").alias("n"))
+    return features.complete_days(five(spark, d), outside(spark, d)).groupBy("session_date_jst").agg(F.count("*").alias("n"))
 
 
 # base features on 5-minute bars
@@ -190,7 +196,7 @@ _CARRIED = " ".join(f"{p}_{x}:f" for p in SYMBOLS.values() for x in sql.CARRIED)
 
 @query("external_join", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM joined"))
 def external_join(spark, d):
-    return features.join_externals(five(spark, d), external_bars(spark, d, FIVE), SYMBOLS)
+    return features.join_externals(five(spark, d), outside(spark, d), SYMBOLS)
 
 
 @query("external_ffill", f"{KEY} close:f {_CARRIED}", _with(_JOINED, "SELECT * FROM filled"))
@@ -235,7 +241,7 @@ _MEAN = f"(({' + '.join(_R1)}) / 3)"
 
 @query("risk_on", f"{KEY} us_risk_on_ret_1m:f us_risk_on_ret_5m:f us_index_dispersion_1m:f us_sign_agreement_1m:f", _with(sql.bars(FIVE) + ",\n" + sql.quote_bars(FIVE) + ",\n" + sql.joined(_RISK) + ",\n" + sql.external(_RISK, "filled"), f"SELECT *, 0.4 * sp500_ret_1m + 0.4 * nasdaq_ret_1m + 0.2 * dow_ret_1m AS us_risk_on_ret_1m, 0.4 * sp500_ret_5m + 0.4 * nasdaq_ret_5m + 0.2 * dow_ret_5m AS us_risk_on_ret_5m, sqrt(({' + '.join(f'({x} - {_MEAN}) ** 2' for x in _R1)}) / 2) AS us_index_dispersion_1m, {' + '.join(f'sign({x})' for x in _R1)} AS us_sign_agreement_1m FROM e4"))
 def risk_on(spark, d):
-    joined = features.join_externals(five(spark, d), external_bars(spark, d, FIVE), _RISK)
+    joined = features.join_externals(five(spark, d), outside(spark, d), _RISK)
     return features.cross_asset(features.external_features(features.fill_externals(joined, _RISK.values()), _RISK.values()))
 
 
@@ -276,7 +282,7 @@ _FINAL = (
 
 @query("finalize", f"{KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _FRAME), _with(_FINAL, "SELECT * FROM final"))
 def finalize(spark, d):
-    return features.feature_frame(five(spark, d), external_bars(spark, d, FIVE), SYMBOLS, HORIZON)
+    return features.feature_frame(five(spark, d), outside(spark, d), SYMBOLS, HORIZON)
 
 
 _NUMBERS = [x for x in _FRAME if not x.startswith("raw_")]

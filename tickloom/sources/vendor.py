@@ -110,8 +110,9 @@ def typed_ticks(df: DataFrame) -> DataFrame:
 
 def read_ticks(spark: SparkSession, paths: list[str], symbol: str, sep: str | None = None, pattern: str | None = None) -> DataFrame:
     """Normalised ticks of vendor files and folders, comma- or tab-separated, plain or gzipped, each file by its own header
-    (see fields). With `sep`, nothing is sniffed."""
-    return ticks.normalised(typed_ticks(fields(spark, paths, sep, pattern)), symbol)
+    (see fields). With `sep`, nothing is sniffed. Typed ticks are written once: texts aren't parsed again for the nearest
+    contract and the tick rule."""
+    return ticks.normalised(settled(typed_ticks(fields(spark, paths, sep, pattern))), symbol)
 
 
 LEGACY = StructType([StructField(x, StringType()) for x in ("trade_date", "make_date", "time", "trade_price", "trade_volume", "contract_month", "price_type", "no")])
