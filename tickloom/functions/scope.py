@@ -1,24 +1,33 @@
-"""The partitions over which rows are ordered. Each is made once: a feature frame asks for them some hundred times."""
+"""The partitions over which rows are ordered. Each is made once: a feature frame asks for them some hundred times.
+
+Rows of many symbols may stand in one frame. Its series, the columns that tell them apart, lead every partition: symbols
+don't meet in a window, and (symbol, date) is the unit of work, not the date.
+"""
 
 from functools import lru_cache
 
-from pyspark.sql import Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSION_KEYS = ("session_date_jst", "session_type")
 BAR = "bar_start_jst"
 
 
+def series(df: DataFrame) -> tuple[str, ...]:
+    """The columns that tell the symbols of a frame apart: symbol, or none where the frame is one symbol's."""
+    return ("symbol",) if "symbol" in df.columns else ()
+
+
 @lru_cache
-def session() -> WindowSpec:
+def session(*series: str) -> WindowSpec:
     """Bars of one date and session type; evening and late bars of one date share it."""
-    return Window.partitionBy(*SESSION_KEYS).orderBy(BAR)
+    return Window.partitionBy(*series, *SESSION_KEYS).orderBy(BAR)
 
 
 @lru_cache
-def day() -> WindowSpec:
+def day(*series: str) -> WindowSpec:
     """All bars of one date, night and day together."""
-    return Window.partitionBy("session_date_jst").orderBy(BAR)
+    return Window.partitionBy(*series, "session_date_jst").orderBy(BAR)
 
 
 @lru_cache
@@ -45,9 +54,9 @@ def ahead(spec: WindowSpec, n: int) -> WindowSpec:
 
 
 @lru_cache
-def session_seconds() -> WindowSpec:
+def session_seconds(*series: str) -> WindowSpec:
     """Bars of one session, ordered by the seconds of their start, so that frames can be spans of time."""
-    return Window.partitionBy(*SESSION_KEYS).orderBy(F.unix_seconds(F.col(BAR).cast("timestamp")))
+    return Window.partitionBy(*series, *SESSION_KEYS).orderBy(F.unix_seconds(F.col(BAR).cast("timestamp")))
 
 
 @lru_cache

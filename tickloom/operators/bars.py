@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.scope import series
 
 #: Order-book columns that trade data can't fill.
 BOOK = ("bid_close", "ask_close", "spread_close", "bid_qty_close", "ask_qty_close", "order_imbalance")
@@ -88,9 +89,9 @@ def _mid_columns(bars: DataFrame, width: str) -> DataFrame:
 
 
 def size_bars(ticks: DataFrame, width: str = "300 seconds") -> DataFrame:
-    """Bars with trade sizes and the share by which buyers outweigh sellers."""
+    """Bars of each symbol with trade sizes and the share by which buyers outweigh sellers."""
     order = F.struct("trade_ts", "sequence_no")
-    bars = ticks.groupBy(clock.bar_start(F.col("trade_ts"), width).alias("trade_ts")).agg(
+    bars = ticks.groupBy(*series(ticks), clock.bar_start(F.col("trade_ts"), width).alias("trade_ts")).agg(
         *_ohlc(F.col("price"), order),
         F.avg("trade_volume").alias("avg_trade_size"),
         F.max("trade_volume").alias("max_trade_size"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.blocks import values_at_ranks
-from ..functions.scope import day
+from ..functions.scope import day, series
 from ..session import settled
 
 NOT_FEATURES = ("raw_open_abs", "raw_high_abs", "raw_low_abs", "raw_close_abs")
@@ -61,7 +61,7 @@ def sequences(df: DataFrame, features: list[str], label: str, length: int = 60,
     spoil every window that holds them.
     """
     spoilt = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in (*features, label)]).cast("int")
-    frame = day().rowsBetween(1 - length, 0)
+    frame = day(*series(df)).rowsBetween(1 - length, 0)
     rows = df.withColumns(
         {
             "sequence": F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(frame),
@@ -91,5 +91,5 @@ def walk_forward(dates: DataFrame, train: int, valid: int, test: int, step: int
 
 
 def long_enough(df: DataFrame, rows: int, key: str = "session_date_jst") -> DataFrame:
-    """Rows of those dates that have more than so many."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).filter(F.col("_n") > rows).drop("_n")
+    """Rows of those dates, of a symbol, that have more than so many."""
+    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*series(df), key))).filter(F.col("_n") > rows).drop("_n")

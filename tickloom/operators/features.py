@@ -1,7 +1,8 @@
 """Features of bars, declared as tables and built as one projection for each layer.
 
 A layer reads columns of the layers before, so it is one withColumns; all of SESSION and DAY scope share a single
-exchange on session_date_jst.
+exchange on session_date_jst. Frames may hold bars of many symbols: where there is a column `symbol`, each is a series of
+its own, and the exchange is on (symbol, session_date_jst).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions import clock
 from ..functions.scalars import change_share, filled_forward, floored, log_change, ratio, rolling, slope, zscore
-from ..functions.scope import SESSION_KEYS, ahead, day, last_seconds, session, session_seconds, so_far
+from ..functions.scope import SESSION_KEYS, ahead, day, last_seconds, series, session, session_seconds, so_far
 
 #: Columns that are taken from an external symbol's bars.
 EXTERNAL_COLUMNS = ("open", "high", "low", "close", "spread_close", "tick_count", "is_complete")
@@ -78,9 +79,9 @@ def order_flow() -> dict[str, Column]:
     }
 
 
-def moves(p: str = "", returns=tuple(RETURNS), slopes=tuple(SLOPES)) -> dict[str, Column]:
-    """Log return, returns and slopes within the session."""
-    over = session()
+def moves(p: str = "", returns=tuple(RETURNS), slopes=tuple(SLOPES), of: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Log return, returns and slopes within the session; `of` are the columns of the series, here and below."""
+    over = session(*of)
     return {
         f"{p}log_ret": log_change(c(f"{p}close"), over),
         **{p + r: change_share(c(f"{p}close"), over, RETURNS[r]) for r in returns},
@@ -88,8 +89,8 @@ def moves(p: str = "", returns=tuple(RETURNS), slopes=tuple(SLOPES)) -> dict[str
     }
 
 
-def rollings(p: str = "", names=tuple(ROLLING)) -> dict[str, Column]:
-    return {p + n: rolling(how, c(p + col), session(), rows, least) for n in names for how, col, rows, least in [ROLLING[n]]}
+def rollings(p: str = "", names=tuple(ROLLING), of: tuple[str, ...] = ()) -> dict[str, Column]:
+    return {p + n: rolling(how, c(p + col), session(*of), rows, least) for n in names for how, col, rows, least in [ROLLING[n]]}
 
 
 def garman_klass() -> Column:
@@ -97,9 +98,10 @@ def garman_klass() -> Column:
     return F.sqrt(floored(0.5 * span * span - (2 * math.log(2) - 1) * drift * drift))
 
 
-def vwap_distance(rows: int = 30, least: int = 10) -> Column:
+def vwap_distance(rows: int = 30, least: int = 10, of: tuple[str, ...] = ()) -> Column:
     """Close less the rolling VWAP; null where nothing was traded."""
-    return c("close") - F.try_divide(rolling(F.sum, c("typical_price") * c("volume"), session(), rows, least), rolling(F.sum, c("volume"), session(), rows, least))
+    total = lambda x: rolling(F.sum, x, session(*of), rows, least)
+    return c("close") - F.try_divide(total(c("typical_price") * c("volume")), total(c("volume")))
 
 
 #: Features over a span of clock time: name -> (aggregate, column, seconds, least rows). Twins of ROLLING's row frames, which
@@ -124,8 +126,9 @@ def clock_features(bars: DataFrame) -> DataFrame:
     Frames are RANGE frames over the start of the bars of a session; all share one exchange and one sort. A feature is
     null while its frame has fewer values than its least; the VWAP's distance is null where nothing was traded.
     """
-    over = session_seconds()
-    told = bars.withColumns({"_log_ret": log_change(c("close"), session()), "_turnover": (c("close") + c("high") + c("low")) / 3 * c("volume")})
+    of = series(bars)
+    over = session_seconds(*of)
+    told = bars.withColumns({"_log_ret": log_change(c("close"), session(*of)), "_turnover": (c("close") + c("high") + c("low")) / 3 * c("volume")})
 
     def framed(how, name: str, seconds: int, least: int) -> Column:
         x, frame = c("_log_ret" if name == "log_ret" else name), last_seconds(over, seconds)
@@ -133,26 +136,26 @@ def clock_features(bars: DataFrame) -> DataFrame:
 
     frame = last_seconds(over, CLOCK_VWAP)
     vwap = F.try_divide(F.sum("_turnover").over(frame), F.sum("volume").over(frame))
-    return told.withColumns({name: framed(*of) for name, of in CLOCK.items()} | {"dist_vwap_15m_clock": c("close") - vwap}).drop("_log_ret", "_turnover")
+    return told.withColumns({name: framed(*told_by) for name, told_by in CLOCK.items()} | {"dist_vwap_15m_clock": c("close") - vwap}).drop("_log_ret", "_turnover")
 
 
-def ratios_of_layers() -> dict[str, Column]:
-    over = session()
+def ratios_of_layers(of: tuple[str, ...] = ()) -> dict[str, Column]:
+    over = session(*of)
     return {
         "tick_speed_ratio": ratio(c("tick_count"), c("tick_count_ma_5m")),
-        **{name: c(of) - F.lag(of).over(over) for name, of in CHANGES.items()},
+        **{name: c(x) - F.lag(x).over(over) for name, x in CHANGES.items()},
         "range_per_volume": ratio(c("price_spread"), c("volume") + 1),
         "tick_per_volume": ratio(c("tick_count"), c("volume") + 1),
     }
 
 
-def zscores(columns) -> dict[str, Column]:
+def zscores(columns, of: tuple[str, ...] = ()) -> dict[str, Column]:
     """Z-scores over the day's bars, the session before included."""
-    return {k: v for name, rows in columns for k, v in zscore(name, day(), rows).items()}
+    return {k: v for name, rows in columns for k, v in zscore(name, day(*of), rows).items()}
 
 
 def with_session_vwap(bars: DataFrame) -> DataFrame:
-    over = so_far(session())
+    over = so_far(session(*series(bars)))
     sums = bars.withColumns({"__session_turnover_cum": F.sum(c("typical_price") * c("volume")).over(over), "__session_volume_cum": F.sum("volume").over(over)})
     price = sums.withColumn("session_vwap", ratio(c("__session_turnover_cum"), c("__session_volume_cum")))
     above = c("close") - c("session_vwap")
@@ -160,13 +163,14 @@ def with_session_vwap(bars: DataFrame) -> DataFrame:
 
 
 def base_features(bars: DataFrame) -> DataFrame:
-    """All features of the traded symbol's own bars."""
+    """All features of the traded symbols' own bars."""
+    of = series(bars)
     layers = [
         {**bar_shape(), **order_flow()},
-        moves(),
-        {**rollings(), "garman_klass_vol": garman_klass(), "dist_vwap_15m": vwap_distance()},
-        ratios_of_layers(),
-        zscores(ZSCORES),
+        moves(of=of),
+        {**rollings(of=of), "garman_klass_vol": garman_klass(), "dist_vwap_15m": vwap_distance(of=of)},
+        ratios_of_layers(of),
+        zscores(ZSCORES, of),
     ]
     return with_session_vwap(reduce(lambda df, layer: df.withColumns(layer), layers, bars))
 
@@ -185,17 +189,18 @@ def join_externals(bars: DataFrame, externals: DataFrame, prefixes: dict[str, st
 
 def fill_externals(bars: DataFrame, prefixes) -> DataFrame:
     """External values carried forward within the session; what precedes the first stays null; is_complete isn't carried."""
-    return bars.withColumns({f"{p}_{x}": filled_forward(c(f"{p}_{x}"), session()) for p in prefixes for x in EXTERNAL_COLUMNS if x != "is_complete"})
+    return bars.withColumns({f"{p}_{x}": filled_forward(c(f"{p}_{x}"), session(*series(bars))) for p in prefixes for x in EXTERNAL_COLUMNS if x != "is_complete"})
 
 
 def external_features(bars: DataFrame, prefixes) -> DataFrame:
     """The features of all external symbols, layer by layer."""
+    of = series(bars)
     every = lambda f: {k: v for p in prefixes for k, v in f(f"{p}_").items()}
     layers = [
-        every(lambda p: {**bar_shape(p), **moves(p, EXTERNAL_RETURNS, EXTERNAL_SLOPES)}),
-        every(lambda p: rollings(p, EXTERNAL_ROLLING)),
+        every(lambda p: {**bar_shape(p), **moves(p, EXTERNAL_RETURNS, EXTERNAL_SLOPES, of)}),
+        every(lambda p: rollings(p, EXTERNAL_ROLLING, of)),
         every(lambda p: {f"{p}tick_speed_ratio": ratio(c(f"{p}tick_count"), c(f"{p}tick_count_ma_5m"))}),
-        zscores([(f"{p}_{x}", 10) for p in prefixes for x in EXTERNAL_ZSCORES]),
+        zscores([(f"{p}_{x}", 10) for p in prefixes for x in EXTERNAL_ZSCORES], of),
     ]
     return reduce(lambda df, layer: df.withColumns(layer), layers, bars)
 
@@ -214,7 +219,7 @@ def cross_asset(bars: DataFrame) -> DataFrame:
     for p, lags in (("sp500", (1, 2)), ("nasdaq", (1, 2)), ("dow", ()), ("usdjpy", (1, 2))):
         if has(p) and "ret_1m" in bars.columns:
             out |= {f"rel_strength_vs_{p}_{r}": c(f"ret_{r}") - c(f"{p}_ret_{r}") for r in ("1m", "5m")}
-            out |= {f"lead_lag_vs_{p}_1m_lag{k}": c("ret_1m") - F.lag(f"{p}_ret_1m", k).over(day()) for k in lags}
+            out |= {f"lead_lag_vs_{p}_1m_lag{k}": c("ret_1m") - F.lag(f"{p}_ret_1m", k).over(day(*series(bars))) for k in lags}
     for name, p in (("gold", "xau"), ("oil", "xti")):
         if has(p, "sp500"):
             out |= {f"{name}_vs_sp500_divergence_{r}": c(f"{p}_ret_{r}") - c(f"sp500_ret_{r}") for r in ("1m", "5m")}
@@ -249,11 +254,12 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 def efficiency_label(bars: DataFrame, horizon: int = 240) -> DataFrame:
     """How straight the next `horizon` bars of the day run: distance by path. 0 where the day ends before."""
-    step = F.abs(c("close") - F.lag("close").over(day()))
+    over = day(*series(bars))
+    step = F.abs(c("close") - F.lag("close").over(over))
     walked = bars.withColumn("_step", step)
-    frame = ahead(day(), horizon)
+    frame = ahead(over, horizon)
     path = F.when(F.count("_step").over(frame) == horizon, F.sum("_step").over(frame))
-    label = ratio(F.abs(F.lead("close", horizon).over(day()) - c("close")), path)
+    label = ratio(F.abs(F.lead("close", horizon).over(over) - c("close")), path)
     return walked.withColumn(f"label_efficiency_{horizon}", label.cast("float")).drop("_step")
 
 
@@ -265,7 +271,8 @@ def known(names) -> str:
 def stationary(bars: DataFrame, prefixes=()) -> DataFrame:
     """Prices as changes against the session's bar before; rows where one is unknown go."""
     names = [x for x in (*PRICES, *(f"{p}_{x}" for p in prefixes for x in ("open", "high", "low", "close"))) if x in bars.columns]
-    changed = bars.withColumns({x: c(x) - F.lag(x).over(session()) for x in names})
+    over = session(*series(bars))
+    changed = bars.withColumns({x: c(x) - F.lag(x).over(over) for x in names})
     return changed.filter(known(names))
 
 
@@ -293,7 +300,7 @@ def feature_frame(bars: DataFrame, externals: DataFrame, symbols: dict[str, str]
     out = cross_asset(external_features(base_features(out), prefixes))
     out = efficiency_label(calendar(out), horizon)
     if drop_tail:
-        out = out.withColumn("_ahead", F.lead("close", horizon).over(day())).filter(c("_ahead").isNotNull()).drop("_ahead")
+        out = out.withColumn("_ahead", F.lead("close", horizon).over(day(*series(out)))).filter(c("_ahead").isNotNull()).drop("_ahead")
     out = out.withColumns({f"raw_{x}_abs": c(x) for x in ("open", "high", "low", "close")})
     out = finalised(stationary(out, prefixes).filter(c(f"label_efficiency_{horizon}").isNotNull()))
     return out if keep_helpers else out.drop(*[x for x in out.columns if x.startswith("__")])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import running_sum, values_at_ranks
 from ..functions.scalars import sigmoid
-from ..functions.scope import session
+from ..functions.scope import series, session
 
 
 def percentile_threshold(df: DataFrame, score: str = "prob", percentile: float = 80.0, least: int = 5) -> float:
@@ -95,6 +95,7 @@ def score_by_session(df: DataFrame, models: dict[str, dict[str, float]], name: s
 
 def with_signals(bars: DataFrame, lookback: int = 20, rise_bars: int = 5) -> DataFrame:
     """Scored bars with momentum (null at the session's start) and the rise of the score (0 there)."""
-    momentum = F.col("raw_close") - F.lag("raw_close", lookback).over(session())
-    rise = F.coalesce(F.col("prob") - F.lag("prob", rise_bars).over(session()), F.lit(0.0))
+    over = session(*series(bars))
+    momentum = F.col("raw_close") - F.lag("raw_close", lookback).over(over)
+    rise = F.coalesce(F.col("prob") - F.lag("prob", rise_bars).over(over), F.lit(0.0))
     return bars.withColumns({"momentum": momentum, "prob_rise": rise.cast("double")})

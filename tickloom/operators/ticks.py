@@ -1,12 +1,15 @@
-"""Operators on trade ticks."""
+"""Operators on trade ticks, of one symbol or, where they have a column `symbol`, of many at once."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.joins import bounded
+from ..functions.scope import series
 
 #: The columns of normalised ticks, in order.
 TICK_COLUMNS = (
@@ -16,13 +19,17 @@ TICK_COLUMNS = (
 
 
 def near_contract(ticks: DataFrame) -> DataFrame:
-    """Ticks of each trade date's nearest contract month, of all price types.
+    """Ticks of each trade date's nearest contract month, by symbol, of all price types.
 
-    The nearest months, a row for each trade date, come from an aggregate that combines before its shuffle; they are
+    The nearest months, a row for each trade date of a symbol, come from an aggregate that combines before its shuffle; they are
     broadcast if they are few, so that ticks stay where they are, and else joined by date.
     """
-    nearest = bounded(ticks.groupBy(F.col("trade_date").alias("_date")).agg(F.min("contract_month").alias("_near")))
-    return ticks.join(nearest, (F.col("trade_date") == F.col("_date")) & (F.col("contract_month") == F.col("_near"))).drop("_date", "_near")
+    of = series(ticks)
+    nearest = bounded(ticks.groupBy(*[F.col(c).alias(f"_{c}") for c in (*of, "trade_date")]).agg(F.min("contract_month").alias("_near")))
+    same = (F.col("trade_date") == F.col("_trade_date")) & (F.col("contract_month") == F.col("_near"))
+    for c in of:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ticks.join(nearest, same).drop("_trade_date", "_near", *[f"_{c}" for c in of])
 
 
 def regular(ticks: DataFrame) -> DataFrame:
@@ -42,7 +49,8 @@ def with_direction(ticks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     and the first tick of a segment is held against the last price before it. Windows see one segment's ticks, or one
     date's segments.
     """
-    keys = ["trade_date", "_segment"]
+    of = series(ticks)
+    keys = [*of, "trade_date", "_segment"]
     order = F.struct("trade_ts", "sequence_no")
     sign = lambda x: F.when(x > 0, 1).when(x < 0, -1)
     inside = Window.partitionBy(*keys).orderBy("trade_ts", "sequence_no")
@@ -50,27 +58,33 @@ def with_direction(ticks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     cut = ticks.withColumn("_segment", F.floor(F.unix_seconds(F.col("trade_ts").cast("timestamp")) / segment))
     moved = cut.withColumn("_diff", F.col("price") - F.lag("price").over(inside))
     ends = moved.groupBy(*keys).agg(F.min_by("price", order).alias("_open"), F.max_by("price", order).alias("_close"), F.max_by(sign(F.col("_diff")), F.when(sign(F.col("_diff")).isNotNull(), order)).alias("_sign"))
-    by_date = Window.partitionBy("trade_date").orderBy("_segment")
+    by_date = Window.partitionBy(*of, "trade_date").orderBy("_segment")
     met = ends.withColumn("_prior", F.lag("_close").over(by_date)).withColumn("_first", sign(F.col("_open") - F.col("_prior")))
     told = F.last(F.coalesce("_sign", "_first"), ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, -1))
     handed = met.select(*keys, "_prior", told.alias("_before"))
     # null dates have a partition of their own in windows, and a null date's segments meet again here
-    same = F.col("trade_date").eqNullSafe(F.col("_d")) & F.col("_segment").eqNullSafe(F.col("_s"))
-    joined = moved.join(handed.toDF("_d", "_s", "_prior", "_before"), same, "left")
+    theirs = [f"_of_{k}" for k in keys]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)])
+    joined = moved.join(handed.toDF(*theirs, "_prior", "_before"), same, "left")
     whole = joined.withColumn("price_diff", F.when(F.row_number().over(inside) == 1, F.col("price") - F.col("_prior")).otherwise(F.col("_diff")))
     ruled = whole.withColumn("direction", F.coalesce(F.last(sign(F.col("price_diff")), ignorenulls=True).over(so_far), "_before", F.lit(0)).cast("tinyint"))
     side = lambda d: F.when(F.col("direction") == d, F.col("trade_volume")).otherwise(F.lit(0).cast("long"))
-    return ruled.withColumns({"buy_vol": side(1), "sell_vol": side(-1)}).drop("_segment", "_diff", "_d", "_s", "_prior", "_before")
+    return ruled.withColumns({"buy_vol": side(1), "sell_vol": side(-1)}).drop("_segment", "_diff", "_prior", "_before", *theirs)
+
 
+def normalised(ticks: DataFrame, symbol: str | None = None) -> DataFrame:
+    """Nearest-contract regular trades with direction, session and symbol, in the columns of TICK_COLUMNS.
 
-def normalised(ticks: DataFrame, symbol: str) -> DataFrame:
-    """Nearest-contract regular trades with direction, session and symbol, in the columns of TICK_COLUMNS."""
+    Ticks of many symbols have a column `symbol` and are worked on at once; those of one symbol get its name.
+    """
+    if symbol is None and not series(ticks):
+        raise ValueError("ticks need a column symbol, or the name of their symbol")
     ruled = with_direction(regular(near_contract(ticks)))
     return ruled.withColumns(
         {
             "session_date_jst": clock.vendor_date(F.col("trade_date")),
             "session_type": clock.session_type(F.col("trade_ts")),
             "contract_code": F.col("contract_month").cast("string"),
-            "symbol": F.lit(symbol),
+            "symbol": F.col("symbol") if symbol is None else F.lit(symbol),
         }
     ).select(*TICK_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars, ticks
@@ -15,7 +15,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vendor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vendor_ticks(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     day = F.date_format("ts", "yyyyMMdd")
     return load(spark, sf_dir, "events").select(
         day.alias("trade_date"),
@@ -27,6 +27,7 @@ def vendor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("tinyint").alias("sco_category"),
         F.col("value").alias("price"),
         (F.col("event_id") % 10 + 1).alias("trade_volume"),
+        *more,
     )
 
 
@@ -43,6 +44,11 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks of three symbols in one table."""
+    return vendor_ticks(spark, sf_dir, F.concat(F.lit("s"), F.col("user_id") % 3).alias("symbol"))
+
+
 def trade_bars(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:
     return bars.trade_bars(ticks.normalised(vendor_ticks(spark, sf_dir), "nk225"), width)
 

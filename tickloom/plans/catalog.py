@@ -17,7 +17,7 @@ from ..session import settled, shared_folder
 from ..sources import sinks, tables, vendor
 from ..streaming import jobs
 from . import adapters, sql
-from .adapters import external_bars, load, trade_bars, vendor_ticks
+from .adapters import external_bars, load, many_ticks, trade_bars, vendor_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,20 +434,20 @@ _SIM = """raw AS (SELECT bar_start_jst, session_date_jst, session_type, open AS
 signals AS (SELECT *, raw_close - lag(raw_close, 4) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst) AS momentum, coalesce(CAST(prob AS FLOAT) - lag(prob, 2) OVER (PARTITION BY session_date_jst, session_type ORDER BY bar_start_jst), 0) AS prob_rise FROM raw)"""
 
 
-def _signals(spark, d) -> DataFrame:
+def _signals(made: DataFrame, *more: str) -> DataFrame:
     prob = ((F.col("tick_count") * 37 + F.col("volume").cast("long") * 11) % 100 / 100.0).cast("float")
-    raw = five(spark, d).select("bar_start_jst", "session_date_jst", "session_type", *[F.col(x).alias(f"raw_{x}") for x in ("open", "high", "low", "close")], prob.alias("prob"), F.lit(0.0).cast("float").alias("threshold"))
+    raw = made.select(*more, "bar_start_jst", "session_date_jst", "session_type", *[F.col(x).alias(f"raw_{x}") for x in ("open", "high", "low", "close")], prob.alias("prob"), F.lit(0.0).cast("float").alias("threshold"))
     return score.with_signals(raw, 4, 2)
 
 
 @query("momentum", f"{KEY} momentum:f", _with(sql.bars(FIVE) + ",\n" + _SIM, "SELECT * FROM signals"))
 def momentum(spark, d):
-    return _signals(spark, d)
+    return _signals(five(spark, d))
 
 
 @query("prob_rise", f"{KEY} prob:f prob_rise:f", _with(sql.bars(FIVE) + ",\n" + _SIM, "SELECT * FROM signals"))
 def prob_rise(spark, d):
-    return _signals(spark, d)
+    return _signals(five(spark, d))
 
 
 #: Score, points of stop and target, bars held.
@@ -456,7 +456,7 @@ _BET = outcomes.Bet(threshold=0.6, stop=60.0, target=125.0, hold=24)
 
 @query("signal_outcomes", f"{KEY} entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason", _with(sql.bars(FIVE) + ",\n" + _SIM + ",\n" + sql.outcomes(_BET), "SELECT * FROM outcomes"))
 def signal_outcomes(spark, d):
-    return outcomes.signal_outcomes(_signals(spark, d), _BET)
+    return outcomes.signal_outcomes(_signals(five(spark, d)), _BET)
 
 
 #: Seconds for which a signal looks at trades after its bar.
@@ -467,11 +467,38 @@ _LOOK = 1800
 def signal_trades(spark, d):
     """What was traded in the half hour after each signal's bar."""
     start = F.col("bar_start_jst")
-    spans = _signals(spark, d).filter(F.col("prob").cast("double") >= 0.3).select(F.lit("nk225").alias("symbol"), "bar_start_jst", (start + F.expr("INTERVAL 300 SECONDS")).alias("from_ts"), (start + F.expr(f"INTERVAL {300 + _LOOK} SECONDS")).alias("to_ts"))
+    spans = _signals(five(spark, d)).filter(F.col("prob").cast("double") >= 0.3).select(F.lit("nk225").alias("symbol"), "bar_start_jst", (start + F.expr("INTERVAL 300 SECONDS")).alias("from_ts"), (start + F.expr(f"INTERVAL {300 + _LOOK} SECONDS")).alias("to_ts"))
     met = asof.inside(normalised_ticks(spark, d), spans, ["symbol"], "trade_ts", "from_ts", "to_ts", _LOOK)
     return met.groupBy("bar_start_jst").agg(F.count("*").alias("n"), F.sum("trade_volume").alias("volume"), F.min("price").alias("low"), F.max("price").alias("high"), F.min_by("price", F.struct("trade_ts", "sequence_no")).alias("first"))
 
 
+# many symbols at once: each is a series of its own, and (symbol, date) the unit of work
+
+
+def many_five(spark, d) -> DataFrame:
+    return settled(bars.trade_bars(ticks.normalised(many_ticks(spark, d)), FIVE))
+
+
+@query("many_bars", BAR, _with(sql.by_symbol(sql.bars(HALF)), "SELECT * FROM bars"))
+def many_bars(spark, d):
+    return bars.trade_bars(ticks.normalised(many_ticks(spark, d)), HALF)
+
+
+@query("many_features", f"symbol {KEY} {_LABEL}:f " + " ".join(f"{x}:f" for x in _FRAME), _with(sql.by_symbol(_FINAL), "SELECT * FROM final"))
+def many_features(spark, d):
+    return features.feature_frame(many_five(spark, d), outside(spark, d), SYMBOLS, HORIZON)
+
+
+@query("many_outcomes", f"symbol {KEY} entry_time:t exit_time:t direction entry_price:f exit_price:f pnl:f reason", _with(sql.by_symbol(sql.bars(FIVE) + ",\n" + _SIM + ",\n" + sql.outcomes(_BET)), "SELECT * FROM outcomes"))
+def many_outcomes(spark, d):
+    return outcomes.signal_outcomes(_signals(many_five(spark, d), "symbol"), _BET)
+
+
+@query("many_pocs", "symbol date:d prev_poc_1d:f prev_poc_1w:f prev_poc_4w:f", _with(sql.by_symbol(sql.poc()), "SELECT * FROM poc"))
+def many_pocs(spark, d):
+    return profile.rolling_poc(profile.volume_profile(settled(bars.size_bars(ticks.normalised(many_ticks(spark, d)), FIVE))))
+
+
 #: Orders as trades, so that reports have as many rows as the tables have.
 _TRADES = "WITH trades AS (SELECT o_orderkey, o_orderdate AS exit_time, round(o_totalprice - 150000, 2) AS pnl, CASE o_orderkey % 5 WHEN 0 THEN 'TP' WHEN 1 THEN 'SL' WHEN 2 THEN 'SESSION' WHEN 3 THEN 'TIME' ELSE 'WEAK' END AS reason, o_custkey % 7 AS mfe_ticks FROM orders)"
 

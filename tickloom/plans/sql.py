@@ -61,6 +61,39 @@ bars AS (SELECT bar_start_jst, bar_start_jst + INTERVAL '{width}' AS bar_end_jst
   buy_volume, sell_volume, buy_volume - sell_volume AS signed_volume, CASE WHEN volume > 0 THEN turnover / volume ELSE close END AS vwap_30s FROM summed)"""
 
 
+#: What stands for the symbol in a table of many.
+MANY = "'s' || user_id % 3"
+
+
+def by_symbol(ctes: str) -> str:
+    """The relations of one symbol's ticks, bars and what is made of them, as those of many: the symbol is a column of the
+    ticks and leads every partition and group."""
+    for one, many in (
+        ("SELECT event_id AS sequence_no,", f"SELECT {MANY} AS symbol, event_id AS sequence_no,"),
+        ("u.trade_date = t.trade_date", "u.trade_date = t.trade_date AND u.symbol = t.symbol"),
+        ("PARTITION BY trade_date", "PARTITION BY symbol, trade_date"),
+        ("PARTITION BY session_date_jst", "PARTITION BY symbol, session_date_jst"),
+        ("summed AS (SELECT session_date_jst, contract_month,", "summed AS (SELECT symbol, session_date_jst, contract_month,"),
+        ("turnover FROM sided GROUP BY 1, 2, 3)", "turnover FROM sided GROUP BY 1, 2, 3, 4)"),
+        ("'nk225' AS symbol", "symbol"),
+        ("raw AS (SELECT bar_start_jst,", "raw AS (SELECT symbol, bar_start_jst,"),
+        ("bets AS (SELECT s.bar_start_jst,", "bets AS (SELECT s.symbol, s.bar_start_jst,"),
+        ("e.session_date_jst = s.session_date_jst", "e.symbol = s.symbol AND e.session_date_jst = s.session_date_jst"),
+        ("h.session_date_jst = b.session_date_jst", "h.symbol = b.symbol AND h.session_date_jst = b.session_date_jst"),
+        ("final AS (SELECT bar_start_jst,", "final AS (SELECT symbol, bar_start_jst,"),
+        ("sized AS (SELECT", "sized AS (SELECT symbol,"),
+        ("FROM sided GROUP BY 1)", "FROM sided GROUP BY 1, 2)"),
+        ("profile AS (SELECT", "profile AS (SELECT symbol,"),
+        ("FROM sized GROUP BY 1, 2)", "FROM sized GROUP BY 1, 2, 3)"),
+        ("dates AS (SELECT date, row_number() OVER (ORDER BY date)", "dates AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date)"),
+        ("SELECT DISTINCT date FROM profile", "SELECT DISTINCT symbol, date FROM profile"),
+        ("ON p.date = e.date WHERE", "ON p.date = e.date AND p.symbol = e.symbol WHERE e.symbol = d.symbol AND"),
+        ("poc AS (SELECT d.date", "poc AS (SELECT d.symbol, d.date"),
+    ):
+        ctes = ctes.replace(one, many)
+    return ctes
+
+
 def quote_bars(width: str) -> str:
     start = f"time_bucket(INTERVAL '{width}', ts)"
     return f"""quotes AS (SELECT ts, event_type AS symbol, event_id, (value * 0.999 + value * 1.001) / 2 AS mid, value * 1.001 - value * 0.999 AS spread FROM events),
