@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, licenses, secrets, sharding, simhash, unicodeform
+from tickloom.llm import common, fingerprints, licenses, secrets, sharding, simhash, unicodeform
 
 
 # sharding
@@ -387,6 +387,20 @@ def test_licences_in_a_very_long_text(docs_of):
     assert (got["licenses"], got["whole"]) == ("MIT", False)
 
 
+def test_licences_of_hot_ids_and_many_lengths(docs_of, monkeypatch):
+    """Rows that share an id, or have none, are judged together wherever they are joined, and however lengths are told."""
+    mit = dict((k, v) for k, v in reversed(licenses.KNOWN) if k == "MIT" and "Permission" in v)["MIT"]
+    rows = [(7, f"text {i}") for i in range(40)] + [(7, mit), (None, "nothing"), (None, "Released under the MIT licence!"), (8, "plain"), (9, f"A tool.\n\n{mit}\n\nMore."), (9, "again")]
+    count = lambda: sorted((str(r["doc_id"]), r["licenses"], r["n_licenses"], r["whole"]) for r in licenses.scan(docs_of(rows)).collect())
+    want = sorted([("7", "MIT", 1, True)] * 41 + [("None", "MIT", 1, True)] * 2 + [("8", "", 0, False)] + [("9", "MIT", 1, False)] * 2)
+    assert count() == want
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    monkeypatch.setattr(licenses, "MOST_LENGTHS", 2)
+    assert common.hot_keys(docs_of(rows), "doc_id") == [7]
+    assert count() == want
+
+
 def test_licences_of_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert len(got) == 12 and not any(r["n_licenses"] for r in got)

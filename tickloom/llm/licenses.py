@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, table
+from ..session import settled
+from .common import checkpointed, hot_keys, only, table
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -131,6 +132,13 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 #: Digests that are broadcast at most; a longer table is joined by a shuffle of its digests.
 MOST_BROADCAST = 100_000
+#: Lengths of known texts that are listed in the plan; of more, texts between the least and the greatest length are hashed.
+MOST_LENGTHS = 1000
+
+
+def _one_of(n: Column, values: list[int]) -> Column:
+    """Whether a length may be one of the values: whether it is, or, if they are many, lies between the first and last."""
+    return n.isin(values) if len(values) <= MOST_LENGTHS else n.between(values[0], values[-1])
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,11 +150,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     ids; an empty table gives an empty one; other columns are left out. Whole texts of any length are scanned.
 
     Only units whose length some known text has are hashed and leave the document; texts aren't shuffled. `known` is a
-    digest table, of which the distinct lengths reach the driver and the digests are broadcast if they are few.
+    digest table, of which at most about MOST_LENGTHS lengths of each kind reach the driver; its digests are broadcast if
+    they are few. What is found is a narrow table; ids with very many rows, and rows without an id, take their one row of it
+    by broadcast, so that no repeated id is a hot task.
     """
     facts = checkpointed(known if known is not None else known_licenses(docs.sparkSession))
-    lengths = sorted(r[0] for r in facts.select("n").distinct().collect())
-    runs = {r[0]: (r[1], r[2]) for r in facts.filter("paragraphs > 1").groupBy("paragraphs").agg(F.sort_array(F.collect_set("first_n")), F.sort_array(F.collect_set("last_n"))).collect()}
+    listed = lambda c: F.sort_array(F.collect_set(c))  # noqa: E731  as many as texts have lengths, not as there are texts
+    few = lambda c: F.when(F.size(listed(c)) <= MOST_LENGTHS, listed(c)).otherwise(F.concat(F.slice(listed(c), 1, MOST_LENGTHS), F.array(F.max(c))))
+    lengths = facts.agg(few("n")).first()[0]
+    runs = {r[0]: (r[1], r[2]) for r in facts.filter("paragraphs > 1").groupBy("paragraphs").agg(few("first_n"), few("last_n")).collect()}
     form, paragraphs, no = F.col("form"), F.col("paragraphs"), F.array().cast("array<string>")
     bodies = only(docs, id_col, text_col).select(F.col(id_col), canonical(F.col(text_col)).alias("form"))
     split = bodies.select(id_col, "form", _paragraphs(form).alias("paragraphs"))
@@ -154,10 +166,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     def run_of(k: int) -> Column:
         """Runs of k paragraphs that begin and end with paragraphs as long as a known text's."""
         firsts, lasts = runs[k]
-        starts = F.filter(F.sequence(F.lit(1), F.size(paragraphs) - k + 1), lambda i: F.length(F.element_at(paragraphs, i)).isin(firsts) & F.length(F.element_at(paragraphs, i + k - 1)).isin(lasts))
+        starts = F.filter(F.sequence(F.lit(1), F.size(paragraphs) - k + 1), lambda i: _one_of(F.length(F.element_at(paragraphs, i)), firsts) & _one_of(F.length(F.element_at(paragraphs, i + k - 1)), lasts))
         return F.when(F.size(paragraphs) >= k, F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i, k), " "))).otherwise(no)
 
-    fits = lambda u: F.length(u).isin(lengths)
+    fits = lambda u: _one_of(F.length(u), lengths)
     lines = F.transform(F.split(form, r"\n"), lambda x: F.trim(x))
     units = F.array_distinct(F.filter(F.concat(lines, paragraphs, *[run_of(k) for k in sorted(runs)]), fits))
     whole = _whole(form)
@@ -169,8 +181,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_set("license")).alias("found"), F.max(F.coalesce(F.col("_whole") == F.col("digest"), F.lit(False))).alias("whole"))
     )
+    found = settled(found.withColumnRenamed(id_col, "_found"))
     ids = only(docs, id_col).withColumnRenamed(id_col, "_id")
-    return ids.join(found, F.col("_id").eqNullSafe(F.col(id_col)), "left").select(
+    hot = hot_keys(ids, "_id")
+    apart = lambda c: F.col(c).isNull() | F.col(c).isin(hot) if hot else F.col(c).isNull()
+    most = ids.filter(~apart("_id")).join(found.filter(~apart("_found")), F.col("_id") == F.col("_found"), "left")
+    rest = ids.filter(apart("_id")).join(F.broadcast(found.filter(apart("_found"))), F.col("_id").eqNullSafe(F.col("_found")), "left")  # fewer than HOT_SHARE rows
+    return most.unionByName(rest).select(
         F.col("_id").alias(id_col),
         F.coalesce(F.array_join("found", ","), F.lit("")).alias("licenses"),
         F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licenses"),
