@@ -30,12 +30,6 @@ def day(*series: str) -> WindowSpec:
     return Window.partitionBy(*series, "session_date_jst").orderBy(BAR)
 
 
-@lru_cache
-def trade_date() -> WindowSpec:
-    """Ticks of one trade date; equal times are ordered by their sequence number."""
-    return Window.partitionBy("trade_date").orderBy("trade_ts", "sequence_no")
-
-
 @lru_cache
 def last_rows(spec: WindowSpec, n: int) -> WindowSpec:
     """The frame of the last n rows, the current one among them."""
