@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def ratio(above: Column, below: Column, default: float = 0.0) -> Column:
     return F.when(F.abs(below) > TINY, above / below).otherwise(F.lit(default))
 
 
+def log_of(x: Column) -> Column:
+    """The logarithm as IEEE doubles have it: -inf of 0, NaN of less. F.ln alone gives null for both."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
+
+
 def log1p_or_null(x: Column) -> Column:
     return F.when(x > -1, F.log1p(x))
 
