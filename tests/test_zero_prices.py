@@ -15,9 +15,10 @@ from .test_catalog import plain
 
 @pytest.fixture(scope="module")
 def zeros(sf_dir, tmp_path_factory):
-    """A folder whose events are those of sf_dir, every 20th price being 0."""
+    """A folder whose events are those of sf_dir in one working week, dense enough for finished frames; every 20th price is 0."""
     at = str(tmp_path_factory.mktemp("zeros"))
-    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN 0 ELSE value END AS value) FROM '{sf_dir}/events.parquet') TO '{at}/events.parquet' (FORMAT parquet)")
+    changed = "TIMESTAMP '2024-01-08' + to_seconds(event_id * 86 % 432000) AS ts, CASE WHEN event_id % 20 = 0 THEN 0 ELSE value END AS value"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({changed}) FROM '{sf_dir}/events.parquet') TO '{at}/events.parquet' (FORMAT parquet)")
     return at
 
 
@@ -33,7 +34,7 @@ def test_garman_klass_at_zero(spark):
     assert [str(r["v"]) for r in got.collect()] == ["inf", "nan", "nan", "0.0", "None"]
 
 
-@pytest.mark.parametrize("name", ["realized_vol"])
+@pytest.mark.parametrize("name", ["realized_vol", "feature_partitions"])
 def test_query_equals_its_twin(spark, zeros, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{zeros}/events.parquet'")
