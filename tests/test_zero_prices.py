@@ -34,7 +34,7 @@ def test_garman_klass_at_zero(spark):
     assert [str(r["v"]) for r in got.collect()] == ["inf", "nan", "nan", "0.0", "None"]
 
 
-@pytest.mark.parametrize("name", ["realized_vol", "feature_partitions", "finalize", "many_features"])
+@pytest.mark.parametrize("name", ["realized_vol", "feature_partitions", "finalize", "many_features", "stats_by_type"])
 def test_query_equals_its_twin(spark, zeros, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{zeros}/events.parquet'")
