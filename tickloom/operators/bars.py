@@ -12,12 +12,19 @@ from ..functions.scope import series
 BOOK = ("bid_close", "ask_close", "spread_close", "bid_qty_close", "ask_qty_close", "order_imbalance")
 
 
+def _where_known(x: Column, order: Column) -> Column:
+    """The order of those rows alone that have a value: min_by and max_by pass over rows without an order."""
+    return F.when(x.isNotNull(), order)
+
+
 def _ohlc(x: Column, order: Column, prefix: str = "") -> list[Column]:
+    """First, highest, lowest and last known value; null where none is known."""
+    known = _where_known(x, order)
     return [
-        F.min_by(x, order).alias(f"{prefix}open"),
+        F.min_by(x, known).alias(f"{prefix}open"),
         F.max(x).alias(f"{prefix}high"),
         F.min(x).alias(f"{prefix}low"),
-        F.max_by(x, order).alias(f"{prefix}close"),
+        F.max_by(x, known).alias(f"{prefix}close"),
     ]
 
 
@@ -65,7 +72,7 @@ def mid_bars(quotes: DataFrame, width: str = "30 seconds") -> DataFrame:
     order = F.struct("trade_ts", "row_id")
     bars = quotes.groupBy("symbol", clock.bar_start(F.col("trade_ts"), width).alias("bar_start_jst")).agg(
         *_ohlc(F.col("mid"), order),
-        F.max_by("spread", order).alias("spread_close"),
+        F.max_by("spread", _where_known(F.col("spread"), order)).alias("spread_close"),
         F.count("*").cast("int").alias("tick_count"),
     )
     return _mid_columns(bars, width)
