@@ -25,7 +25,7 @@ def test_first_and_last_known_price(spark):
     assert got == {"a": (5.0, 7.0, 5.0, 7.0, 0.7, 4), "b": (None, None, None, None, None, 1)}
 
 
-@pytest.mark.parametrize("name", ["feature_partitions", "finalize", "many_features"])
+@pytest.mark.parametrize("name", ["feature_partitions", "finalize", "many_features", "stats_by_type"])
 def test_query_equals_its_twin(spark, nulls, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{nulls}/events.parquet'")
