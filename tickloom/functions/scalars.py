@@ -23,6 +23,11 @@ def log_of(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
 
 
+def quotient(above: Column, below: Column) -> Column:
+    """above / below as IEEE doubles have it: inf, -inf or NaN where below is 0, which ANSI rules refuse to divide by."""
+    return F.when(below != 0, above / below).when(below == 0, above * F.lit(math.inf))
+
+
 def log1p_or_null(x: Column) -> Column:
     return F.when(x > -1, F.log1p(x))
 
