@@ -33,9 +33,9 @@ def _ended(width: str) -> Column:
 
 
 def trade_bars(ticks: DataFrame, width: str = "30 seconds") -> DataFrame:
-    """OHLCV bars of normalised ticks, of those intervals alone that have trades."""
+    """OHLCV bars of normalised ticks, of those intervals alone that have trades; volumes of which nothing is known are null."""
     order = F.struct("trade_ts", "sequence_no")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    total = lambda c: F.sum(c).cast("double")
     bars = ticks.groupBy("session_date_jst", "symbol", "contract_code", clock.bar_start(F.col("trade_ts"), width).alias("bar_start_jst")).agg(
         *_ohlc(F.col("price"), order),
         total("trade_volume").alias("volume"),
