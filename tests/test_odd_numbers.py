@@ -17,6 +17,7 @@ def odd(sf_dir, tmp_path_factory):
     for name, changed in (
         ("negative", "event_id - 503 AS event_id, TIMESTAMP '2024-01-08' + to_seconds(event_id * 86 % 432000) AS ts"),
         ("unknown", "CASE WHEN event_id % 5 > 0 THEN event_id END AS event_id, TIMESTAMP '2024-01-08' + to_seconds(event_id * 86 % 432000) AS ts"),
+        ("ties", "CASE WHEN event_id % 5 > 0 THEN event_id END AS event_id, TIMESTAMP '2024-01-08' + to_seconds(event_id // 4 * 344 % 432000) AS ts"),
     ):
         where[name] = str(tmp_path_factory.mktemp(name))
         duckdb.sql(f"COPY (SELECT * REPLACE ({changed}) FROM '{sf_dir}/events.parquet') TO '{where[name]}/events.parquet' (FORMAT parquet)")
@@ -40,3 +41,8 @@ def test_negative_volumes(spark, odd, name):
 @pytest.mark.parametrize("name", QUERIES)
 def test_unknown_volumes(spark, odd, name):
     equals_its_twin(spark, odd["unknown"], name)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_unknown_numbers_come_last_of_equal_times(spark, odd, name):
+    equals_its_twin(spark, odd["ties"], name)

@@ -6,7 +6,7 @@ don't meet in a window, and (symbol, date) is the unit of work, not the date.
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSION_KEYS = ("session_date_jst", "session_type")
@@ -18,6 +18,11 @@ def series(df: DataFrame) -> tuple[str, ...]:
     return ("symbol",) if "symbol" in df.columns else ()
 
 
+def placed(time: str, number: str) -> Column:
+    """The place of a tick or quote, for min_by and max_by: its time, among equal times its number, unknown numbers last."""
+    return F.struct(time, F.col(number).isNull().alias("_unknown"), number)
+
+
 @lru_cache
 def session(*series: str) -> WindowSpec:
     """Bars of one date and session type; evening and late bars of one date share it."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..functions.scope import series
+from ..functions.scope import placed, series
 
 #: Order-book columns that trade data can't fill.
 BOOK = ("bid_close", "ask_close", "spread_close", "bid_qty_close", "ask_qty_close", "order_imbalance")
@@ -34,7 +34,7 @@ def _ended(width: str) -> Column:
 
 def trade_bars(ticks: DataFrame, width: str = "30 seconds") -> DataFrame:
     """OHLCV bars of normalised ticks, of those intervals alone that have trades; volumes of which nothing is known are null."""
-    order = F.struct("trade_ts", "sequence_no")
+    order = placed("trade_ts", "sequence_no")
     total = lambda c: F.sum(c).cast("double")
     bars = ticks.groupBy("session_date_jst", "symbol", "contract_code", clock.bar_start(F.col("trade_ts"), width).alias("bar_start_jst")).agg(
         *_ohlc(F.col("price"), order),
@@ -69,7 +69,7 @@ def _trade_columns(bars: DataFrame, width: str) -> DataFrame:
 
 def mid_bars(quotes: DataFrame, width: str = "30 seconds") -> DataFrame:
     """Bars of the middle between bid and ask, by symbol. Equal times are ordered by `row_id`."""
-    order = F.struct("trade_ts", "row_id")
+    order = placed("trade_ts", "row_id")
     bars = quotes.groupBy("symbol", clock.bar_start(F.col("trade_ts"), width).alias("bar_start_jst")).agg(
         *_ohlc(F.col("mid"), order),
         F.max_by("spread", _where_known(F.col("spread"), order)).alias("spread_close"),
@@ -97,7 +97,7 @@ def _mid_columns(bars: DataFrame, width: str) -> DataFrame:
 
 def size_bars(ticks: DataFrame, width: str = "300 seconds") -> DataFrame:
     """Bars of each symbol with trade sizes and the share by which buyers outweigh sellers."""
-    order = F.struct("trade_ts", "sequence_no")
+    order = placed("trade_ts", "sequence_no")
     bars = ticks.groupBy(*series(ticks), clock.bar_start(F.col("trade_ts"), width).alias("trade_ts")).agg(
         *_ohlc(F.col("price"), order),
         F.avg("trade_volume").alias("avg_trade_size"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.joins import bounded
-from ..functions.scope import series
+from ..functions.scope import placed, series
 
 #: The columns of normalised ticks, in order.
 TICK_COLUMNS = (
@@ -51,9 +51,9 @@ def with_direction(ticks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """
     of = series(ticks)
     keys = [*of, "trade_date", "_segment"]
-    order = F.struct("trade_ts", "sequence_no")
+    order = placed("trade_ts", "sequence_no")
     sign = lambda x: F.when(x > 0, 1).when(x < 0, -1)
-    inside = Window.partitionBy(*keys).orderBy("trade_ts", "sequence_no")
+    inside = Window.partitionBy(*keys).orderBy("trade_ts", F.col("sequence_no").asc_nulls_last())
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     cut = ticks.withColumn("_segment", F.floor(F.unix_seconds(F.col("trade_ts").cast("timestamp")) / segment))
     moved = cut.withColumn("_diff", F.col("price") - F.lag("price").over(inside))
